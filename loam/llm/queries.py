@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import mixing, packing, quality, simhash, toxicity, warc
+from loam.llm import mixing, packing, quality, simhash, toxicity, urlrank, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrank.judge(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op6_packing": op6_packing,
         "op7_quality": op7_quality,
         "op8_toxicity": op8_toxicity,
+        "op9_url_filter": op9_url_filter,
     }
 
 
