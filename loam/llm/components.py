@@ -6,6 +6,7 @@ execution splits, or an aggregation with map-side combine. Nothing but a flag re
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,19 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("hi").agg(F.min("lo").alias("m"))
     moved = pairs.join(least, "hi").where(F.col("lo") > F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct()
+
+
+def stars(near: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that hang each node of a boolean adjacency matrix on the smallest id of its component."""
+    open_, edges = near.any(1), []
+    while open_.any():
+        front = np.array([int(open_.argmax())])
+        member = np.zeros(len(ids), bool)
+        member[front] = True
+        while len(front):
+            front = np.flatnonzero(near[front].any(0) & ~member)
+            member[front] = True
+        open_ &= ~member
+        root = int(ids[member].min())
+        edges += [(int(x), root) for x in ids[member] if x != root]
+    return edges

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import mixing, packing, quality, simhash, toxicity, urlrank, warc
+from loam.llm import mixing, packing, quality, simhash, topk, toxicity, urlrank, vector_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"), min_dedup_bytes=0)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -43,15 +47,21 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrank.judge(_table(spark, sf_dir, "pages"))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
         "op2_warc": op2_warc,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
         "op7_quality": op7_quality,
         "op8_toxicity": op8_toxicity,
         "op9_url_filter": op9_url_filter,
+        "op10_topk_search": op10_topk_search,
     }
 
 

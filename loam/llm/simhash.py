@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from loam.llm.common import small_batches, stage
-from loam.llm.components import connected_components
+from loam.llm.components import connected_components, stars
 
 SEED = 42
 SHINGLE = 3
@@ -66,18 +66,8 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     bits = fps.view(np.uint64)
     for at in range(0, len(fps), 256):
         near[at : at + 256] = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, :]) <= distance
-    open_, edges = near.sum(1) > 1, []
-    while open_.any():
-        seed = int(open_.argmax())
-        front, member = np.array([seed]), np.zeros(len(fps), bool)
-        member[seed] = True
-        while len(front):
-            front = np.flatnonzero(near[front].any(0) & ~member)
-            member[front] = True
-        open_ &= ~member
-        own = fps[member]
-        edges += [(int(x), int(own.min())) for x in own if x != own.min()]
-    return edges
+    np.fill_diagonal(near, False)
+    return stars(near, fps)
 
 
 def near_edges(fps: DataFrame, distance: int = 3, extra: int = 2, chunk: int = 1024) -> DataFrame:
