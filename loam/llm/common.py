@@ -47,3 +47,26 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+
+
+class Store:
+    """The few file operations that Spark's readers and writers lack, through the Hadoop client they use themselves."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def names(self, path: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(path))) if self.exists(path) else []
+
+    def publish(self, temporary: str, final: str) -> bool:
+        """Rename a finished folder; False, and the folder deleted, if the final name is there already."""
+        target = self._path(final)
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.exists(target) and self._fs.rename(self._path(temporary), target):
+            return True
+        self._fs.delete(self._path(temporary), True)
+        return False

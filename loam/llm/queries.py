@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import mixing, packing, quality, simhash, topk, toxicity, urlrank, vector_dedup, warc
+from loam.llm import mixing, packing, quality, rollups, simhash, topk, toxicity, urlrank, vector_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"), min_dedup_bytes=0)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.rollup_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
         "op2_warc": op2_warc,
+        "op3_token_counts": op3_token_counts,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
