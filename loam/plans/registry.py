@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.plans import code_queries, text_queries, wiki_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Hybrid search: BM25 and cosine lists fused by rank and boosted."""
+    return text_queries.hybrid_metadata_boost(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return text_queries.QUERIES | code_queries.QUERIES | wiki_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_queries.SQL | code_queries.SQL | wiki_queries.SQL
