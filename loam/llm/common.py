@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+_kept: dict[str, object] = {}
+
+
+def worker_cache(key: str, make: Callable[[], object]) -> object:
+    """The one cache that a Python worker keeps between batches and tasks: asking for another drops it.
+
+    Workers outlive queries, and several caches of a million words would outgrow an executor's memory.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class Store:
     """The few file operations that Spark's readers and writers lack, through the Hadoop client they use themselves."""
 
@@ -62,6 +77,9 @@ class Store:
     def names(self, path: str) -> list[str]:
         return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(path))) if self.exists(path) else []
 
+    def make_dir(self, path: str) -> None:
+        self._fs.mkdirs(self._path(path))
+
     def publish(self, temporary: str, final: str) -> bool:
         """Rename a finished folder; False, and the folder deleted, if the final name is there already."""
         target = self._path(final)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from loam.llm.common import small_batches
+from loam.llm.common import small_batches, worker_cache
 from loam.llm.toxicity import best_cut
 from loam.llm.training import CACHE_WORDS, Vocabulary, labelled_sample, ngrams, remainder
 
@@ -37,9 +37,6 @@ class _Cache:
         self.size = np.concatenate([self.size, size])
 
 
-_caches: dict[str, _Cache] = {}
-
-
 @dataclass
 class SubwordModel:
     """An embedding row for each n-gram bucket and one for repeats; class weights and biases.
@@ -58,9 +55,9 @@ class SubwordModel:
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """The log odds of class 1; those of a text without words are the biases'."""
-        cache = _caches.setdefault(self.name, _Cache())
+        cache = worker_cache(self.name, _Cache)
         if len(cache.ids) > CACHE_WORDS:
-            cache = _caches[self.name] = _Cache()
+            cache.__init__()
         docs = [(t or "").split() for t in texts]
         cache.add(list(set().union(*docs).difference(cache.ids)), self.margin)
         out = np.full(len(docs), float(self.bias[1] - self.bias[0]))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from loam.llm.common import worker_cache
+
 #: A worker's cache of words is emptied beyond this many.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The letter that a byte-level vocabulary writes for each byte: printable ones stand for themselves, the rest follow U+0100.
@@ -59,8 +60,7 @@ class WordTokenizer:
         return self.letters[piece]
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each worker process, kept between batches and tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordTokenizer(path)
+    return worker_cache(path, lambda: WordTokenizer(path))

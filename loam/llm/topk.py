@@ -67,7 +67,7 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if most < 2**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
     exact = q.astype(object) @ x.astype(object).T
-    return np.clip(exact, LEAST + 1, -(LEAST + 1)).astype(np.int64)
+    return np.clip(exact, LEAST + 1, 2**63 - 1).astype(np.int64)
 
 
 def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

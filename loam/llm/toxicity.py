@@ -13,16 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from loam.llm.common import small_batches
+from loam.llm.common import small_batches, worker_cache
 from loam.llm.training import CACHE_WORDS, Vocabulary, labelled_sample, ngrams, remainder
 
 SHORTEST, LONGEST, BITS = 3, 6, 18
 #: Between a plain sum, where long texts drift, and a mean, where a few words drown in them.
 DAMP = 0.5
 
-_caches: dict[str, dict[str, float]] = {}
-
-
 def _words(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
@@ -40,7 +37,7 @@ class NgramModel:
 
     def margins(self, texts: list[str | None]) -> list[float]:
         """One for each text, whatever the order of its words; an empty text gets the bias alone."""
-        cache = _caches.setdefault(self.name, {})
+        cache = worker_cache(self.name, dict)
         if len(cache) > CACHE_WORDS:
             cache.clear()
         docs = [_words(t) for t in texts]

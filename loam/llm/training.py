@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A worker's cache of word scores is emptied beyond this many words.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 def remainder(doc_id: str, n: int) -> Column:

@@ -17,7 +17,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import fresh_dir, small_batches, stage
+from loam.llm.common import Store, fresh_dir, small_batches, stage
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records carry this date unless the caller gives one: equal input makes equal bytes.
@@ -154,6 +154,7 @@ def write_warc(
         close()
         yield pa.RecordBatch.from_pylist(done, MANIFEST)
 
+    Store(spark, path).make_dir(f"{path}/data")
     written = stage(placed.mapInArrow(write, MANIFEST_DDL), "files")
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
