@@ -129,7 +129,7 @@ def parse_declarations(language: str) -> Parser:
             later = F.filter(F.col("found"), lambda o: o["start_line"] > s["start_line"])
             end = F.greatest(s["start_line"], F.coalesce(F.array_min(F.transform(later, lambda o: o["start_line"])) - 1, F.size("lines")))
             body = T.line_slice(F.col("lines"), s["start_line"], end)
-            after = F.regexp_replace(body, rf"^[^\n]*?\b{NAME}\s*\(", "")
+            after = F.regexp_replace(body, rf"^[^\n]*?\b(?!func\b){NAME}\s*\(", "")
             called = F.filter(F.regexp_extract_all(after, F.lit(rf"(?<![@\w])({NAME})\s*\("), F.lit(1)), lambda n: ~n.isin("new", "await", "this", "super", "if", "for", "while", "switch", "catch", "return", "func"))
             calls = F.when(s["kind"] == "function", called).otherwise(F.array().cast("array<string>"))
             return F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["start_line"].alias("start_line"), end.alias("end_line"), s["signature"].alias("signature"), calls.alias("calls"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -28,6 +32,58 @@ def decoded(content: Column | str) -> Column:
     return F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")).otherwise(_drop_invalid(body))
 
 
+_LISTED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
+
+
+def _lister(root: str, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                rows = []
+                for f in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=deep)):
+                    rows.append({"path": f.path.removeprefix(f"{base}/"), "size": f.size if f.is_file else None, "folder": not f.is_file})
+                yield pa.RecordBatch.from_pylist(rows, _LISTED)
+
+    return run
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, size`` of every file under ``root``, one task for each folder right under it.
+
+    Spark's own file index leaves out empty files and names that begin with ``_`` or ``.``, such as ``__init__.py``;
+    a source tree needs them.
+    """
+    ddl = "path string, size long, folder boolean"
+    top = spark.createDataFrame([("",)], "path string").mapInArrow(_lister(root, False), ddl)
+    below = top.where("folder").select("path").repartition("path").mapInArrow(_lister(root, True), ddl)
+    return top.unionAll(below).where("not folder").select("path", "size")
+
+
+def read_contents(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (``path, size``) with the bytes of each as ``content``, null where it cannot be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+
+        def content(path: str) -> bytes | None:
+            try:
+                with store.open_input_stream(f"{base}/{path}", compression=None) as stream:
+                    return stream.read()
+            except (FileNotFoundError, PermissionError):
+                return None
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                data = pa.array(map(content, part.column("path").to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, data], names=["path", "size", "content"])
+
+    return files.select("path", "size").mapInArrow(run, "path string, size long, content binary")
+
+
 def scan_files(
     spark: SparkSession, root: str, include: list[str] = ["**/*"], exclude: list[str] = EXCLUDE, artifact_dirs: list[str] = [],
     max_kb: int = 512, skip_binary: bool = True, max_files: int | None = None,
@@ -35,19 +91,17 @@ def scan_files(
     """The files under ``root`` as ``path, lang, size, hash, text, pos``.
 
     Paths are relative and in the order of their parts. Path and size conditions come before the content is read;
-    a NUL in the first 1,024 bytes means binary. ``hash`` is of the text with line ends made ``\\n``, ``size`` of the
-    raw bytes.
+    a NUL in the first 1,024 bytes, or a file that cannot be read, means binary. ``hash`` is of the text with line
+    ends made ``\\n``, ``size`` of the raw bytes.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root if "://" in root else f"file:{root}"
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit("^\\Q" + base.rstrip("/").replace("file://", "file:") + "\\E/"), F.lit(""))
-    kept = raw.where(F.col("length") <= max_kb * 1024).select(relative.alias("path"), F.col("length").alias("size"), "content")
+    kept = list_files(spark, root).where(F.col("size") <= max_kb * 1024)
     for folder in artifact_dirs:
         kept = kept.where(~F.startswith("path", F.lit(folder.removeprefix("./").rstrip("/") + "/")))
     kept = kept.where(~F.rlike("path", F.lit(T.glob_regex(exclude)))).where(F.rlike("path", F.lit(T.glob_regex(include))))
+    read = read_contents(kept.repartition("path"), root)
     if skip_binary:
-        kept = kept.where(~F.rlike(F.hex(F.substring("content", 1, 1024)), F.lit("^(..)*?00")))
-    files = kept.select("path", T.language("path").alias("lang"), "size", T.normalize_newlines(decoded("content")).alias("text"))
+        read = read.where(F.col("content").isNotNull() & ~F.rlike(F.hex(F.substring("content", 1, 1024)), F.lit("^(..)*?00")))
+    files = read.select("path", T.language("path").alias("lang"), "size", T.normalize_newlines(decoded(F.coalesce("content", F.lit(b"")))).alias("text"))
     return with_positions(files, max_files)
 
 
