@@ -5,10 +5,11 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from loam.llm import topk, urlrank, vector_dedup, warc
+from loam.llm import queries, topk, urlrank, vector_dedup, warc
 
 
 def digest(html):
@@ -195,3 +196,15 @@ def test_ball_tree_prunes_and_stays_exact():
         s[i] = -(10**9)
         order = np.lexsort((np.arange(len(x)), -s))[:7]
         assert who[i].tolist() == order.tolist() and best[i].tolist() == s[order].tolist()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twins(spark, name):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, sf)
+    assert sorted(want.columns) == sorted(got.columns)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
