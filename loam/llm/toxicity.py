@@ -81,7 +81,8 @@ def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, l2: float = 1e
     if not 0 < positive < n:
         return model
     docs = [sorted(_words(t)) for t in texts]
-    words = Vocabulary(sorted(set().union(*docs)), SHORTEST, LONGEST, BITS)
+    known = sorted(set().union(*docs))
+    words = Vocabulary(known, *ngrams(known, SHORTEST, LONGEST, BITS))
     docs = [np.array([words.ids[w] for w in d], np.int64) for d in docs]
     counts = np.full((2, buckets), alpha)
     for d, y in zip(docs, labels):

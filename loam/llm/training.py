@@ -58,11 +58,11 @@ def ngrams(words: list[str], shortest: int, longest: int, bits: int) -> tuple[np
 
 
 class Vocabulary:
-    """Word types of a sample with the buckets of their n-grams, as one flat array."""
+    """Word types of a sample with their buckets, word after word in ``flat``, and how many each has."""
 
-    def __init__(self, words: list[str], shortest: int, longest: int, bits: int) -> None:
+    def __init__(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         self.ids = {w: i for i, w in enumerate(words)}
-        self.flat, self.sizes = ngrams(words, shortest, longest, bits)
+        self.flat, self.sizes = flat, sizes
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -271,3 +271,24 @@ def test_scores_do_not_depend_on_batches():
     model = toxicity.train(["good day", "bad idiot", "fine sun", "idiot scum"] * 10, np.array([0, 1, 0, 1] * 10))
     texts = ["good idiot", "", None, "sun"]
     assert model.scores(texts).tolist() == [model.scores([t])[0] for t in texts]
+
+
+def test_quality_is_the_mean_of_its_rows():
+    """Character n-grams, whole words and word pairs, row by row, against the scorer's per-word sums."""
+    rng = random.Random(3)
+    texts = [words(rng, rng.randrange(1, 30)) for _ in range(60)] + ["", "one", "so so so", None]
+    model = quality.fit(texts, np.array([i % 2 for i in range(len(texts))]))
+    scorer = model.scorer()
+    for text, score in zip(texts, scorer.scores(texts)):
+        found, last = [], None
+        for word in (text or "").split():
+            code = zlib.crc32(word.encode())
+            found += [*quality.ngrams([word], quality.SHORTEST, quality.LONGEST, quality.BITS)[0], quality.WORDS + (code >> 16)]
+            if last is not None:
+                mixed = (last * 0x9E3779B97F4A7C15 + code * 0xBF58476D1CE4E5B9) % 2**64
+                found.append(quality.REPEAT if code == last else quality.PAIRS + (mixed >> 48))
+            last = code
+        mean = model.rows[found].mean(0) if found else np.zeros(quality.DIM)
+        z = model.weights @ mean + model.bias
+        assert score == pytest.approx(np.exp(z[1]) / np.exp(z).sum())
+    assert scorer.scores(texts).tolist() == [scorer.scores([t])[0] for t in texts]
