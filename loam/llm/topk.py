@@ -6,6 +6,7 @@ import heapq
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from loam.llm.common import stage
 from loam.llm.vectors import finite, matrix
 
 LEAF = 128
+#: Shards are searched in waves that end at these numbers of shards, and then all others at once.
+WAVES = (1, 8, 64)
 #: Below every score; its negative is a long too.
 LEAST = np.iinfo(np.int64).min + 1
 
@@ -126,8 +129,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 16
 
     Queries are the rows whose ``vec_id`` is divisible by ``every``, candidates all rows but those of the query's own
     id; ties go to the smaller id. Components count as ``floor(64 * x)``. Candidates fall by hash into shards of
-    about ``shard_rows``, each a ball tree; queries into blocks of about ``block_rows``. Each block first searches
-    one shard, and its kth scores are the floor below which all other shards stop.
+    about ``shard_rows``, each a ball tree; queries into blocks of about ``block_rows``. A block searches its shards
+    in waves (``WAVES``): the kth scores over all shards so far are the floor below which the next wave stops.
 
     Edge cases: vectors that are null or hold a null or non-finite component and rows without ``vec_id`` take no
     part; a shorter vector's missing components count as 0; repeated candidate rows count each, and repeated query
@@ -144,14 +147,18 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 16
     trees = stage(trees, "trees")
     distinct = asked.groupBy("vec_id", "vector").agg(F.count("*").alias("n")).drop("n").withColumn("block", deal(blocks))
     asking = stage(distinct.groupBy("block").applyInArrow(_block, "block int, queries binary"), "blocks")
-    home = F.pmod(F.col("block"), F.lit(shards))
-    first = asking.select("queries", F.lit(None).cast("binary").alias("floors"), home.alias("shard"), "block")
-    found = stage(_search_all(first, trees, k), "first")
-    kths = found.groupBy("block").agg(F.collect_list("floors").alias("floors"))
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home))
-    later = asking.join(kths, "block").select("queries", F.col("floors")[0].alias("floors"), others.alias("shard"), "block")
-    hits = found.select("hits").unionAll(_search_all(later, trees, k).select("hits"))
-    hits = hits.select(F.inline("hits"))
+    place = F.pmod(F.col("shard") - F.col("block"), F.lit(shards))  # blocks begin at different shards
+    everywhere = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("place", place)
+    waves, done, floors = [], 0, asking.select("block", F.lit(None).cast("binary").alias("floor"))
+    for end in sorted({*(w for w in WAVES if w < shards), shards}):
+        work = everywhere.where((F.col("place") >= done) & (F.col("place") < end)).join(floors, "block", "left")
+        found = _search_all(work, trees, k)
+        if end == shards:
+            waves.append(found.select("hits"))
+            break
+        waves.append(stage(found, f"wave{end}"))
+        done, floors = end, _kth_of(reduce(DataFrame.unionAll, waves), k)
+    hits = reduce(DataFrame.unionAll, [w.select("hits") for w in waves]).select(F.inline("hits"))
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -160,20 +167,32 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 16
 _HITS = pa.list_(pa.struct([("query_id", pa.int64()), ("q", pa.string()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
 
+def _kth_of(found: DataFrame, k: int) -> DataFrame:
+    """``block, floor``: each query's kth score over the shards of ``found``, of which a block has few (``WAVES``)."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                scores = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, k) for b in row["best"]], 1)
+                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int32()), pa.array([kth.tobytes()], pa.binary())], names=["block", "floor"])
+
+    return found.groupBy("block").agg(F.collect_list("best").alias("best")).mapInArrow(merge, "block int, floor binary")
+
+
 def _search_all(work: DataFrame, trees: DataFrame, k: int) -> DataFrame:
-    """``block, floors, hits``: each block's hits in one shard, and its kth scores after it."""
+    """``block, best, hits``: each block's k best scores in one shard, and those hits that reach its floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, queries = pickle.loads(row["queries"])
-                floor = np.frombuffer(row["floors"], np.int64) if row["floors"] else np.full(len(ids), LEAST)
+                floor = np.frombuffer(row["floor"], np.int64) if row["floor"] else np.full(len(ids), LEAST)
                 best, who = search(pickle.loads(row["tree"]), ids, queries, floor, k)
-                i, j = np.nonzero(best > LEAST)
+                i, j = np.nonzero((best > LEAST) & (best >= floor[:, None]))
                 hits = pd.DataFrame({"query_id": ids[i], "q": [str(x) for x in i], "vec_id": who[i, j], "score": best[i, j]})
-                kth = np.maximum(floor, best[:, -1]).tobytes()
-                made = [pa.array([row["block"]], pa.int32()), pa.array([kth], pa.binary()), pa.array([hits.to_dict("records")], _HITS)]
-                yield pa.RecordBatch.from_arrays(made, names=["block", "floors", "hits"])
+                made = [pa.array([row["block"]], pa.int32()), pa.array([best.tobytes()], pa.binary()), pa.array([hits.to_dict("records")], _HITS)]
+                yield pa.RecordBatch.from_arrays(made, names=["block", "best", "hits"])
 
-    ddl = "block int, floors binary, hits array<struct<query_id:long,q:string,vec_id:long,score:long>>"
-    return work.join(trees, "shard").select("block", "queries", "floors", "tree").mapInArrow(run, ddl)
+    ddl = "block int, best binary, hits array<struct<query_id:long,q:string,vec_id:long,score:long>>"
+    return work.join(trees, "shard").select("block", "queries", "floor", "tree").mapInArrow(run, ddl)
