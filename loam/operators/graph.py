@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,38 +99,27 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return rows.groupBy("seed").agg(F.least(F.min("node"), F.col("seed")).alias("scc")).select(F.col("seed").alias("node"), "scc")
 
 
-def simple_cycles(edges: DataFrame, longest: int = 12, most: int = 1000) -> DataFrame:
-    """``cycle``: simple cycles, each from its smallest node on, of at most ``longest`` nodes.
+def simple_cycles(edges: DataFrame) -> DataFrame:
+    """``cycle``: all simple cycles, each from its smallest node on.
 
-    Enumeration is exponential by nature, so it runs inside one strongly connected component at a time and stops
-    after ``most`` cycles of a component.
+    Paths grow by joins inside their strongly connected component, over nodes larger than their first one, until no
+    open path is left. Their number is exponential by nature: a dense component has as many rows as it has paths.
     """
-    parts = strong_components(edges)
+    parts = settle(strong_components(edges))
     inner = edges.select("src", "dst").distinct().join(parts.select(F.col("node").alias("src"), "scc"), "src")
     inner = inner.join(parts.select(F.col("node").alias("dst"), F.col("scc").alias("to")), "dst").where("scc = to")
-
-    def enumerate_(group: pd.DataFrame) -> pd.DataFrame:
-        ways = group.groupby("src")["dst"].agg(sorted).to_dict()
-        return pd.DataFrame({"cycle": list(_take(_cycles(ways, longest), most))})
-
-    return inner.select("scc", "src", "dst").groupBy("scc").applyInPandas(enumerate_, "cycle array<string>")
-
-
-def _cycles(ways: dict[str, list[str]], longest: int) -> Iterator[list[str]]:
-    for start in sorted(ways):
-        stack = [[start]]
-        while stack:
-            path = stack.pop()
-            for node in ways.get(path[-1], []):
-                if node == start:
-                    yield path
-                elif node > start and node not in path and len(path) < longest:
-                    stack.append([*path, node])
-
-
-def _take(items: Iterator, n: int) -> Iterator:
-    for _, x in zip(range(n), items):
-        yield x
+    ways = settle(inner.select("src", "dst"))
+    paths = settle(ways.where("dst >= src").select(F.array("src").alias("path"), F.col("dst").alias("next")))
+    found = paths.where("next = path[0]").select(F.col("path").alias("cycle"))
+    rounds = 0
+    while not paths.isEmpty():
+        longer = paths.where("next <> path[0]").select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("src"))
+        grown = longer.join(ways, "src").select("path", F.col("dst").alias("next"))
+        paths = settle(grown.where("next = path[0] or next > path[0] and not array_contains(path, next)"))
+        found, rounds = found.union(paths.where("next = path[0]").select("path")), rounds + 1
+        if rounds % 32 == 0:
+            found = settle(found)  # a plan of hundreds of unions would outgrow the driver
+    return found
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,7 @@
 """Hand-made corpora for what the tables cannot show: line ends, encodings, globs, parsers, caps, graphs, pages."""
 
+from itertools import permutations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,15 @@ def test_graph_on_cycles(spark):
     assert sorted(r.cycle for r in graph.simple_cycles(e).collect()) == [["a", "b", "c"], ["d"]]
 
 
+def test_long_and_many_cycles(spark):
+    ring = [f"r{i:02}" for i in range(15)]
+    dense = "abcdefg"
+    e = spark.createDataFrame([*zip(ring, ring[1:] + ring[:1]), *((a, b) for a in dense for b in dense if a != b)], "src string, dst string")
+    got = [tuple(r.cycle) for r in graph.simple_cycles(e).collect()]
+    want = [tuple(ring), *(p for n in range(2, 8) for p in permutations(dense, n) if p[0] == min(p))]
+    assert len(want) == 2366 and sorted(got) == sorted(want)
+
+
 def test_snippets_and_search(spark):
     f = files(spark, {"a.txt": "\n".join(f"line {i}" for i in range(250)), "empty.txt": "", "b.txt": "the kafka queue"})
     s = chunks.chunk_symbols(f, spark.createDataFrame([], schemas.SYMBOLS))
