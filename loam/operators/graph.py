@@ -84,19 +84,40 @@ def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, scc``: nodes on a cycle, with the smallest node of their strongly connected component.
 
-    Nodes without a way in or a way out cannot lie on a cycle and are peeled off first, so reachability is computed
-    over what may be cyclic alone.
+    Each pass gives every node the smallest node that reaches it as its colour; a node of its own colour is the
+    smallest of its component, which is what reaches it inside that colour. Found components leave, edges between
+    colours too, and what cannot be cyclic is peeled off. Tables hold one row a node or edge, never pairs of nodes.
     """
-    core, before = settle(edges.select("src", "dst").distinct()), -1
+    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("scc")).distinct()
+    core, found = _peeled(edges.where("src <> dst").select("src", "dst").distinct()), loops
+    while not core.isEmpty():
+        colour = settle(core.select(F.col("src").alias("node"), F.col("src").alias("scc")).distinct())
+        moved = colour
+        while not moved.isEmpty():
+            got = moved.join(core, moved["node"] == core["src"]).groupBy("dst").agg(F.min("scc").alias("got"))
+            colour = settle(colour.join(got, colour["node"] == got["dst"], "left").select("node", F.least("scc", "got").alias("scc"), F.coalesce(F.col("got") < F.col("scc"), F.lit(False)).alias("new")))
+            moved = colour.where("new").select("node", "scc")
+        ends = colour.select(F.col("node").alias("dst"), F.col("scc").alias("to"))
+        inside = settle(core.join(colour.select(F.col("node").alias("src"), "scc"), "src").join(ends, "dst").where("scc = to").select("src", "dst", "scc"))
+        seen = front = settle(colour.where("node = scc").select("node", "scc"))
+        while not front.isEmpty():
+            step = inside.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "scc").distinct()
+            front = settle(step.join(seen, "node", "left_anti"))
+            seen = settle(seen.unionByName(front))
+        large = seen.where("node <> scc").select("scc").distinct()
+        found = settle(found.unionByName(seen.join(large, "scc", "left_semi").select("node", "scc")))
+        gone = seen.select(F.col("node").alias("src"))
+        core = _peeled(inside.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+    return found.groupBy("node").agg(F.min("scc").alias("scc"))
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    """The edges without nodes that have no way in or no way out, again and again: those cannot lie on a cycle."""
+    core, before = settle(edges), -1
     while (n := core.count()) != before:
         before = n
         core = settle(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-    loops = core.where("src = dst").select("src", "src")
-    nodes = core.select(F.col("src").alias("id")).distinct()
-    there = reach(core, nodes)
-    both = there.join(there.select(F.col("seed").alias("node"), F.col("node").alias("seed")), ["seed", "node"])
-    rows = both.select("seed", "node").union(loops)
-    return rows.groupBy("seed").agg(F.least(F.min("node"), F.col("seed")).alias("scc")).select(F.col("seed").alias("node"), "scc")
+    return core
 
 
 def simple_cycles(edges: DataFrame) -> DataFrame:

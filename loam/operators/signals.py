@@ -105,15 +105,22 @@ def hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
 def capped(found: DataFrame) -> DataFrame:
     """Hits under their rule's cap: a file stops at the hit that makes the count of distinct lines reach the cap.
 
-    A later file still adds its first hit, so the count may pass the cap. Only rules with a cap pay for the window.
+    A later file still adds its first hit, so the count may pass the cap. Each file with hits counts at least one, so
+    the cap is reached within the first ``cap`` files of a rule; only their lines are counted in one place.
     """
     free, limited = found.where("cap is null"), found.where("cap is not null")
     lines = limited.groupBy("type", "name", "path", "pos", "line", "cap").agg(F.min("ord").alias("ord"))
     inside = Window.partitionBy("type", "name", "pos").orderBy("ord")
     ranked = lines.withColumn("k", F.row_number().over(inside)).where("k <= cap")
-    order = Window.partitionBy("type", "name").orderBy("pos", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    seen = ranked.withColumn("before", F.coalesce(F.count("*").over(order), F.lit(0)))
-    kept = seen.where((F.col("before") < F.col("cap")) | (F.col("k") == 1)).drop("k", "before")
+    heads = ranked.where("k = 1").select("type", "name", "pos", "cap")
+    for bits in (8, 16, 24, 31):  # the first files of 256 neighbours, then of 256 such groups, and so on
+        block = Window.partitionBy("type", "name", F.shiftright("pos", bits)).orderBy("pos")
+        heads = heads.withColumn("r", F.row_number().over(block)).where("r <= cap").drop("r")
+    early = heads.select("type", "name", "pos", F.lit(True).alias("early"))
+    marked = ranked.join(early, ["type", "name", "pos"], "left").withColumn("early", F.coalesce("early", F.lit(False)))
+    order = Window.partitionBy("type", "name", "early", F.when(~F.col("early"), F.col("pos"))).orderBy("pos", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    seen = marked.withColumn("before", F.coalesce(F.count("*").over(order), F.lit(0)))
+    kept = seen.where((F.col("early") & (F.col("before") < F.col("cap"))) | (F.col("k") == 1))
     return free.unionByName(kept.select(*free.columns))
 
 

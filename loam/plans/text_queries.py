@@ -79,8 +79,8 @@ def token_estimate(spark, sf_dir):
 @query(f"""select conv_id, sum(cast(floor(len(list_filter(regexp_split_to_array(role || chr(10) || text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'), lambda w: w <> '')) * 1.35::double) as int))::bigint as tokens
 from conversations group by conv_id""")
 def conversation_tokens(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("m"))
-    return turns.select("conv_id", T.message_tokens(F.col("m")).cast("long").alias("tokens"))
+    tokens = T.token_estimate(F.concat("role", F.lit("\n"), "text"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(tokens).alias("tokens"))
 
 
 @query(f"select doc_id, left(array_to_string({_WORDS}, ' '), 240) as preview from documents")

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from loam import schemas
 from loam.functions import text as T
+from loam.functions.lineage import settle
 
 #: Globs that a scan leaves out unless told otherwise. Fixed values.
 EXCLUDE = [
@@ -108,10 +109,18 @@ def scan_files(
 def with_positions(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """Files with ``hash`` and ``pos``, their place in the order of path parts; the first ``max_files`` only, if set.
 
-    The order is taken over paths alone, one short row a file.
+    The order is taken over paths alone, one short row a file: sorted in ranges, each numbered from where the ranges
+    before it end.
     """
-    order = Window.orderBy(F.split("path", "/"))
-    places = files.select("path").withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
+    ranges = files.select("path", F.split("path", "/").alias("parts")).repartitionByRange("parts").sortWithinPartitions("parts")
+    # The upper bits of this number are the partition, the lower 33 the row in it.
+    rows = settle(ranges.select("path", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row a range
+    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("start"))
+    placed = rows.withColumn("part", part).join(F.broadcast(starts), "part")
+    places = placed.select("path", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("pos"))
     if max_files is not None:
         places = places.where(F.col("pos") < max_files)
     return files.join(places, "path").select("path", "lang", "size", T.content_hash("text").alias("hash"), "text", "pos")

@@ -1,5 +1,7 @@
 """Hand-made corpora for what the tables cannot show: line ends, encodings, globs, parsers, caps, graphs, pages."""
 
+import random
+import re
 from itertools import permutations
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from loam import schemas
 from loam.functions import text as T
 from loam.operators import chunks, graph, incremental, lint, pages, parse, repomap, search, signals, summarize
+from loam.plans import registry
 from loam.sources import files as S
 from loam.sources import sinks
 
@@ -215,3 +218,42 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert set(seen) >= {(0, "a", "added"), (0, "b", "added"), (1, "a", "changed"), (1, "d", "added")} and not any(c == "removed" for _, _, c in seen)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_components_without_pairs_of_nodes(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(120)})
+    e = spark.createDataFrame([(f"n{a:02}", f"n{b:02}") for a, b in pairs], "src string, dst string")
+    sizes, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: sizes.append((out := settle(df)).count()) or out)
+    got = {(r.node, r.scc) for r in graph.strong_components(e).collect()}
+    reach = {a: {b for x, b in pairs if x == a} for a in range(60)}
+    for k in range(60):
+        for a in range(60):
+            reach[a] |= reach[k] if k in reach[a] else set()
+    want = {(a, min(b for b in reach[a] if a in reach[b])) for a in range(60) if a in reach[a]}
+    assert got == {(f"n{a:02}", f"n{b:02}") for a, b in want} and max(sizes) <= len(pairs)
+
+
+def test_capped_counts_only_the_first_files(spark):
+    rows = [("t", "n", f"f{p}", p, line, line, 40) for p in range(0, 70_000, 97) for line in range(1, 2 + p % 3)]
+    found = signals.capped(spark.createDataFrame(rows, "type string, name string, path string, pos int, line int, ord int, cap int"))
+    want = [(p, line) for i, (_, _, _, p, line, _, _) in enumerate(rows) if i < 40 or line == 1]
+    assert sorted((r.pos, r.line) for r in found.collect()) == want
+    assert not re.search(r"windowspecdefinition\(type#\d+, name#\d+, pos#\d+ ASC", _plan(found))
+
+
+def test_positions_by_ranges(spark):
+    paths = [f"d{i % 7}/f{i}.txt" for i in range(200)] + ["d1.txt", "d1/a/b"]
+    given = spark.createDataFrame([(p, "text", 1, "x") for p in paths], "path string, lang string, size long, text string").repartition(5)
+    found = S.with_positions(given)
+    assert [r.path for r in sorted(found.collect(), key=lambda r: r.pos)] == sorted(paths, key=lambda p: p.split("/"))
+    assert [r.pos for r in S.with_positions(given, 3).orderBy("pos").collect()] == [0, 1, 2] and "row_number" not in _plan(found)
+
+
+def test_conversation_tokens_gather_no_texts(spark):
+    assert "collect_list" not in _plan(registry.queries()["conversation_tokens"](spark, "/root/testdata/sf0.001"))
