@@ -167,9 +167,9 @@ def train(texts: list[str], labels: np.ndarray) -> SubwordModel:
     return model
 
 
-def train_on(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 20_000) -> SubwordModel:
+def train_on(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 20_000, least: int = 0) -> SubwordModel:
     """Train on at most ``rows`` labelled documents of at most ``chars`` characters, none of the held-out fold."""
-    sample = labelled_sample(docs, labels, "quality", remainder("doc_id", 3) != 1, rows, chars)
+    sample = labelled_sample(docs, labels, "quality", remainder("doc_id", 3) != 1, rows, chars, least)
     return train(list(sample["text"]), sample["label"].to_numpy())
 
 

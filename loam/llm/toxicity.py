@@ -118,9 +118,9 @@ def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, l2: float = 1e
     return model
 
 
-def train_on(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 20_000) -> NgramModel:
+def train_on(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 20_000, least: int = 0) -> NgramModel:
     """Train on at most ``rows`` labelled documents of at most ``chars`` characters, none of the held-out fold."""
-    sample = labelled_sample(docs, labels, "toxic", remainder("doc_id", 5) != 0, rows, chars)
+    sample = labelled_sample(docs, labels, "toxic", remainder("doc_id", 5) != 0, rows, chars, least)
     return train(list(sample["text"]), sample["label"].to_numpy())
 
 

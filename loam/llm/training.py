@@ -16,19 +16,22 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, chars: int) -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, chars: int, least: int = 0) -> pd.DataFrame:
     """``text, label`` of at most ``rows`` labelled documents of at most ``chars`` characters each, on the driver.
 
-    The rows are those of the smallest hash of ``doc_id`` among the labelled ones where ``learn`` holds, so the same
-    tables always give the same sample. A document with several labels counts by their mean. These two bounds hold
-    for learning alone; scoring reads every whole text.
+    The rows are those of the smallest hash of ``doc_id`` among the labelled ones where ``learn`` holds and whose text
+    can be learned from, so the same tables always give the same sample and no other label takes up a place. A document with several labels counts by their mean. These two bounds hold
+    for learning alone; scoring reads every whole text. Fewer than ``least`` rows for a table with rows are an error.
     """
     votes = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn)
     votes = votes.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text")
+    chosen = votes.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` small rows
-    return sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "label").toPandas()
+    got = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "label").toPandas()
+    if len(got) < least and not docs.isEmpty():
+        raise ValueError(f"{len(got)} labelled documents to learn {label!r} from, fewer than {least}")
+    return got
 
 
 def ngrams(words: list[str], shortest: int, longest: int, bits: int) -> tuple[np.ndarray, np.ndarray]:

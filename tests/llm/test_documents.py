@@ -7,12 +7,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loam.llm import mixing, packing, quality, rollups, simhash, toxicity
 from loam.llm.common import stage
 from loam.llm.components import connected_components
 from loam.llm.tokens import default_path, word_tokenizer
+from loam.llm.training import labelled_sample
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, size int"
 
@@ -292,3 +294,10 @@ def test_quality_is_the_mean_of_its_rows():
         z = model.weights @ mean + model.bias
         assert score == pytest.approx(np.exp(z[1]) / np.exp(z).sum())
     assert scorer.scores(texts).tolist() == [scorer.scores([t])[0] for t in texts]
+
+
+def test_sample_takes_usable_documents_only(spark):
+    rows = [(i, "long " * 50 if i % 10 else "short", "s") for i in range(100)]
+    labels = spark.createDataFrame([(i, i % 20 // 10) for i in range(1000)], "doc_id long, toxic int")
+    sample = labelled_sample(table(spark, rows), labels, "toxic", F.lit(True), 10, 100)
+    assert len(sample) == 10 and set(sample["text"]) == {"short"} and set(sample["label"]) == {0, 1}

@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loam.llm import packing, quality, simhash, toxicity
 
@@ -29,3 +32,10 @@ def test_stages(spark):
     assert set(ids["mixing"]) <= set(ids["near_dedup"]) and max(ids["mixing"].values()) <= 3
     pieces = Counter(r.doc_id for r in packing.pack_documents(out["mixing"]).collect())
     assert ids["packing"] == pieces
+
+
+@pytest.mark.parametrize("function", [corpus_pipeline.drop_toxic, corpus_pipeline.keep_good])
+def test_stages_without_labelled_documents_fail(spark, function):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", -F.col("doc_id") - 1)
+    with pytest.raises(ValueError, match="0 labelled documents"):
+        function(spark, docs, SF)
