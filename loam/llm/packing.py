@@ -141,7 +141,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    return pack_pieces(stage(cut_pieces(docs, tokenizer, capacity, keep_ids), "pieces"), capacity)
+    pieces = stage(cut_pieces(docs, tokenizer, capacity, keep_ids), "pieces")
+    # Dealt by hash, so that every partition packs the whole mix of lengths however the documents lie.
+    own = ["doc_id", "piece", "ids_crc32"]
+    return pack_pieces(pieces.repartition(max(1, pieces.rdd.getNumPartitions()), *own).sortWithinPartitions(*own), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

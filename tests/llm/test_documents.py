@@ -301,3 +301,10 @@ def test_sample_takes_usable_documents_only(spark):
     labels = spark.createDataFrame([(i, i % 20 // 10) for i in range(1000)], "doc_id long, toxic int")
     sample = labelled_sample(table(spark, rows), labels, "toxic", F.lit(True), 10, 100)
     assert len(sample) == 10 and set(sample["text"]) == {"short"} and set(sample["label"]) == {0, 1}
+
+
+def test_packing_does_not_depend_on_layout(spark):
+    long, short = (table(spark, [(at + i, "the " * n, "s") for i in range(40)]).coalesce(1) for at, n in ((0, 1100), (100, 900)))
+    got = packing.pack_documents(long.union(short)).collect()
+    assert len(got) == 80 and len(packing.best_fit(np.array([r.length for r in got]))[2]) == 40
+    assert len({r.sequence_id for r in got}) <= 50
