@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,11 +81,28 @@ class Store:
     def make_dir(self, path: str) -> None:
         self._fs.mkdirs(self._path(path))
 
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
     def publish(self, temporary: str, final: str) -> bool:
-        """Rename a finished folder; False, and the folder deleted, if the final name is there already."""
-        target = self._path(final)
+        """Rename a finished folder; False, and the folder deleted, if the final name is there already.
+
+        Of two that rename at once the later one ends up inside the first one's folder, under its own name; if that
+        begins with ``_``, no reader sees it there, and it is deleted again.
+        """
+        target, own = self._path(final), self._path(temporary)
         self._fs.mkdirs(target.getParent())
-        if not self._fs.exists(target) and self._fs.rename(self._path(temporary), target):
-            return True
-        self._fs.delete(self._path(temporary), True)
+        if not self._fs.exists(target) and self._fs.rename(own, target):
+            inside = self._path(target, own.getName())
+            if not self._fs.exists(inside):
+                return True
+            self._fs.delete(inside, True)
+        self._fs.delete(own, True)
         return False
+
+    def move_all(self, moves: list[tuple[str, str]], threads: int = 16) -> None:
+        """Rename files one by one; nothing is read."""
+        with ThreadPoolExecutor(threads) as pool:
+            for done, (old, new) in zip(pool.map(lambda m: self._fs.rename(self._path(m[0]), self._path(m[1])), moves), moves):
+                if not done:
+                    raise OSError(f"{old} cannot be renamed to {new}")

@@ -62,6 +62,44 @@ def test_warc_is_deterministic_and_rolls(spark, page_rows, tmp_path):
     assert a == b and len(a) > 5 and not [n for n in (tmp_path / "a" / "data").iterdir() if n.name.startswith(".") and not n.name.endswith(".crc")]
 
 
+def test_warc_records_are_unique_and_refer(spark, tmp_path):
+    """Repeated rows get ids of their own, revisits name their response the standard way, huge records end a file whole."""
+    rows = [(1, "http://a/x  y", "<p>a</p>")] * 4 + [(2, " http://b\r\n/ ", "<p>a</p>"), (3, "http://c", "<p>c</p>"), (4, "http://d", "z" * (17 << 20))]
+    root = tmp_path / "w"
+    warc.write_warc(pages(spark, rows), f"file://{root}", roll_bytes=1 << 14)
+    heads = [warc._fields(text.partition(b"\r\n\r\n")[0]) for p in sorted((root / "data").glob("part-*.warc.gz")) for _, text in warc.members(p.read_bytes())]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(set(ids)) == len(ids) >= len(rows)
+    response = {h["warc-page-id"]: h for h in heads if h["warc-type"] == "response"}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert set(response) == {"2", "3", "4"} and len(revisits) == 4
+    for h in revisits:
+        assert h["warc-refers-to"] == response["2"]["warc-record-id"] and h["warc-refers-to-target-uri"] == response["2"]["warc-target-uri"] and h["warc-refers-to-date"]
+    got = warc.read_warc(spark, f"file://{root}").collect()
+    assert Counter(r.url for r in got) == Counter({"http://a/x  y": 4, "%20http://b%0D%0A/%20": 1, "http://c": 1, "http://d": 1}) and all(r.intact for r in got)
+    assert next(len(r.payload) for r in got if r.page_id == 4) == 17 << 20
+
+
+def test_warc_writes_where_only_spark_can(spark, page_rows, tmp_path):
+    """A file system that pyarrow does not know: the Hadoop client's view of a mount table."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.store.link./out", f"file://{tmp_path}")
+    warc.write_warc(pages(spark, page_rows), "viewfs://store/out/w")
+    assert warc.read_warc(spark, "viewfs://store/out/w", payloads=False).count() == len(page_rows)
+
+
+def test_warc_shards_hold_equal_bytes(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "y" * (50_000 if i % 10 == 0 else 100) + str(i)) for i in range(400)]
+    manifest = warc.write_warc(pages(spark, rows), f"file://{tmp_path}/w", shard_bytes=200_000)
+    sizes = Counter()
+    for i, _, h in rows:
+        sizes[i] += len(h)
+    held = Counter()
+    for r in warc.read_warc(spark, f"file://{tmp_path}/w", payloads=False).collect():
+        held[int(r.file.split("-")[1])] += r.payload_bytes
+    assert manifest.count() == len(held) >= 9 and max(held.values()) <= 200_000 + 50_000 + 1000
+
+
 def test_warc_empty(spark):
     assert warc.archive_pages(pages(spark, [(1, "a", "b")]).limit(0)).count() == 0
 
