@@ -1,20 +1,21 @@
 """Token counts as delta-maintained rollups: signed changes add up to totals by source, language and tokenizer version.
 
-A rollup is a folder. ``batches/<id>`` holds one batch's signed sums by group, a table that appears by one rename and
-never changes; ``snapshots/<n>`` holds the totals of many batches (``totals``) and their ids (``batches``).
+A rollup is a folder. ``batches/batch=<id>`` holds one batch's signed sums by group, a table that appears by one rename
+and never changes; ``snapshots/<n>`` holds the totals of many batches (``totals``) and their ids (``batches``). The
+driver lists the folders of batches since the last two snapshots; ids of older batches stay a table.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import Store, fresh_dir, small_batches
+from loam.llm.common import Store, fresh_dir, small_batches, stage
 from loam.llm.tokens import default_path, word_tokenizer
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -61,15 +62,15 @@ def commit(spark: SparkSession, root: str, batch: str, changes: DataFrame) -> bo
     """Add a batch of signed changes once: False, and nothing changes, if ``batch`` was committed before.
 
     Only sums by group are written. The batch counts from the moment its folder is renamed; a run that fails before
-    leaves nothing that is read.
+    leaves nothing that is read, and of two runs that commit the same batch at once one alone succeeds.
     """
-    store, name = Store(spark, root), quote(batch, safe="")
-    if name in committed(spark, root):
+    store, final = Store(spark, root), f"{root}/batches/batch={quote(batch, safe='')}"
+    absorbed = _absorbed(spark, root)
+    if store.exists(final) or absorbed is not None and not absorbed.where(F.col("batch") == batch).isEmpty():
         return False
-    temporary = f"{root}/temporary/{uuid.uuid4().hex}"
     sums = changes.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    sums.write.parquet(temporary)
-    return store.publish(temporary, f"{root}/batches/{name}")
+    sums.write.parquet(temporary := f"{root}/temporary/_{uuid.uuid4().hex}")
+    return store.publish(temporary, final)
 
 
 def _snapshot(spark: SparkSession, root: str) -> str | None:
@@ -77,13 +78,28 @@ def _snapshot(spark: SparkSession, root: str) -> str | None:
     return f"{root}/snapshots/{max(numbers)}" if numbers else None
 
 
-def _absorbed(spark: SparkSession, snapshot: str | None) -> set[str]:
-    return {r[0] for r in spark.read.parquet(f"{snapshot}/batches").collect()} if snapshot else set()
+def _absorbed(spark: SparkSession, root: str) -> DataFrame | None:
+    """``batch``: the ids that the newest snapshot holds; it stays a table, however many they are."""
+    snapshot = _snapshot(spark, root)
+    return spark.read.schema("batch string").parquet(f"{snapshot}/batches") if snapshot else None
+
+
+def _fresh(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of committed batches that the newest snapshot lacks, with their ``batch``."""
+    Store(spark, root).make_dir(f"{root}/batches")
+    rows = spark.read.schema(f"{_DDL}, batch string").parquet(f"{root}/batches")
+    absorbed = _absorbed(spark, root)
+    return rows if absorbed is None else rows.join(absorbed, "batch", "left_anti")
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    sums = parts.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    return sums.where("docs <> 0 or tokens <> 0")
 
 
-def committed(spark: SparkSession, root: str) -> set[str]:
-    """Names of all batches that count, whether or not a snapshot has absorbed them."""
-    return _absorbed(spark, _snapshot(spark, root)) | set(Store(spark, root).names(f"{root}/batches"))
+def _with_totals(spark: SparkSession, root: str, fresh: DataFrame) -> DataFrame:
+    rows, snapshot = fresh.select(*GROUP, "docs", "tokens"), _snapshot(spark, root)
+    return _summed(rows.unionAll(spark.read.schema(_DDL).parquet(f"{snapshot}/totals")) if snapshot else rows)
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
@@ -91,32 +107,54 @@ def totals(spark: SparkSession, root: str) -> DataFrame:
 
     Groups whose documents and tokens have all been taken back are left out.
     """
-    snapshot = _snapshot(spark, root)
-    fresh = set(Store(spark, root).names(f"{root}/batches")) - _absorbed(spark, snapshot)
-    paths = [f"{root}/batches/{n}" for n in sorted(fresh)] + [f"{snapshot}/totals"] * bool(snapshot)
-    parts = spark.read.schema(_DDL).parquet(*paths) if paths else spark.createDataFrame([], _DDL)
-    sums = parts.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    return sums.where("docs <> 0 or tokens <> 0")
+    return _with_totals(spark, root, _fresh(spark, root))
 
 
 def compact(spark: SparkSession, root: str) -> None:
-    """Fold all committed batches into a new snapshot, which still knows their ids: replays stay without effect."""
-    snapshot, temporary = _snapshot(spark, root), f"{root}/temporary/{uuid.uuid4().hex}"
-    names = committed(spark, root)
-    totals(spark, root).write.parquet(f"{temporary}/totals")
-    spark.createDataFrame([(n,) for n in sorted(names)], "name string").write.parquet(f"{temporary}/batches")
-    number = int(snapshot.rpartition("/")[2]) + 1 if snapshot else 0
-    Store(spark, root).publish(temporary, f"{root}/snapshots/{number}")
+    """Fold all committed batches into a new snapshot, which still knows their ids: replays stay without effect.
+
+    Folders of batches that the snapshot before held are deleted first; those folded in now stay until the next call,
+    for readers that have begun with the old snapshot. One call at a time; commits may go on meanwhile.
+    """
+    store, snapshot, absorbed = Store(spark, root), _snapshot(spark, root), _absorbed(spark, root)
+    named = {n: unquote(n.removeprefix("batch=")) for n in store.names(f"{root}/batches")}  # since the last two snapshots
+    if absorbed is not None and named:
+        old = {r[0] for r in absorbed.where(F.col("batch").isin(list(named.values()))).collect()}
+        for folder in [n for n, batch in named.items() if batch in old]:
+            store.delete(f"{root}/batches/{folder}")
+            del named[folder]
+    fresh = _fresh(spark, root).where(F.col("batch").isin(list(named.values())))
+    temporary = f"{root}/temporary/_{uuid.uuid4().hex}"
+    _with_totals(spark, root, fresh).write.parquet(f"{temporary}/totals")
+    ids = spark.createDataFrame([(b,) for b in named.values()], "batch string")
+    (ids if absorbed is None else ids.unionAll(absorbed)).write.parquet(f"{temporary}/batches")
+    store.publish(temporary, f"{root}/snapshots/{int(snapshot.rpartition('/')[2]) + 1 if snapshot else 0}")
 
 
 def rollup_documents(docs: DataFrame) -> DataFrame:
-    """Totals of a fresh rollup to which all ``docs`` are added, as one batch, committed and then replayed.
+    """Totals of a fresh rollup over all ``docs`` after inserts, revised counts, deletes, a snapshot and replays.
+
+    All documents come in under three tokenizer versions, that of the vocabulary with the number of words as its
+    provisional count. A second batch revises that to the exact count, and after a snapshot a third deletes the
+    version ``words-0``. Each batch is committed once more at the end, without effect.
 
     Edge cases: a null text counts as a document of 0 tokens; null sources and languages are groups of their own;
     repeated rows count each; an empty table gives no rows; other columns are ignored.
     """
     spark, root = docs.sparkSession, fresh_dir(docs.sparkSession, "rollup")
-    changes = inserts(token_counts(docs))
-    commit(spark, root, "documents", changes)
-    commit(spark, root, "documents", changes)  # a replay, which finds the batch and computes nothing
+    counts = stage(token_counts(docs), "counts")
+    words, exact = counts.where("tokenizer = 'words-1'"), counts.where("tokenizer <> 'words-1'")
+    provisional = words.withColumn("tokenizer", F.lit("word_bpe_49k-1"))
+    retired = words.withColumn("tokenizer", F.lit("words-0"))
+    history = {
+        "load": inserts(words.unionAll(provisional).unionAll(retired)),
+        "exact": revisions(provisional, exact),
+        "retire": deletes(retired),
+    }
+    for batch, changes in history.items():
+        commit(spark, root, batch, changes)
+        if batch == "exact":
+            compact(spark, root)
+    for batch, changes in history.items():
+        commit(spark, root, batch, changes)  # a replay, which finds the batch and computes nothing
     return totals(spark, root)

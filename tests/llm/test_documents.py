@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loam.llm import mixing, packing, quality, rollups, simhash, toxicity
-from loam.llm.common import stage
+from loam.llm.common import Store, stage
 from loam.llm.components import connected_components
 from loam.llm.tokens import default_path, word_tokenizer
 from loam.llm.training import labelled_sample
@@ -219,12 +219,51 @@ def test_rollup_deltas(spark, tmp_path, rows):
     assert now() == dict(want)
     rollups.compact(spark, root)
     assert now() == dict(want) and not rollups.commit(spark, root, "b", rollups.inserts(rest))
-    from pyspark.sql import functions as F
-
     moved = half.withColumn("source", F.lit("moved")).withColumn("tokens", F.col("tokens") + 1)
     rollups.commit(spark, root, "c", rollups.revisions(half, moved))
     rollups.commit(spark, root, "d", rollups.deletes(rest))
     assert now() == {"moved": moved.agg(F.sum("tokens")).first()[0]}
+    for _ in range(3):  # folders of absorbed batches go, their ids and totals stay
+        rollups.compact(spark, root)
+        assert now() == {"moved": moved.agg(F.sum("tokens")).first()[0]}
+    assert not list((tmp_path / "rollup" / "batches").glob("batch=*")) and len(list((tmp_path / "rollup" / "snapshots").iterdir())) == 4
+    assert not any(rollups.commit(spark, root, b, rollups.inserts(rest)) for b in ("a/1", "b", "c", "d"))
+    assert rollups.commit(spark, root, "e", rollups.inserts(rest)) and len(now()) > 1
+
+
+def test_rollup_commits_that_meet(spark, tmp_path):
+    """Of two runs that publish one batch at once, the later one leaves nothing that is read."""
+    store, root = Store(spark, f"file://{tmp_path}"), f"file://{tmp_path}"
+    one = spark.createDataFrame([("s", "en", "t", 1, 5)], "source string, lang string, tokenizer string, docs long, tokens long")
+    one.write.parquet(f"{root}/temporary/_a")
+    one.write.parquet(f"{root}/temporary/_b")
+    assert store.publish(f"{root}/temporary/_a", f"{root}/batches/batch=x")
+    store.exists = lambda path: False
+    real, store._fs = store._fs, None
+
+    class Blind:
+        """Says that the final folder is not there yet, as it was when the other run looked."""
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def exists(self, path):
+            return real.exists(path) and not path.toString().endswith("batch=x")
+
+    store._fs = Blind()
+    assert not store.publish(f"{root}/temporary/_b", f"{root}/batches/batch=x")
+    assert [r.tokens for r in rollups.totals(spark, root).collect()] == [5] and not list((tmp_path / "temporary").iterdir())
+
+
+def test_rollup_query_equals_brute_force(spark, rows):
+    whole = Tokenizer.from_file(default_path())
+    docs, tokens = Counter(), Counter()
+    for _, t, s in rows:
+        for name, n in (("words-1", len((t or "").split())), ("word_bpe_49k-1", len(whole.encode(t or "", add_special_tokens=False).ids))):
+            docs[s, "en", name] += 1
+            tokens[s, "en", name] += n
+    got = rollups.rollup_documents(table(spark, rows)).collect()
+    assert len(got) == len(docs) and {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in got} == {k: (docs[k], tokens[k]) for k in docs}
 
 
 def labelled(rng, n, bad):
