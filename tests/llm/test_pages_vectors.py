@@ -201,9 +201,9 @@ def test_near_vectors_empty_and_unusable(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-@pytest.mark.parametrize("shard,block", [(30, 4), (10_000, 512)])
-def test_top_k_equals_brute_force(spark, vector_rows, shard, block):
-    got = topk.top_k(vectors(spark, vector_rows), shard_rows=shard, block_rows=block).collect()
+@pytest.mark.parametrize("shard,chunk", [(30, 4), (10_000, 512)])
+def test_top_k_equals_brute_force(spark, vector_rows, shard, chunk):
+    got = topk.top_k(vectors(spark, vector_rows), shard_rows=shard, chunk_rows=chunk).collect()
     rows = [(k, np.floor(64 * np.pad(np.array(v, np.float32).astype(float), (0, 16 - len(v)))).astype(int)) for k, v, _ in vector_rows if k is not None and v is not None and (usable(v) or not v)]
     by = {}
     for r in got:
@@ -223,12 +223,24 @@ def test_top_k_few_candidates_and_large_numbers(spark):
     assert topk.top_k(vectors(spark, big).limit(0)).count() == 0 and topk.top_k(vectors(spark, [(20, [1.0], 0)])).count() == 0
 
 
+@pytest.mark.parametrize("shard,chunk", [(3, 1), (5, 2), (10_000, 512)])
+def test_top_k_gives_a_repeated_query_id_one_list(spark, shard, chunk):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist(), 0) for i in range(1, 40)] + [(20, rng.normal(size=4).tolist(), 0) for _ in range(7)]
+    rows += [rows[-1]] * 2 + [rows[3]] * 3
+    got = sorted(tuple(r) for r in topk.top_k(vectors(spark, rows), shard_rows=shard, chunk_rows=chunk).collect())
+    ints = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, _ in rows]
+    best = sorted((-max(int(q @ v) for j, q in ints if j == 20), i) for i, v in ints if i != 20)[:20]
+    assert got == [(20, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 def test_ball_tree_prunes_and_stays_exact():
     rng = np.random.default_rng(3)
     x = np.concatenate([c + rng.integers(-3, 4, (200, 8)) for c in rng.integers(-60, 60, (20, 8))])
     tree = topk.build_tree(np.arange(len(x)), x, leaf=32)
     q = x[:5] * 1
-    best, who = topk.search(tree, np.arange(5), q, np.full(5, topk.LEAST), 7)
+    best, places = topk.search(tree, np.arange(5), q, np.full(5, topk.LEAST), 7)
+    who = tree.ids[places]
     for i in range(5):
         s = x @ q[i]
         s[i] = -(10**9)
