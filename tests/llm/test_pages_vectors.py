@@ -167,9 +167,9 @@ def usable(v):
     return v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v)
 
 
-@pytest.mark.parametrize("chunk", [8, 1024])
-def test_near_vectors_equal_brute_force(spark, vector_rows, chunk):
-    got = vector_dedup.near_vectors(vectors(spark, vector_rows), chunk=chunk).collect()
+@pytest.mark.parametrize("chunk,keys", [(8, 0), (8, 1000), (1024, 1000)])
+def test_near_vectors_equal_brute_force(spark, vector_rows, chunk, keys):
+    got = vector_dedup.near_vectors(vectors(spark, vector_rows), chunk=chunk, small_keys=keys).collect()
     n = len(vector_rows)
     links, parent = [0] * n, list(range(n))
 
@@ -195,6 +195,12 @@ def test_near_vectors_equal_brute_force(spark, vector_rows, chunk):
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
 
 
+def test_short_vectors_keep_their_bound():
+    x = vector_dedup._unit(np.random.default_rng(2).normal(size=(50, 16)))
+    short, step, blur = vector_dedup._shorten(x)
+    assert short.shape == (50, 8) and np.allclose(np.sqrt(((vector_dedup._lengthen(short, step) - x) ** 2).sum(1)), blur) and blur.max() < 0.3
+
+
 def test_near_vectors_empty_and_unusable(spark):
     assert vector_dedup.near_vectors(vectors(spark, [(1, [1.0], 1)]).limit(0)).count() == 0
     got = vector_dedup.near_vectors(vectors(spark, [(1, None, 1), (2, [0.0], 1)])).collect()
