@@ -4,17 +4,42 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a table once, in the session's checkpoint folder, for all that read it later.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set if need be.
 
     A local session without such a folder gets a temporary one; a cluster must name one in spark.checkpoint.dir.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loam-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once, in the session's checkpoint folder, for all that read it later."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def placed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``place``: each row's number from 1 in its group, by ``order``.
+
+    A range sort over group and order; each range is numbered from where those before it end, so that a group of any
+    size is spread over tasks. What meets in one place is a row for each range and group that begins or ends there.
+    """
+    keys = [*group, *order]
+    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The upper bits of this number are the partition, the lower 33 the row in it.
+    rows = settle(ranges.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    runs = rows.groupBy("part", *group).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1
+    starts = runs.select(F.col("part").alias("of"), *[F.col(g).alias(f"of_{g}") for g in group], shift.alias("shift"))
+    same = [F.col("part") == F.col("of"), *[F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in group]]
+    return rows.join(starts, same).select(*df.columns, (F.col("at") + F.col("shift")).alias("place"))

@@ -16,6 +16,7 @@ LANGUAGES = {
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 #: Line ends as Python's str.splitlines() sees them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: How a citation and a link to a page look. Fixed values.
 CITATION = r"([A-Za-z0-9_./-]+):L(\d+)-L(\d+)"
 LINK = r"\[[^\]]+\]\(([^)]+\.md)\)"
 
@@ -70,9 +71,8 @@ def slug(name: Column | str) -> Column:
 
 def split_lines(text: Column | str) -> Column:
     """Lines without their ends; a final line end adds no line, and an empty text has none."""
-    lines = F.split(F.regexp_replace(c(text), LINE_END, "\n"), "\n")
-    last = F.element_at(lines, -1) == ""
-    return F.when(c(text) == "", F.array().cast("array<string>")).otherwise(F.when(last, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines))
+    body = F.regexp_replace(F.regexp_replace(c(text), LINE_END, "\n"), r"\n\z", "")
+    return F.when(c(text) == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
 
 
 def line_slice(lines: Column, start: Column, end: Column) -> Column:
@@ -192,27 +192,26 @@ def strip_tags(html: Column | str) -> Column:
     return F.regexp_replace(c(html), r"<[^>]+>", "")
 
 
-def matches(text: Column | str, pattern: str, group: int = 0) -> Column:
-    """``array<struct(ord, line, text)>``: each match of ``pattern`` with the line it starts on, counting ``\\n`` alone.
+#: Marks where a match begins; a private-use character, which no pattern tells from the one that stands in for it.
+_MARK, _MARK_STAND_IN = "\ue000", "\ufffd"
+
 
-    What lies before a match is the text's parts and matches so far, so lines come from the pieces of a split; no
-    Python and no join.
+def match_lines(text: Column | str, pattern: str) -> Column:
+    """The line that each match of ``pattern`` starts on, counting ``\\n`` alone.
+
+    The text is marked where matches begin and then split into lines, so the work is linear in the text.
     """
-    full = f"(?s)^.*$" if pattern == "" else pattern
-    parts, whole = F.split(c(text), full, -1), F.regexp_extract_all(c(text), F.lit(full), F.lit(0))
-    shown = F.regexp_extract_all(c(text), F.lit(full), F.lit(group))
-    breaks = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
-    one = lambda i: F.struct(
-        i.alias("ord"),
-        (
-            1
-            + F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, p: a + breaks(p))
-            + F.aggregate(F.slice(whole, F.lit(1), i - 1), F.lit(0), lambda a, p: a + breaks(p))
-        ).alias("line"),
-        shown[i - 1].alias("text"),
-    )
-    none = F.array().cast("array<struct<ord:int,line:int,text:string>>")
-    return F.when(F.size(whole) > 0, F.transform(F.sequence(F.lit(1), F.size(whole)), one)).otherwise(none)
+    marked = F.regexp_replace(F.translate(c(text), _MARK, _MARK_STAND_IN), F.lit(pattern), F.lit(_MARK + "$0"))
+    times = lambda line: F.length(line) - F.length(F.translate(line, _MARK, ""))
+    lines = F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(i + 1, times(line))))
+    return F.when(F.rlike(c(text), F.lit(pattern)), lines).otherwise(F.array().cast("array<int>"))
+
+
+def matches(text: Column | str, pattern: str, group: int = 0) -> Column:
+    """``array<struct(ord, line, text)>``: each match of ``pattern`` with the line it starts on; ``text`` is its ``group``."""
+    shown = F.regexp_extract_all(c(text), F.lit(pattern), F.lit(group))
+    rows = F.zip_with(match_lines(text, pattern), shown, lambda line, t: F.struct(line.alias("line"), t.alias("text")))
+    return F.transform(rows, lambda m, i: F.struct((i + 1).alias("ord"), m["line"].alias("line"), m["text"].alias("text")))
 
 
 def glob_regex(globs: list[str]) -> str:

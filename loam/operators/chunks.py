@@ -12,12 +12,13 @@ CHUNK_LINES = 120
 
 def chunk_lines(files: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     """Snippets of ``size`` lines; an empty file has none."""
-    cut = files.select("path", "lang", "pos", T.split_lines("text").alias("lines")).where(F.size("lines") > 0)
-    cut = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(size))))
-    start, end = F.col("at") + 1, F.least(F.col("at") + size, F.size("lines"))
+    cut = files.where("text <> ''").select("path", "lang", "pos", T.split_lines("text").alias("lines"))
+    end = lambda at: F.least(at + size, F.size("lines"))
+    piece = lambda at: F.struct(at.alias("at"), end(at).alias("end"), F.array_join(F.slice("lines", at + 1, F.lit(size)), "\n").alias("text"))
+    cut = cut.select("path", "lang", "pos", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(size)), piece)).alias("p"))
     return cut.select(
-        T.line_slice(F.col("lines"), start, end).alias("text"), T.cite("path", start, end).alias("cite"), F.lit(0.0).alias("score"), "path", "lang",
-        F.lit("").alias("symbol"), F.lit("chunk").alias("kind"), (F.col("pos").cast("long") * 1_000_000 + F.col("at")).alias("pos"),
+        "p.text", T.cite("path", F.col("p.at") + 1, "p.end").alias("cite"), F.lit(0.0).alias("score"), "path", "lang",
+        F.lit("").alias("symbol"), F.lit("chunk").alias("kind"), (F.col("pos").cast("long") * 1_000_000 + F.col("p.at")).alias("pos"),
     )
 
 

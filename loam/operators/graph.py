@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -184,11 +184,18 @@ def impacted_pages(impacted: DataFrame, pagemap: DataFrame) -> DataFrame:
 
 
 def neighbor_context(edges: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:
-    """``path, imports, dependents, calls``: what a file imports, who imports it, and its most frequent calls."""
-    out = edges.where("edge_type = 'imports'").select(F.substring("src", 6, 10_000).alias("path"), F.regexp_replace("dst", "^(file|external):", "").alias("dep"))
-    imports = out.groupBy("path").agg(F.array_sort(F.collect_set("dep")).alias("imports"))
-    dependents = file_dependents(edges).groupBy("path").agg(F.array_sort(F.collect_set("dependent")).alias("dependents"))
-    counted = symbols.select("path", F.explode("calls").alias("callee")).groupBy("path", "callee").agg(F.count("*").alias("n"))
-    order = F.array_sort(F.collect_list(F.struct(-F.col("n"), "callee")))
-    calls = counted.groupBy("path").agg(F.transform(F.slice(order, F.lit(1), F.lit(most)), lambda x: x["callee"]).alias("calls"))
+    """``path, imports, dependents, calls``: the files that a file imports and that import it, and its calls.
+
+    ``calls`` are the ``most`` symbols it calls most often, as ``name (count)``, the one called first before equals.
+    """
+    between = file_dependencies(edges.where("edge_type = 'imports'"))
+    imports = between.groupBy("path").agg(F.array_sort(F.collect_set("dep")).alias("imports"))
+    dependents = between.groupBy(F.col("dep").alias("path")).agg(F.array_sort(F.collect_set("path")).alias("dependents"))
+    callers = symbols.select(F.col("id").alias("src"), "path", F.col("ord").alias("at"))
+    callees = symbols.select(F.col("id").alias("dst"), "name").dropDuplicates(["dst"])
+    called = edges.where("edge_type = 'calls'").join(callers, "src").join(callees, "dst", "left").withColumn("callee", F.coalesce("name", "dst"))
+    counted = called.groupBy("path", "callee").agg(F.count("*").alias("n"), F.min(F.struct("at", "ord")).alias("first"))
+    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "first", "callee"))).where(F.col("r") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("r", F.format_string("%s (%d)", "callee", "n").alias("v"))))
+    calls = ranked.groupBy("path").agg(F.transform(listed, lambda x: x["v"]).alias("calls"))
     return imports.join(dependents, "path", "full").join(calls, "path", "full")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.functions.lineage import placed
 
 #: Pages that need no inbound link. Fixed values.
 ROOTS = ["index.md", "log.md", "00-overview/executive-summary.md"]
@@ -18,12 +19,11 @@ def page_citations(pages: DataFrame) -> DataFrame:
     return rows.select("page", "cite", span["path"].alias("path"), span["start"].alias("start"), span["end"].alias("end"))
 
 
-def check_citations(cited: DataFrame, files: DataFrame, placeholders: tuple[str, ...] = ("path", "path/to/file", "file")) -> DataFrame:
-    """``cited`` with ``status``: placeholder, unresolved (no such file), stale (beyond its end) or ok."""
+def check_citations(cited: DataFrame, files: DataFrame) -> DataFrame:
+    """``cited`` with ``status``: placeholder (lines 1 to 1), unresolved (no such file), stale (beyond its end) or ok."""
     lines = files.select("path", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("lines"))
-    bad = (F.col("start") < 1) | (F.col("end") < F.col("start")) | (F.col("end") > F.col("lines"))
-    name = F.regexp_replace("path", r"\.[a-z]+$", "")
-    status = F.when(name.isin(list(placeholders)), "placeholder").when(F.col("lines").isNull(), "unresolved").when(bad, "stale").otherwise("ok")
+    first = (F.col("start") == 1) & (F.col("end") == 1)
+    status = F.when(first, "placeholder").when(F.col("lines").isNull(), "unresolved").when(F.col("end") > F.col("lines"), "stale").otherwise("ok")
     return cited.join(lines, "path", "left").select(*cited.columns, status.alias("status"))
 
 
@@ -60,18 +60,32 @@ def missing_citations(pages: DataFrame) -> DataFrame:
     return pages.where(F.contains("text", F.lit("## Sources")) & (F.size(T.citations("text")) == 0)).select("page")
 
 
-def lint_report(pages: DataFrame, files: DataFrame) -> DataFrame:
-    """``kind, items, n``: sorted distinct findings of each kind; one row a kind that has any."""
+def lint_findings(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """``kind, item``: the distinct findings, a row each."""
     checked, linked = check_citations(page_citations(pages), files), page_links(pages)
     found = checked.where("status <> 'ok'").select(F.concat("status", F.lit("_citations")).alias("kind"), F.concat("page", F.lit(": "), "cite").alias("item"))
     found = found.union(broken_links(linked).select(F.lit("broken_links"), F.concat("page", F.lit(" -> "), "link")))
     found = found.union(missing_citations(pages).select(F.lit("missing_citations"), "page")).union(orphans(pages, linked).select(F.lit("orphans"), "page"))
-    return found.groupBy("kind").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("n", F.size("items"))
+    return found.distinct()
 
 
-def lint_summary(report: DataFrame, pages: DataFrame) -> DataFrame:
+def lint_report(findings: DataFrame) -> DataFrame:
+    """``kind, place, item``: the findings of each kind in order, a row each with its place from 1.
+
+    Places come from a range sort: each range is numbered from where those before it end.
+    """
+    return placed(findings, ["kind"], ["item"])
+
+
+#: The kinds of findings and their names in the summary line. Fixed values.
+KINDS = {
+    "broken_links": "broken_links", "missing_citations": "missing_citations", "unresolved_citations": "unresolved", "stale_citations": "stale",
+    "placeholder_citations": "placeholders", "orphans": "orphans",
+}
+
+
+def lint_summary(findings: DataFrame, pages: DataFrame) -> DataFrame:
     """``summary``: the counts of all kinds in one line."""
-    kinds = ["broken_links", "missing_citations", "unresolved_citations", "stale_citations", "placeholder_citations", "orphans"]
-    counts = report.agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds])
+    counts = findings.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
     head = F.concat(F.lit("pages="), pages.agg(F.count("*")).scalar())
-    return counts.select(F.concat_ws(" ", head, *[F.concat(F.lit(f"{k.replace('_citations', '') if k != 'missing_citations' else k}="), k) for k in kinds]).alias("summary"))
+    return counts.select(F.concat_ws(" ", head, *[F.concat(F.lit(f"{name}="), k) for k, name in KINDS.items()]).alias("summary"))

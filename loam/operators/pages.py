@@ -128,15 +128,16 @@ def capability_integrations(groups: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def capability_summaries(groups: DataFrame, summaries: DataFrame) -> DataFrame:
-    """``capability, path``: file summaries that mention a capability, else those of its evidence files.
+    """``capability, path``: file summaries that hold a capability's name anywhere, else those of its evidence files.
 
-    Words of the summaries are exploded and joined on equality with the capability's first word; the whole name is
-    then looked for, so no capability meets a file without a word in common.
+    All runs of up to three characters of a summary are joined with the first three of the capability, and the whole
+    name is then looked for, so no capability meets a file without such a run in common.
     """
-    hay = F.lower(F.concat_ws(" ", "responsibility", "business_relevance", "what_it_does"))
-    told = summaries.select("path", hay.alias("hay")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))))
-    asked = groups.select("capability", F.lower("capability").alias("low")).withColumn("word", F.regexp_extract("low", r"[\p{L}\p{N}]+", 0))
-    mentions = told.join(asked, "word").where(F.contains("hay", F.col("low"))).select("capability", "path").distinct()
+    hay = F.lower(F.concat_ws(" ", "business_relevance", "what_it_does", "responsibility"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length("hay")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring("hay", i, n))))
+    told = summaries.select("path", hay.alias("hay")).where("hay <> ''").withColumn("run", F.explode(F.array_distinct(runs)))
+    asked = groups.select("capability", F.lower("capability").alias("low")).withColumn("run", F.left("low", F.lit(3)))
+    mentions = told.join(asked, "run").where(F.contains("hay", F.col("low"))).select("capability", "path").distinct()
     own = groups.select("capability", F.explode("evidence").alias("cite")).select("capability", T.cite_path("cite").alias("path")).distinct()
     rest = own.join(mentions.select("capability").distinct(), "capability", "left_anti")
     return mentions.union(rest)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.functions.lineage import settle
 
 #: Words that queries and postings leave out. Fixed values.
 STOP_WORDS = [
@@ -25,14 +27,17 @@ def terms(text: Column | str) -> Column:
 
 
 def postings(snippets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(term, field, cite, tf)`` and ``(field, cite, len)`` over body, path and symbol; of equal cites the last counts."""
-    last = snippets.groupBy("cite").agg(F.max_by(F.struct("text", "path", "symbol"), "pos").alias("s"))
+    """``(term, field, cite, tf)`` and ``(field, cite, len)`` over body, path and symbol; of equal cites the last counts.
+
+    Terms are taken from the texts once, for both tables and however often they are read.
+    """
     fields = F.array(
-        F.struct(F.lit("body").alias("field"), terms("s.text").alias("terms")),
-        F.struct(F.lit("path").alias("field"), F.array(F.lower("s.path")).alias("terms")),
-        F.struct(F.lit("symbol").alias("field"), terms("s.symbol").alias("terms")),
+        F.struct(F.lit("body").alias("field"), terms("text").alias("terms")),
+        F.struct(F.lit("path").alias("field"), F.array(F.lower("path")).alias("terms")),
+        F.struct(F.lit("symbol").alias("field"), terms("symbol").alias("terms")),
     )
-    split = last.select("cite", F.explode(fields).alias("f")).select("cite", "f.field", "f.terms")
+    last = settle(snippets.select("cite", "pos", fields.alias("fields")).groupBy("cite").agg(F.max_by("fields", "pos").alias("fields")))
+    split = last.select("cite", F.explode("fields").alias("f")).select("cite", "f.field", "f.terms")
     lengths = split.select("field", "cite", F.size("terms").alias("len"))
     found = split.select("field", "cite", F.explode("terms").alias("term")).groupBy("term", "field", "cite").agg(F.count("*").alias("tf"))
     return found, lengths
@@ -41,13 +46,14 @@ def postings(snippets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bm25(found: DataFrame, lengths: DataFrame, query: DataFrame, every: bool = True) -> DataFrame:
     """``query_id, cite, score`` of the BM25 score summed over fields and terms.
 
-    ``query`` is ``query_id, text``; only postings of its terms are read. With ``every``, a snippet must hold all of
-    a query's terms, each in any field.
+    ``query`` is ``query_id, text``; only postings of its terms are read: the semi join on the term goes below the
+    postings' own aggregation. With ``every``, a snippet must hold all of a query's terms, each in any field.
     """
     asked = query.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    found = settle(found.join(asked.select("term").distinct(), "term", "left_semi"))
     stats = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
     hits = found.join(asked, "term")
-    seen = hits.select("term", "field", "cite").distinct().groupBy("term", "field").agg(F.count("*").alias("df"))
+    seen = found.groupBy("term", "field").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     scored = hits.join(seen, ["term", "field"]).join(stats, "field").join(lengths, ["field", "cite"])
@@ -62,8 +68,7 @@ def substring_hits(snippets: DataFrame, query: str, k: int | None = None) -> Dat
     """Snippets by how often their text holds the whole query, case ignored, without overlaps; ties by position."""
     if not query.strip():
         return snippets.limit(0)
-    low, q = F.lower("text"), query.lower()
-    count = (F.length(low) - F.length(F.replace(low, F.lit(q), F.lit("")))) / len(q)
+    count = F.regexp_count(F.lower("text"), F.lit("\\Q" + query.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E"))
     hits = snippets.withColumn("score", count.cast("double")).where("score > 0").orderBy(F.desc("score"), "pos", "cite")
     return hits.limit(k) if k else hits
 
@@ -78,9 +83,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_hits(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """``cite, score`` of the ``k`` vectors of largest cosine with ``query``; exact, one scan, ties by cite."""
+    """``cite, score`` of the ``k`` vectors of largest cosine with ``query``; exact, one scan, ties by cite.
+
+    Scores are rounded to 9 digits, so that ties do not hang on the order of sums.
+    """
     asked = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select("cite", cosine(F.col("embedding"), asked).alias("score")).orderBy(F.desc("score"), "cite").limit(k)
+    return vectors.select("cite", F.round(cosine(F.col("embedding"), asked), 9).alias("score")).orderBy(F.desc("score"), "cite").limit(k)
 
 
 def embed_snippets(snippets: DataFrame, embed: Callable, chars: int = 4000) -> DataFrame:
@@ -90,10 +98,26 @@ def embed_snippets(snippets: DataFrame, embed: Callable, chars: int = 4000) -> D
 
 
 def snippet_signature(snippets: DataFrame, model: str) -> DataFrame:
-    """``signature`` of a snippet set for a model: stored vectors with another signature are stale."""
-    parts = F.array_sort(F.collect_list(F.struct("pos", "cite", F.sha2("text", 256).alias("hash"))))
-    joined = F.array_join(F.transform(parts, lambda p: F.concat(p["cite"], F.lit("|"), p["hash"])), "\n")
-    return snippets.agg(F.sha2(F.concat(F.lit(model + "\n"), joined), 256).alias("signature"))
+    """``signature`` of a snippet set for a model: stored vectors with another signature are stale.
+
+    It hashes the number of snippets and the sums of two 60-bit halves of their hashes, so nothing is gathered and the
+    order of snippets does not matter.
+    """
+    one = F.sha2(F.concat("cite", F.lit("|"), F.sha2("text", 256)), 256)
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring(one, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    parts = F.concat_ws(":", F.count("*").cast("string"), half(1), half(16))
+    return snippets.agg(F.sha2(F.concat(F.lit(model + "\n"), parts), 256).alias("signature"))
+
+
+def fresh_vectors(snippets: DataFrame, embed: Callable, model: str, root: str) -> DataFrame:
+    """The vectors stored under ``root`` if their signature is that of ``snippets`` and ``model``, else new ones, stored."""
+    from loam.sources import files, sinks
+
+    spark, wanted = snippets.sparkSession, snippet_signature(snippets, model)
+    stored = files.load_signature(spark, root)
+    if stored.join(wanted, "signature", "left_semi").isEmpty():
+        sinks.write_vectors(embed_snippets(snippets, embed), root, wanted)
+    return files.load_vectors(spark, root)
 
 
 def candidate_depth(k: int) -> int:
@@ -140,23 +164,29 @@ def boost_by_symbols(fused: DataFrame, corpus: DataFrame, seeds: DataFrame) -> D
 def retrieve(
     snippets: DataFrame, found: DataFrame, lengths: DataFrame, question: str, k: int = 8, vectors: DataFrame | None = None,
     query_vector: list[float] | None = None, edges: DataFrame | None = None, every: bool = False,
+    bm25_payload: DataFrame | None = None, vector_payload: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` best snippets for a question: BM25 and, given vectors, cosine lists fused by rank, then boosted.
 
     The seeds are the first hits of BM25. Boosts follow graph edges where there are any, else shared symbols. Every
-    list is cut to its depth before ranking, so the windows run over a few dozen rows.
+    list is cut to its depth before ranking, so the windows run over a few dozen rows. Where the BM25 index or the
+    vector store keep snippets of their own (tables like ``snippets``), a hit's text is the vector store's, else the
+    index's, else that of ``snippets``. Scores are rounded to 9 digits before ranking.
     """
     depth = candidate_depth(k)
     ask = snippets.sparkSession.createDataFrame([(0, question)], "query_id int, text string")
-    best = bm25(found, lengths, ask, every).orderBy(F.desc("score"), "cite").limit(depth)
-    lists = [ranked(best, F.desc("score"), "cite")]
+    best = bm25(found, lengths, ask, every).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "cite").limit(depth)
+    lists = [settle(ranked(best, F.desc("score"), "cite"))]
     if vectors is not None and query_vector is not None:
-        lists.append(ranked(vector_hits(vectors, query_vector, depth), F.desc("score"), "cite"))
+        lists.append(settle(ranked(vector_hits(vectors, query_vector, depth), F.desc("score"), "cite")))
     fused = fuse_ranks(lists)
     seeds = snippets.join(lists[0].where(F.col("rank") <= SEEDS).select("cite"), "cite", "left_semi").select("path", "symbol")
     scored = boost_by_graph(fused, snippets, seeds, edges) if edges is not None else boost_by_symbols(fused, snippets, seeds)
-    top = scored.orderBy(F.desc("score"), "seq").limit(k)
-    payload = snippets.groupBy("cite").agg(F.max_by(F.struct("text", "path", "lang", "symbol", "kind"), "pos").alias("s"))
+    top = settle(scored.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "seq").limit(k))
+    body = ["text", "path", "lang", "symbol", "kind"]
+    stores = [snippets, *[p.join(x.select("cite"), "cite", "left_semi") for p, x in zip((bm25_payload, vector_payload), lists) if p is not None]]
+    told = reduce(DataFrame.unionAll, [s.join(top.select("cite"), "cite", "left_semi").select("cite", F.struct(F.lit(i).alias("store"), "pos").alias("at"), *body) for i, s in enumerate(stores)])
+    payload = told.groupBy("cite").agg(F.max_by(F.struct(*body), "at").alias("s"))
     return top.join(payload, "cite").select("cite", "score", "s.*").orderBy(F.desc("score"), "cite")
 
 

@@ -49,9 +49,9 @@ COMPLIANCE_RULES = [
 ]
 #: Security rules. Fixed values.
 SECURITY_RULES = [
-    Rule("security_auth", r"(?iU)\b(auth|oauth|jwt|token|login|session|rbac|acl)\b", "Authentication and Authorization", cap=40),
-    Rule("security_secret", r"(?iU)\b(api[_-]?key|secret|password|token)\b\s*[:=]", "Secrets Handling", cap=40),
-    Rule("security_owasp", r"(?iU)\b(sql|xss|csrf|ssrf|deserializ|path traversal|command injection|unsafe)\b", "OWASP Risk Indicators", cap=40),
+    Rule("security_auth", r"(?iU)\b(auth|oauth|jwt|token|login|session|rbac|acl)\b", "Authentication/Authorization Flow", cap=40),
+    Rule("security_secret", r"(?iU)\b(api[_-]?key|secret|password|token)\b\s*[:=]", "Secrets Handling Surface", cap=40),
+    Rule("security_owasp", r"(?iU)\b(sql|xss|csrf|ssrf|deserializ|path traversal|command injection|unsafe)\b", "OWASP Touchpoints", cap=40),
 ]
 #: Automation hints: the first four matches a file. Fixed values.
 OPPORTUNITY_RULES = [
@@ -70,19 +70,21 @@ OPPORTUNITY_RULES = [
 SPRING_ROUTES = {
     "RequestMapping": "ANY", "GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH",
 }
-SPRING_GATE = ["springframework", "@restcontroller", "@requestmapping"]
 
 _HIT = "struct<type:string,name:string,line:int,ord:int,cap:int>"
 
 
 def _hits(rule: Rule) -> Column:
     """The rule's matches in ``text`` as an array of hits."""
+    if rule.lines and rule.name:  # which lines, and nothing else of the matches
+        lines = T.match_lines("text", rule.pattern)
+        lines = F.slice(lines, F.lit(1), F.lit(rule.per_file)) if rule.per_file else lines
+        fixed = lambda line, i: F.struct(F.lit(rule.type).alias("type"), F.lit(rule.name).alias("name"), line.alias("line"), (i + 1).alias("ord"), F.lit(rule.cap).cast("int").alias("cap"))
+        return F.transform(lines, fixed).cast(f"array<{_HIT}>")
     found = T.matches("text", rule.pattern)
     if rule.per_file:
         found = F.slice(found, F.lit(1), F.lit(rule.per_file))
-    if rule.name:
-        name = lambda m: F.lit(rule.name)
-    elif rule.groups == (2, 3):
+    if rule.groups == (2, 3):
         name = lambda m: F.concat(F.upper(F.regexp_extract(m["text"], rule.pattern, 2)), F.lit(" "), F.regexp_extract(m["text"], rule.pattern, 3))
     elif rule.groups == (0,):
         name = lambda m: F.initcap(m["text"])
@@ -124,8 +126,23 @@ def capped(found: DataFrame) -> DataFrame:
     return free.unionByName(kept.select(*free.columns))
 
 
+def evidence_rows(found: DataFrame) -> DataFrame:
+    """``type, name, cite, at``: each line that shows a signal, once, a row each; ``at`` is its file's and match's order."""
+    lines = found.groupBy("type", "name", "path", "line").agg(F.min(F.struct("pos", "ord")).alias("at"))
+    return lines.select("type", "name", T.cite("path", "line", "line").alias("cite"), "at")
+
+
+def score_rows(found: DataFrame, prefix: str) -> DataFrame:
+    """``type, score`` of a lens from hits: counted without gathering citations."""
+    return evidence_rows(found).where(F.startswith("type", F.lit(prefix))).groupBy("type").agg(F.count("*").cast("double").alias("score"))
+
+
 def collect(found: DataFrame) -> DataFrame:
-    """Signals ``type, name, evidence``: hits by type and name, their citations in file and match order, repeats dropped."""
+    """Signals ``type, name, evidence``: hits by type and name, their citations in file and match order, repeats dropped.
+
+    For pages and prompts, which take whole signals. A signal of very many citations is better read as
+    :func:`evidence_rows`.
+    """
     lines = found.groupBy("type", "name", "path", "line").agg(F.min(F.struct("pos", "ord")).alias("at"))
     evidence = F.array_sort(F.collect_list(F.struct("at", T.cite("path", "line", "line").alias("cite"))))
     return lines.groupBy("type", "name").agg(F.transform(evidence, lambda e: e["cite"]).alias("evidence"))
@@ -133,23 +150,26 @@ def collect(found: DataFrame) -> DataFrame:
 
 def spring_hits(files: DataFrame) -> DataFrame:
     """Routes, entities, scheduled methods and Kafka listeners of Spring files."""
-    gate = F.lower("text")
-    own = files.where((F.col("lang") == "java") & F.rlike(gate, F.lit("springframework|@restcontroller|@controller|@entity|mapping|@scheduled|@kafkalistener")))
+    own = files.where((F.col("lang") == "java") & F.rlike("text", F.lit("(?i:spring)|@RestController|@RequestMapping")))
     route = r"(?s)@(RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping)\s*(?:\((.*?)\))?"
     methods = F.create_map(*[F.lit(x) for pair in SPRING_ROUTES.items() for x in pair])
 
+    def quoted(args: Column) -> Column:
+        return F.nullif(F.regexp_extract(args, r"[\"']([^\"']+)[\"']", 1), F.lit(""))
+
     def path_of(args: Column) -> Column:
-        named = F.nullif(F.regexp_extract(args, r"(?s)(?:value|path)\s*=\s*\{?\s*\"([^\"]*)\"", 1), F.lit(""))
-        return F.coalesce(named, F.nullif(F.regexp_extract(args, r"(?s)\"([^\"]*)\"", 1), F.lit("")), F.lit("/"))
+        named = F.nullif(F.regexp_extract(args, r"(?:value|path)\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
+        return F.coalesce(F.nullif(F.trim(F.coalesce(named, quoted(args))), F.lit("")), F.lit("/"))
 
     hit = lambda kind, name, m: F.struct(F.lit(kind).alias("type"), name.alias("name"), m["line"].alias("line"), m["ord"].alias("ord"), F.lit(None).cast("int").alias("cap"))
     routes = F.transform(
         T.matches("text", route), lambda m: hit("api_route", F.concat(methods[F.regexp_extract(m["text"], route, 1)], F.lit(" "), path_of(F.regexp_extract(m["text"], route, 2))), m)
     )
-    entity = r"(?s)@Entity\b(?:.*?\bclass\s+([A-Za-z_][A-Za-z0-9_]*))?"
-    entities = F.transform(T.matches("text", entity), lambda m: hit("data_model", F.coalesce(F.nullif(F.regexp_extract(m["text"], entity, 1), F.lit("")), F.lit("Entity")), m))
-    jobs = F.transform(T.matches("text", r"@Scheduled\s*\("), lambda m: hit("scheduled_job", F.lit("Spring Scheduled Task"), m))
-    kafka = F.transform(T.matches("text", r"(?s)@KafkaListener\s*\((.*?)\)"), lambda m: hit("messaging", F.lit("Kafka Listener"), m))
+    entity = r"(?s)@Entity\b(?=(?:.*?class\s+([A-Za-z_][A-Za-z0-9_]*))?)"  # looks ahead only: the next entity is found too
+    entities = F.transform(T.matches("text", entity, 1), lambda m: hit("data_model", F.coalesce(F.nullif(m["text"], F.lit("")), F.lit("Entity")), m))
+    jobs = F.transform(T.matches("text", r"@Scheduled\s*\("), lambda m: hit("scheduled_job", F.lit("Spring Scheduled Job"), m))
+    topic = lambda m: F.concat(F.lit("Kafka "), F.coalesce(F.trim(quoted(m["text"])), F.lit("Kafka Listener")))
+    kafka = F.transform(T.matches("text", r"(?s)@KafkaListener\s*\((.*?)\)", 1), lambda m: hit("messaging", topic(m), m))
     each = F.flatten(F.array(*[x.cast(f"array<{_HIT}>") for x in (routes, entities, jobs, kafka)]))
     return own.select("path", "pos", F.explode(each).alias("h")).select("h.type", "h.name", "path", "pos", "h.line", "h.ord", "h.cap")
 
@@ -164,14 +184,19 @@ def detect_frameworks(files: DataFrame) -> DataFrame:
     return framework_hints(files, PACK_HINTS, 4000).distinct()
 
 
-def detect_signals(files: DataFrame, symbols: DataFrame, rules: list[Rule] = BASE_RULES, packs: dict[str, Pack] = PACKS) -> DataFrame:
-    """All signals of the rules and of the packs whose frameworks are present, one row a type and name."""
+def detect_hits(files: DataFrame, symbols: DataFrame, rules: list[Rule] = BASE_RULES, packs: dict[str, Pack] = PACKS) -> DataFrame:
+    """All hits of the rules and of the packs whose frameworks are present."""
     found = capped(hits(files, rules))
     present = {r[0] for r in detect_frameworks(files).collect()}  # at most one row a known framework
     for framework, pack in packs.items():
         if framework in present:
             found = found.unionByName(pack(files, symbols))
-    return collect(found)
+    return found
+
+
+def detect_signals(files: DataFrame, symbols: DataFrame, rules: list[Rule] = BASE_RULES, packs: dict[str, Pack] = PACKS) -> DataFrame:
+    """All signals of the rules and of the packs whose frameworks are present, one row a type and name."""
+    return collect(detect_hits(files, symbols, rules, packs))
 
 
 def evidence_paths(signals: DataFrame) -> DataFrame:
@@ -191,7 +216,7 @@ def onboarding_scores(signals: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.withColumn("edges", edges.agg(F.count("*")).scalar())
 
 
-#: Opportunities in order of priority. Fixed values.
+#: Opportunities in order of priority, and those that weigh more. Fixed values.
 PRIORITIES = [
     "manual_review_queue", "rule_engine_density", "batch_reconciliation", "regex_classification", "hardcoded_thresholds",
     "high_exception_flows", "ocr_manual_data_entry",
@@ -210,10 +235,11 @@ def opportunity_register(signals: DataFrame, n_edges: int, most: int = 8, least:
     score = F.round(F.size("evidence") * 2.0 * weight + min(1.5, n_edges / 250.0), 2)
     hints = signals.where((F.col("type") == "ai_opportunity_hint") & F.col("name").isin(PRIORITIES))
     ranked = hints.select("name", score.alias("score"), "evidence", order[F.col("name")].alias("place"))
-    spare = signals.select("type", "name", F.posexplode("evidence").alias("k", "cite")).where("cite <> ''").orderBy("type", "name", "k").limit(len(PRIORITIES))
-    first = F.array_sort(F.collect_list(F.struct("type", "name", "k", "cite")))
+    every = signals.select("type", "name", F.posexplode("evidence").alias("k", "cite")).where("cite <> ''")
+    spare = every.groupBy("cite").agg(F.min(F.struct("type", "name", "k")).alias("at")).orderBy("at").limit(len(PRIORITIES))  # no place lies beyond
+    first = F.array_sort(F.collect_list(F.struct("at", "cite")))
     have = ranked.agg(F.collect_list("name").alias("have"), F.count("*").alias("n"))
-    pool = spare.agg(F.array_distinct(F.transform(first, lambda x: x["cite"])).alias("pool"))
+    pool = spare.agg(F.transform(first, lambda x: x["cite"]).alias("pool"))
     missing = F.filter(F.array(*map(F.lit, PRIORITIES)), lambda k: ~F.array_contains(F.col("have"), k))
     fill = have.withColumn("pool", pool.scalar()).where(F.size("pool") > 0).select(F.explode(F.slice(missing, F.lit(1), F.greatest(F.lit(0), least - F.col("n")).cast("int"))).alias("name"), "pool")
     place = order[F.col("name")]

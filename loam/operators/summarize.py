@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -17,10 +17,18 @@ CAPS_IMPORTS, CAPS_DEPENDENTS, CAPS_CALLS = (12, 8, 5, 3, 2), (12, 8, 5, 3, 2),
 _none = lambda: F.array().cast("array<string>")
 
 
-def _first_seen(column: str, most: int) -> Column:
-    """The distinct strings of a list column over a group, in file order, cut to ``most``."""
-    lists = F.array_sort(F.collect_list(F.struct("pos", F.col(column).alias("v"))))
-    return F.slice(T.ordered_unique(F.flatten(F.transform(lists, lambda x: x["v"]))), F.lit(1), F.lit(most))
+def _first_seen(rows: DataFrame, group: list[str], most: dict[str, int]) -> DataFrame:
+    """For each group and list column its first distinct strings in file order, trimmed, as many as ``most`` says.
+
+    Strings are ranked as rows and cut before they are gathered, so a group's size does not matter.
+    """
+    lists = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.lit(n).alias("most"), F.col(c).alias("list")) for c, n in most.items()]))
+    each = rows.select(*group, "pos", lists.alias("l")).select(*group, "pos", "l.kind", "l.most", F.posexplode("l.list").alias("k", "v"))
+    each = each.withColumn("v", F.trim("v")).where("v <> ''").groupBy(*group, "kind", "most", "v").agg(F.min(F.struct("pos", "k")).alias("at"))
+    order = Window.partitionBy(*group, "kind").orderBy("at", "v")
+    kept = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(most.values())).where("r <= most")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("r", "v")))), lambda x: x["v"]).alias(c)
+    return kept.groupBy(*group).agg(*map(listed, most))
 
 
 def file_symbols(symbols: DataFrame, most: int = 12) -> DataFrame:
@@ -48,14 +56,21 @@ def fallback_summaries(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def neighbor_block(context: DataFrame, budget: int = 600) -> DataFrame:
-    """``path, block``: imports, dependents and calls under the largest caps that stay within ``budget`` tokens."""
-    line = lambda title, items, n: F.concat(F.lit(f"{title}: "), F.array_join(F.slice(F.coalesce(items, _none()), F.lit(1), F.lit(n)), ", "))
-    tries = [
-        F.concat_ws("\n", line("Imports", F.col("imports"), a), line("Imported by", F.col("dependents"), b), line("Calls", F.col("calls"), c))
-        for a in CAPS_IMPORTS for b in CAPS_DEPENDENTS for c in CAPS_CALLS
-    ][:: 1 + len(CAPS_CALLS) * len(CAPS_DEPENDENTS) // 5]
-    fitting = F.filter(F.array(*tries), lambda t: T.token_estimate(t) <= budget)
-    return context.select("path", F.coalesce(F.get(fitting, F.lit(0)), F.lit("")).alias("block"))
+    """``path, block``: imports, dependents and calls under the first caps that stay within ``budget`` tokens.
+
+    Caps are tried in order, those of calls first, then of dependents, then of imports; a block that fits under none
+    of them says ``(trimmed)``, and a file without neighbours has none.
+    """
+    held = {c: F.coalesce(c, _none()) for c in ("imports", "dependents", "calls")}
+    shown = lambda c, n: F.when(F.size(held[c]) == 0, "(none)").otherwise(F.array_join(F.slice(held[c], F.lit(1), n), ", "))
+    block = lambda a, b, c: F.concat(F.lit("Graph neighbors:\n- Imports: "), a, F.lit("\n- Depended on by (1-hop): "), b, F.lit("\n- Calls (top symbols): "), c)
+    caps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in CAPS_IMPORTS for b in CAPS_DEPENDENTS for c in CAPS_CALLS])
+    text = lambda t: block(shown("imports", t["a"]), shown("dependents", t["b"]), shown("calls", t["c"]))
+    fits = lambda t: T.token_estimate(F.concat(F.lit("user\n"), text(t))) <= budget
+    first = F.aggregate(caps, F.lit(None).cast("string"), lambda found, t: F.when(found.isNotNull(), found).when(fits(t), text(t)))
+    some = F.size(F.concat(*held.values())) > 0
+    trimmed = block(F.lit("(trimmed)"), F.lit("(trimmed)"), F.lit("(trimmed)"))
+    return context.select("path", F.when(some, F.coalesce(first, trimmed)).otherwise("").alias("block"))
 
 
 def file_prompts(files: DataFrame, symbols: DataFrame, signals: DataFrame, context: DataFrame | None = None, guidance: str = "") -> DataFrame:
@@ -109,17 +124,15 @@ def capabilities_by_component(signals: DataFrame) -> DataFrame:
 
 def reduce_components(summaries: DataFrame, signals: DataFrame) -> DataFrame:
     """One row a component: capabilities, first citations, interfaces, dependencies and data, least confidence."""
-    said = F.array_sort(F.collect_list(F.struct("pos", F.trim("responsibility").alias("v"))))
-    told = T.ordered_unique(F.transform(said, lambda x: x["v"]))
-    grouped = summaries.groupBy(T.component("path").alias("component")).agg(
-        F.array_sort(F.collect_list("path")).alias("files"), _first_seen("citations", 24).alias("citations"), _first_seen("interfaces", 24).alias("interfaces"),
-        _first_seen("dependencies", 24).alias("dependencies"), _first_seen("data_touched", 24).alias("owned_data"), merged_confidence().alias("confidence"),
-        told.alias("told"), F.min("pos").alias("pos"),
-    )
+    owner = T.component("path").alias("component")
+    grouped = summaries.groupBy(owner).agg(F.array_sort(F.collect_list("path")).alias("files"), merged_confidence().alias("confidence"), F.min("pos").alias("pos"))
+    lists = {"citations": F.col("citations"), "interfaces": F.col("interfaces"), "dependencies": F.col("dependencies"), "owned_data": F.col("data_touched"), "told": F.array("responsibility")}
+    firsts = _first_seen(summaries.select(owner, "pos", *[v.alias(k) for k, v in lists.items()]), ["component"], {**dict.fromkeys(lists, 24), "told": 2})
+    grouped = grouped.join(firsts, "component", "left").select("component", "files", "confidence", "pos", *[F.coalesce(k, _none()).alias(k) for k in lists])
     two = F.when(F.size("told") == 0, "Responsibilities follow from the grouped files.").otherwise(F.array_join(F.slice("told", F.lit(1), F.lit(2)), " Also: "))
     named = grouped.join(capabilities_by_component(signals), "component", "left")
     return named.select(
-        "component", two.alias("responsibility"), F.coalesce("capabilities", F.array(F.lit("core behavior"))).alias("capabilities"), "files", "citations",
+        "component", two.alias("responsibility"), F.coalesce("capabilities", F.array(F.lit("core repository behavior"))).alias("capabilities"), "files", "citations",
         "confidence", "interfaces", "dependencies", "owned_data", "pos",
     )
 
@@ -128,7 +141,9 @@ def reduce_system(components: DataFrame, files: DataFrame, symbols: DataFrame, f
     """One row for the whole corpus: summary, capabilities, two views, least confidence."""
     labels = F.array_join(F.slice(F.array_sort(F.collect_set("label")), F.lit(1), F.lit(5)), ", ")
     counts = [files.agg(F.count("*")).scalar(), symbols.agg(F.count("*")).scalar(), entrypoints.agg(F.count("*")).scalar(), frameworks.agg(labels).scalar()]
-    row = components.agg(_first_seen("capabilities", 1000).alias("capabilities"), merged_confidence().alias("confidence"), F.count("*").alias("n"))
+    seen = components.select("pos", F.posexplode("capabilities").alias("k", "v")).groupBy(F.trim("v").alias("v")).agg(F.min(F.struct("pos", "k")).alias("at")).where("v <> ''")
+    told = seen.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])).scalar()  # labels, not files
+    row = components.agg(merged_confidence().alias("confidence"), F.count("*").alias("n")).withColumn("capabilities", told)
     row = row.select("capabilities", "confidence", "n", *[c.alias(k) for c, k in zip(counts, ("files", "symbols", "entrypoints", "frameworks"))])
     row = row.withColumn("capabilities", F.when(F.size("capabilities") == 0, F.array(F.lit("platform operations"))).otherwise(F.col("capabilities")))
     summary = F.concat(F.lit("Covers "), "files", F.lit(" files in "), "n", F.lit(" components with "), "symbols", F.lit(" symbols."))

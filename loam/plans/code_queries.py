@@ -101,9 +101,9 @@ def graph_dependencies(spark, sf_dir):
     return graph.file_dependencies(_graph(spark, sf_dir)[3])
 
 
-@query(f"""with {CODE}, calls as (select path, callee, count(*) as n from (select path, 'part_' || callee as callee from funcs union all select path, 'get' from funcs where line = 4) group by all),
-top as (select path, string_agg(callee, ',' order by n desc, callee) as calls from (select *, row_number() over (partition by path order by n desc, callee) as r from calls) where r <= 8 group by path)
-select s.path, (select string_agg(x, ',' order by x) from (select dep as x from deps d where d.path = s.path union select 'os') t) as imports,
+@query(f"""with {CODE}, calls as (select a.path, 'part_' || b.p as callee, count(*) as n, min(a.line) as first from funcs a join funcs b on a.callee = b.p where a.p <> b.p group by a.path, b.p),
+top as (select path, string_agg(callee || ' (' || n || ')', ',' order by n desc, first) as calls from (select *, row_number() over (partition by path order by n desc, first) as r from calls) where r <= 8 group by path)
+select s.path, (select string_agg(dep, ',' order by dep) from deps d where d.path = s.path) as imports,
 (select string_agg(distinct path, ',' order by path) from deps d where d.dep = s.path) as dependents, calls from supp s left join top using (path)""")
 def neighbor_context(spark, sf_dir):
     files, symbols, nodes, edges = _graph(spark, sf_dir)
@@ -118,12 +118,12 @@ def graph_successors(spark, sf_dir):
 
 
 def _reach_sql(a: str, b: str) -> str:
-    return f"""with recursive {EDGES}, seeds as (select distinct src as id from e where right(src, 1) = '7'),
+    return f"""with recursive {EDGES}, seeds as (select distinct src as id from e),
 r as (select id as seed, {b} as node from seeds join e on {a} = id union select seed, {b} from r join e on {a} = node) select seed, node from r where seed <> node"""
 
 
 def _seeds(e):
-    return e.select(F.col("src").alias("id")).distinct().where(F.endswith("id", F.lit("7")))
+    return e.select(F.col("src").alias("id")).distinct()
 
 
 @query(_reach_sql("e.dst", "e.src"))
@@ -165,7 +165,7 @@ def external_nodes(spark, sf_dir):
     return graph.incident_nodes(nodes, edges, True).select("id")
 
 
-@query(f"""with recursive {EDGES}, seeds as (select distinct src as id from e where right(src, 1) = '7'),
+@query(f"""with recursive {EDGES}, seeds as (select distinct src as id from e),
 r as (select id as seed, e.src as node from seeds join e on e.dst = id union select seed, e.src from r join e on e.dst = node),
 map as (select 'file:' || s_suppkey as f, 'components/n' || s_nationkey || '.md' as page from supplier)
 select distinct seed, page from r join map on f = node where seed <> node""")
@@ -179,14 +179,12 @@ def impact_pages(spark, sf_dir):
 
 @query(f"with {CODE} select 'GET /area_' || k || '/' || s as name, path || ':L3-L3' as cite from supp")
 def signals_routes(spark, sf_dir):
-    found = signals.detect_signals(*_code(spark, sf_dir)).where("type = 'api_route'")
-    return found.select("name", F.explode("evidence").alias("cite"))
+    return signals.evidence_rows(signals.detect_hits(*_code(spark, sf_dir))).where("type = 'api_route'").select("name", "cite")
 
 
 @query(f"with {CODE} select 'Model_' || s as name, path || ':L' || (4 + 2 * parts) || '-L' || (4 + 2 * parts) as cite from sizes")
 def signals_models(spark, sf_dir):
-    found = signals.detect_signals(*_code(spark, sf_dir)).where("type = 'data_model'")
-    return found.select("name", F.explode("evidence").alias("cite"))
+    return signals.evidence_rows(signals.detect_hits(*_code(spark, sf_dir))).where("type = 'data_model'").select("name", "cite")
 
 
 @query(f"with {NOTES} select 'messaging' as type, 'Queue/Topic Integration' as name, string_agg(cite, ';' order by c) as evidence from (select distinct c, path || ':L1-L1' as cite from lines where w in ('1', '2'))")
@@ -199,7 +197,8 @@ def signals_keyword(spark, sf_dir):
 @query("""with p as (select p_partkey as p, 'src/Part' || p_partkey || '.java' as path, regexp_replace(p_brand, '[^0-9]', '', 'g') as b from part)
 select 'api_route' as type, 'ANY /brand_' || b as name, string_agg(path || ':L2-L2', ';' order by p) as evidence from p group by b union all
 select 'api_route', 'GET /part/' || p, path || ':L4-L4' from p union all select 'data_model', 'Item' || p, path || ':L12-L12' from p union all
-select 'scheduled_job', 'Spring Scheduled Task', string_agg(path || ':L9-L9', ';' order by p) from p union all select 'messaging', 'Kafka Listener', string_agg(path || ':L10-L10', ';' order by p) from p""")
+select 'scheduled_job', 'Spring Scheduled Job', string_agg(path || ':L9-L9', ';' order by p) from p union all
+select 'messaging', 'Kafka t' || s, string_agg(path || ':L10-L10', ';' order by p) from (select p.*, p_size as s from p join part on p = p_partkey) group by s""")
 def signals_spring(spark, sf_dir):
     return signals.collect(signals.spring_hits(synth.java(spark, sf_dir))).select("type", "name", F.array_join("evidence", ";").alias("evidence"))
 
@@ -209,17 +208,21 @@ k as (select *, row_number() over (partition by type, c order by line) as k from
 select type, path || ':L' || line || '-L' || line as cite from s where before < 40 or k = 1"""
 
 
-@query(_CAPPED % "when w = '1' then 'compliance_pii' when w = '3' then 'compliance_pci'" + f""" union all select 'compliance_log', path || ':L' || line || '-L' || line from (select *, count(*) over (order by c, line rows between unbounded preceding and 1 preceding) as before, row_number() over (partition by c order by line) as k from lines where w = '3') where before < 40 or k = 1
-union all select 'compliance_egress', path || ':L' || line || '-L' || line from (select *, count(*) over (order by c, line rows between unbounded preceding and 1 preceding) as before, row_number() over (partition by c order by line) as k from lines where w = '1') where before < 40 or k = 1""")
+_COMPLIANCE = (
+    _CAPPED % "when w = '1' then 'compliance_pii' when w = '3' then 'compliance_pci'"
+    + f""" union all select 'compliance_log', path || ':L' || line || '-L' || line from (select *, count(*) over (order by c, line rows between unbounded preceding and 1 preceding) as before, row_number() over (partition by c order by line) as k from lines where w = '3') where before < 40 or k = 1
+union all select 'compliance_egress', path || ':L' || line || '-L' || line from (select *, count(*) over (order by c, line rows between unbounded preceding and 1 preceding) as before, row_number() over (partition by c order by line) as k from lines where w = '1') where before < 40 or k = 1"""
+)
+
+
+@query(_COMPLIANCE)
 def lens_compliance(spark, sf_dir):
-    found = signals.collect(signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.COMPLIANCE_RULES)))
-    return found.select("type", F.explode("evidence").alias("cite"))
+    return signals.evidence_rows(signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.COMPLIANCE_RULES))).select("type", "cite")
 
 
-@query(_CAPPED % "when w = '2' then 'security_auth'")
+@query((_CAPPED % "when w = '2' then 'security_auth'").replace("select type, path", "select type, 'Authentication/Authorization Flow' as name, path"))
 def lens_security(spark, sf_dir):
-    found = signals.collect(signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.SECURITY_RULES)))
-    return found.select("type", F.explode("evidence").alias("cite"))
+    return signals.evidence_rows(signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.SECURITY_RULES))).select("type", "name", "cite")
 
 
 _OPP = f"""with {NOTES}, m as (select c, path, line, 'manual_review_queue' as name, case w when '4' then 2 when '2' then 1 end as hits from lines union all select c, path, line, 'batch_reconciliation', case w when '5' then 2 end from lines),
@@ -229,8 +232,7 @@ kept as (select name, path || ':L' || line || '-L' || line as cite from h where
 
 @query(f"{_OPP} select name, cite from kept")
 def lens_opportunity(spark, sf_dir):
-    found = signals.collect(signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.OPPORTUNITY_RULES)))
-    return found.select("name", F.explode("evidence").alias("cite"))
+    return signals.evidence_rows(signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.OPPORTUNITY_RULES))).select("name", "cite")
 
 
 @query(f"""{_OPP}, s as (select name, round(count(*) * 2.5 + 1.5, 2)::double as score from kept group by name)
@@ -240,10 +242,9 @@ def opportunity_score(spark, sf_dir):
     return signals.opportunity_register(found, 1000).select(F.col("rank").cast("long").alias("rank"), "name", "score")
 
 
-@query(f"with {NOTES} select 'compliance_pii' as type, least(40, count(*))::double as floor from lines where w = '1' union all select 'compliance_egress', least(40, count(*))::double from lines where w = '1' union all select 'compliance_pci', least(40, count(*))::double from lines where w = '3' union all select 'compliance_log', least(40, count(*))::double from lines where w = '3'")
+@query(f"select type, count(*)::double as score from ({_COMPLIANCE}) group by type")
 def lens_scores(spark, sf_dir):
-    found = signals.collect(signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.COMPLIANCE_RULES)))
-    return signals.lens_scores(found, "compliance").select("type", F.least("score", F.lit(40.0)).alias("floor"))
+    return signals.score_rows(signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.COMPLIANCE_RULES)), "compliance")
 
 
 @query("select 'Spring' as label")

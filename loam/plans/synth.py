@@ -105,7 +105,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page, text``: a Markdown page for each page row, with links, citations and sometimes a list of sources.
 
     Pages link to another page by root path, to one by ``../``, and cite a supplier's file; every seventh citation
-    points behind the file's end, every eleventh to a missing file, every thirteenth is a placeholder.
+    points behind the file's end, every eleventh to a missing file, every thirteenth to line 1 alone. Links lead to
+    even pages and to multiples of five, so that others have none.
     """
     p = table(spark, sf_dir, "pages").select("page_id")
     n = p.agg(F.count("*")).scalar()
@@ -113,11 +114,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
     rows = p.withColumn("k", F.col("page_id") % size).join(names, "k")
     i = F.col("page_id")
-    file = F.when(i % 13 == 0, F.lit("path/to/file.py")).when(i % 11 == 0, F.lit("gone/nowhere.py")).otherwise(F.col("file"))
-    end = F.when(i % 7 == 0, F.lit(999_999)).otherwise(F.lit(6))
+    file = F.when(i % 11 == 0, F.lit("gone/nowhere.py")).otherwise(F.col("file"))
+    start, end = F.when(i % 13 == 0, 1).otherwise(2), F.when(i % 13 == 0, 1).when(i % 7 == 0, 999_999).otherwise(6)
     text = F.concat(
-        F.lit("---\ntitle: Page "), i, F.lit("\n---\n\n## Summary\nPage "), i % 5, F.lit("\n\n[a](area_"), (i * 7 % n) % 4, F.lit("/p"), i * 7 % n, F.lit(".md) and [b](../area_"),
-        (i * 5 % (n + 20)) % 4, F.lit("/p"), i * 5 % (n + 20), F.lit(".md)\n"), F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("see "), file, F.lit(":L2-L"), end, F.lit("\n"))),
+        F.lit("---\ntitle: Page "), i, F.lit("\n---\n\n## Summary\nPage "), i % 5, F.lit("\n\n[a](area_"), (i * 6 % n) % 4, F.lit("/p"), i * 6 % n, F.lit(".md) and [b](../area_"),
+        (i * 5 % (n + 20)) % 4, F.lit("/p"), i * 5 % (n + 20), F.lit(".md)\n"), F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("see "), file, F.lit(":L"), start, F.lit("-L"), end, F.lit("\n"))),
         F.when(i % 2 == 0, F.lit("\n## Sources\n")).otherwise(""),
     )
     return rows.select(F.format_string("area_%d/p%d.md", i % 4, i).alias("page"), text.alias("text"))
@@ -127,11 +128,11 @@ PAGES_SQL = """
 ns as (select count(*) as n from supplier), np as (select count(*) as n from pages),
 f as (select s_suppkey, 'nation_' || s_nationkey || '/supp_' || s_suppkey || '.py' as file, 3 + 2 * (select count(*) from part where p_partkey % (select n from ns) = s_suppkey) + 2 + 1 as lines from supplier),
 pg as (select page_id as i, 'area_' || page_id % 4 || '/p' || page_id || '.md' as page,
-  case when page_id % 13 = 0 then 'path/to/file.py' when page_id % 11 = 0 then 'gone/nowhere.py' else file end as file, lines,
-  case when page_id % 7 = 0 then 999999 else 6 end as last, page_id % 3 <> 0 as cites, page_id % 2 = 0 as has_sources,
-  'area_' || (page_id * 7 % np.n) % 4 || '/p' || page_id * 7 % np.n || '.md' as a, 'area_' || (page_id * 5 % (np.n + 20)) % 4 || '/p' || page_id * 5 % (np.n + 20) || '.md' as b
+  case when page_id % 11 = 0 then 'gone/nowhere.py' else file end as file, lines, case when page_id % 13 = 0 then 1 else 2 end as first,
+  case when page_id % 13 = 0 then 1 when page_id % 7 = 0 then 999999 else 6 end as last, page_id % 3 <> 0 as cites, page_id % 2 = 0 as has_sources,
+  'area_' || (page_id * 6 % np.n) % 4 || '/p' || page_id * 6 % np.n || '.md' as a, 'area_' || (page_id * 5 % (np.n + 20)) % 4 || '/p' || page_id * 5 % (np.n + 20) || '.md' as b
   from pages, ns, np, f where s_suppkey = page_id % ns.n),
-status as (select page, file || ':L2-L' || last as cite, file, last, case when i % 13 = 0 then 'placeholder' when i % 11 = 0 then 'unresolved' when last > lines then 'stale' else 'ok' end as status from pg where cites),
+status as (select page, file || ':L' || first || '-L' || last as cite, file, last, case when first = 1 and last = 1 then 'placeholder' when i % 11 = 0 then 'unresolved' when last > lines then 'stale' else 'ok' end as status from pg where cites),
 link as (select page, a as link, a as target from pg union all select page, '../' || b, b from pg),
 known as (select l.page, l.link, t.page as target from link l left join pg t on l.target = t.page)
 """

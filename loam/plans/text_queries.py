@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.functions.lineage import settle
 from loam.operators import chunks, incremental, repomap, search, summarize
 from loam.plans import synth
 from loam.plans.base import Register
@@ -162,9 +163,9 @@ fused as (select id, sum(1.0 / (60 + rank)) as score, min([l, rank]) as seq from
 def _lists(spark, sf_dir):
     hits = search.substring_hits(snippets(spark, sf_dir), "the")
     docs = hits.groupBy(F.regexp_extract("path", r"doc_(\d+)", 1).cast("long").alias("id")).agg(F.max("score").alias("n"))
-    a = docs.orderBy(F.desc("n"), "id").limit(24)
+    a = settle(docs.orderBy(F.desc("n"), "id").limit(24))
     a = a.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id"))).select(F.col("id").alias("cite"), "rank")
-    b = vector_topk(spark, sf_dir)
+    b = settle(vector_topk(spark, sf_dir))
     b = b.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "cite"))).select(F.substring("cite", 5, 10).cast("long").alias("cite"), "rank")
     return a, b
 
@@ -208,13 +209,33 @@ def hybrid_graph_boost(spark, sf_dir):
     return search.boost_by_graph(fused, corpus, seeds, edges).select(F.col("cite").alias("id"), F.round("score", 9).alias("score"))
 
 
-@query()
+_ASKED = "the tion of reading"
+_HYBRID = _BM25.replace("select item_id as query_id", "select 0 as query_id").replace("from benchmark)", f"from (select '{_ASKED}' as text))") + """,
+ve as (select path, cite, list_transform(embedding, lambda x: x::double) as e from embeddings join (select doc_id, path, path || ':L1-L' || stop as cite from chunks where beg = 0) on doc_id = vec_id),
+qv as (select list_transform(embedding, lambda x: x::double) as e from embeddings where vec_id = 0),
+la as (select cite, row_number() over (order by round(score, 9) desc, cite) as rank from sums qualify rank <= 24),
+lb as (select cite, row_number() over (order by round(list_cosine_similarity(ve.e, qv.e), 9) desc, cite) as rank from ve, qv qualify rank <= 24),
+fused as (select cite, sum(1.0::double / (60 + rank)) as score, min([l, rank]) as seq from (select cite, rank, 0 as l from la union all select cite, rank, 1 from lb) group by cite),
+near as (select distinct path from s join la using (cite) where rank <= 8),
+top as (select cite, round(score + case when path in (select path from near) then 0.15 else 0 end, 9) as score, path, seq from fused join s using (cite))"""
+
+
+@query(f"with {_HYBRID} select cite, round(score, 6) as score, path from top order by top.score desc, seq limit 8")
 def retrieve_hybrid(spark, sf_dir):
+    """BM25 over the stored index and cosine over stored vectors of documents' first snippets, fused and boosted."""
+    root = sources.scratch_dir(spark, "index")
     s = snippets(spark, sf_dir)
-    return search.retrieve(s, *search.postings(s), "the tion of reading", 8).select("cite", F.round("score", 6).alias("score"), "path")
+    sinks.write_index(s, *search.postings(s), root)
+    stored, found, lengths = sources.load_index(spark, root)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc"), "embedding")
+    first = stored.where(F.contains("cite", F.lit(":L1-L"))).select("cite", F.regexp_extract("path", r"doc_(\d+)", 1).alias("doc"))
+    vectors = first.join(e, "doc").select("cite", "embedding")
+    top = search.retrieve(stored, found, lengths, _ASKED, 8, vectors, _query_vector(spark, sf_dir))
+    return top.select("cite", F.round("score", 6).alias("score"), "path")
 
 
-@query("select sha256('m' || chr(10) || string_agg(doc_id || '|' || sha256(text), chr(10) order by doc_id)) as signature from documents")
+@query("""with h as (select sha256(doc_id || '|' || sha256(text)) as h from documents)
+select sha256('m' || chr(10) || count(*) || ':' || sum(('0x' || substr(h, 1, 15))::bigint) || ':' || sum(('0x' || substr(h, 16, 15))::bigint)) as signature from h""")
 def vector_signature(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("cite"), "text")
     return search.snippet_signature(d, "m")
@@ -241,12 +262,12 @@ def refresh_plan(spark, sf_dir):
 
 def _doc_signals(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ["api_route", "integration", "config"])), (F.col("doc_id") % 3 + 1).cast("int"))
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    d = table(spark, sf_dir, "documents")
     cite = F.format_string("%s/%s/doc_%d.txt:L1-L1", "source", "lang", "doc_id")
     return d.select(kind.alias("type"), F.format_string("GET /cap_%d/x", F.col("doc_id") % 10).alias("name"), cite.alias("cite")).groupBy("type", "name").agg(F.collect_set("cite").alias("evidence"))
 
 
-@query(f"""with {synth.DIFF_SQL}, sig as (select diff.*, doc_id % 3 as kind from diff where change <> 'removed' and doc_id % 2 = 0)
+@query(f"""with {synth.DIFF_SQL}, sig as (select diff.*, doc_id % 3 as kind from diff where change <> 'removed')
 select distinct 'components/' || split_part(path, '/', 1) || '.md' as page from diff union select 'capabilities/cap-' || doc_id % 10 || '.md' from sig where kind = 0
 union select 'domain/glossary.md' from sig where kind in (1, 2) union select 'integrations/external-systems.md' from sig where kind = 1
 union select unnest(['00-overview/tech-stack.md', '00-overview/component-graph.md', '00-overview/executive-summary.md']) from diff where change <> 'changed'""")
@@ -278,7 +299,7 @@ def budget_usage(spark, sf_dir):
     return summarize.usage_totals(usage, 100_000)
 
 
-@query("select event_id, '## ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || 'Z ' || event_type || chr(10) || props as entry from events")
+@query("select event_id, '## [' || strftime(ts, '%Y-%m-%d %H:%M:%S') || 'Z] ' || event_type || chr(10) || '- ' || props || chr(10) as entry from events")
 def log_entries(spark, sf_dir):
     log = table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("event"), F.col("props").alias("detail"))
     return log.select("event_id", sinks.render_log().alias("entry"))

@@ -43,18 +43,18 @@ _FOUND = """found as (select status || '_citations' as kind, page || ': ' || cit
 union select 'missing_citations', page from pg where has_sources and not cites union select 'orphans', page from pg where page not in (select target from known where target is not null))"""
 
 
-@query(f"with {PAGES}, {_FOUND} select kind, string_agg(item, ';' order by item) as items, count(*) as n from found group by kind")
+@query(f"with {PAGES}, {_FOUND} select kind, item, row_number() over (partition by kind order by item) as place from found")
 def lint_report(spark, sf_dir):
-    report = lint.lint_report(synth.pages(spark, sf_dir), synth.code(spark, sf_dir))
-    return report.select("kind", F.array_join("items", ";").alias("items"), F.col("n").cast("long").alias("n"))
+    return lint.lint_report(lint.lint_findings(synth.pages(spark, sf_dir), synth.code(spark, sf_dir)))
 
 
 @query(f"""with {PAGES}, {_FOUND}, c as (select kind, count(*) as n from found group by kind)
-select 'pages=' || (select count(*) from pg) || string_agg(' ' || replace(case k when 'missing_citations' then k else replace(k, '_citations', '') end, '', '') || '=' || coalesce(n, 0), '' order by i) as summary
-from (select * from (values (1, 'broken_links'), (2, 'missing_citations'), (3, 'unresolved_citations'), (4, 'stale_citations'), (5, 'placeholder_citations'), (6, 'orphans')) t(i, k) left join c on kind = k)""")
+select 'pages=' || (select count(*) from pg) || string_agg(' ' || name || '=' || coalesce(n, 0), '' order by i) as summary
+from (select * from (values (1, 'broken_links', 'broken_links'), (2, 'missing_citations', 'missing_citations'), (3, 'unresolved_citations', 'unresolved'), (4, 'stale_citations', 'stale'),
+  (5, 'placeholder_citations', 'placeholders'), (6, 'orphans', 'orphans')) t(i, k, name) left join c on kind = k)""")
 def lint_summary(spark, sf_dir):
     p = synth.pages(spark, sf_dir)
-    return lint.lint_summary(lint.lint_report(p, synth.code(spark, sf_dir)), p)
+    return lint.lint_summary(lint.lint_findings(p, synth.code(spark, sf_dir)), p)
 
 
 @query(f"with {CODE}, {PAGES.split('f as (')[0].replace('ns as (select count(*) as n from supplier), ', '')} f as ({PAGES.split('f as (')[1].replace('(select n from ns)', '(select n from n)').replace('pages, ns, np, f where s_suppkey = page_id % ns.n', 'pages, n, np, f where s_suppkey = page_id % n.n')}, span as (select page, file, last from status) select page, id as symbol_id from span join funcs on path = file where line <= last and line + 1 >= 2 union select page, path || '::Model_' || s || ':' || (4 + 2 * parts) from span join sizes on path = file where 4 + 2 * parts <= last")
@@ -176,13 +176,22 @@ def notes_files(spark, sf_dir):
     return synth.notes(spark, sf_dir).select("path", F.length("text").cast("long").alias("n"), "hash")
 
 
-@query()
+_PROMPTS = f"""with {CODE}, names as (select s, p as k, 'part_' || p as name, parts.k as pos from parts union all select supp.s, s, 'Model_' || supp.s, parts from supp join sizes using (s)),
+symbols as (select s, string_agg(name, ', ' order by pos) as names from (select *, row_number() over (partition by s order by pos) as r from names) where r <= 12 group by s),
+bodies as (select s, string_agg('def part_' || p || '():' || chr(10) || '    return part_' || callee || '()' || chr(10), '' order by p) as body from parts group by s),
+prompts as (select supp.path, 'Describe this source file as JSON. Ground every claim in path:Lx-Ly citations; say unknown where the code does not tell.' || chr(10) || 'Path: ' || supp.path || chr(10) || 'Language: python' || chr(10)
+  || 'Symbols: ' || names || chr(10) || 'Signals: GET /area_' || k || '/' || supp.s || ', Model_' || supp.s || chr(10) || 'Content:' || chr(10)
+  || left('import nation_' || dk || '.supp_' || ds || chr(10) || 'import os' || chr(10) || '@app.get("/area_' || k || '/' || supp.s || '")' || chr(10) || body || 'class Model_' || supp.s || '(Base):' || chr(10) || '    pass' || chr(10), 12000) as prompt
+  from supp join deps using (s) join symbols using (s) join bodies using (s))"""
+
+
+@query(f"{_PROMPTS} select path, prompt from prompts")
 def prompt_file(spark, sf_dir):
     files, symbols, found = _code(spark, sf_dir)
     return summarize.file_prompts(files, symbols, found)
 
 
-@query()
+@query(f"""{_PROMPTS} select count(*) as prompts, sum(cast(floor(len(list_filter(regexp_split_to_array('user' || chr(10) || prompt, '[ \\n]+'), lambda w: w <> '')) * 1.35::double) as int))::bigint as tokens from prompts""")
 def dry_run_tokens(spark, sf_dir):
     files, symbols, found = _code(spark, sf_dir)
     return summarize.token_plan(summarize.file_prompts(files, symbols, found))

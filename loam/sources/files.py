@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql.types import StringType
 
 from loam import schemas
 from loam.functions import text as T
-from loam.functions.lineage import settle
+from loam.functions.lineage import settle, shared_dir
 
 #: Globs that a scan leaves out unless told otherwise. Fixed values.
 EXCLUDE = [
@@ -33,12 +34,34 @@ def decoded(content: Column | str) -> Column:
     return F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")).otherwise(_drop_invalid(body))
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri("s3:" + root.removeprefix("s3a:") if root.startswith("s3a:") else root)
+
+
+def _reachable(root: str) -> bool:
+    """Whether Python workers can open the store themselves."""
+    try:
+        return bool(_store(root))
+    except (pa.ArrowInvalid, NotImplementedError, ImportError, OSError):
+        return False
+
+
+def spark_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, size, content`` by Spark's own reader, for stores that only the Hadoop client knows.
+
+    Its index leaves out names that begin with ``_`` or ``.``. Content is read for the files that are kept alone.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = F.lit("^\\Q" + root.rstrip("/") + "\\E/")
+    return raw.select(F.regexp_replace("path", base, F.lit("")).alias("path"), F.col("length").alias("size"), "content")
+
+
 _LISTED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
 
 
 def _lister(root: str, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = _store(root)
         base = base.rstrip("/")
         for batch in batches:
             for folder in batch.column("path").to_pylist():
@@ -66,7 +89,7 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
     """``files`` (``path, size``) with the bytes of each as ``content``, null where it cannot be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = _store(root)
         base = base.rstrip("/")
 
         def content(path: str) -> bytes | None:
@@ -93,13 +116,14 @@ def scan_files(
 
     Paths are relative and in the order of their parts. Path and size conditions come before the content is read;
     a NUL in the first 1,024 bytes, or a file that cannot be read, means binary. ``hash`` is of the text with line
-    ends made ``\\n``, ``size`` of the raw bytes.
+    ends made ``\\n``, ``size`` of the raw bytes. A store that Python cannot open is read as :func:`spark_files` says.
     """
-    kept = list_files(spark, root).where(F.col("size") <= max_kb * 1024)
+    own = _reachable(root)
+    kept = (list_files if own else spark_files)(spark, root).where(F.col("size") <= max_kb * 1024)
     for folder in artifact_dirs:
         kept = kept.where(~F.startswith("path", F.lit(folder.removeprefix("./").rstrip("/") + "/")))
     kept = kept.where(~F.rlike("path", F.lit(T.glob_regex(exclude)))).where(F.rlike("path", F.lit(T.glob_regex(include))))
-    read = read_contents(kept.repartition("path"), root)
+    read = read_contents(kept.repartition("path"), root) if own else kept
     if skip_binary:
         read = read.where(F.col("content").isNotNull() & ~F.rlike(F.hex(F.substring("content", 1, 1024)), F.lit("^(..)*?00")))
     files = read.select("path", T.language("path").alias("lang"), "size", T.normalize_newlines(decoded(F.coalesce("content", F.lit(b"")))).alias("text"))
@@ -157,10 +181,30 @@ def read_or_empty(spark: SparkSession, path: str, ddl: str, fmt: str = "parquet"
         raise
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A path in the session's shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def load_snippets(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, path, schemas.SNIPPETS)
 
 
+def load_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Snippets, postings and lengths as :func:`loam.sources.sinks.write_index` wrote them; empty where they are missing."""
+    postings = read_or_empty(spark, f"{root}/postings", "term string, field string, cite string, tf long")
+    return load_snippets(spark, f"{root}/snippets"), postings, read_or_empty(spark, f"{root}/lengths", "field string, cite string, len int")
+
+
+def load_vectors(spark: SparkSession, root: str) -> DataFrame:
+    return read_or_empty(spark, f"{root}/vectors", schemas.VECTORS)
+
+
+def load_signature(spark: SparkSession, root: str) -> DataFrame:
+    """``signature`` of the stored vectors; no row where there are none."""
+    return read_or_empty(spark, f"{root}/signature", "signature string")
+
+
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``path, hash`` of a JSON manifest ``{source_root, files: {path: hash}}``; empty when missing or broken."""
     raw = read_or_empty(spark, path, "source_root string, files map<string,string>", "json")

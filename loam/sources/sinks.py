@@ -39,8 +39,10 @@ def write_index(snippets: DataFrame, postings: DataFrame, lengths: DataFrame, ro
     lengths.write.mode("overwrite").parquet(f"{root}/lengths")
 
 
-def write_vectors(vectors: DataFrame, root: str) -> None:
-    vectors.write.mode("overwrite").parquet(root)
+def write_vectors(vectors: DataFrame, root: str, signature: DataFrame) -> None:
+    """Vectors and, once they are whole, the signature (one row) of the snippets and the model they stand for."""
+    vectors.write.mode("overwrite").parquet(f"{root}/vectors")
+    signature.write.mode("overwrite").parquet(f"{root}/signature")
 
 
 def write_pagemap(pagemap: DataFrame, root: str) -> None:
@@ -72,11 +74,14 @@ def append_log(events: DataFrame, root: str) -> None:
 
 def contradictions(changed: DataFrame) -> DataFrame:
     """Log rows for pages whose summaries changed (``page, ts``)."""
-    return changed.select("ts", F.lit("contradiction").alias("event"), F.concat(F.col("page"), F.lit(": summary changed")).alias("detail"))
+    return changed.select("ts", F.lit("contradiction").alias("event"), F.col("page").alias("detail"))
 
 
 def render_log() -> Column:
-    return F.concat(F.lit("## "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("Z "), F.col("event"), F.lit("\n"), F.col("detail"))
+    """An event's entry: a heading with its time and its detail as a list item; of a contradiction a heading alone."""
+    plain = F.concat(F.lit("## ["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("Z] "), F.col("event"), F.lit("\n- "), F.col("detail"), F.lit("\n"))
+    short = F.concat(F.lit("## ["), F.date_format("ts", "yyyy-MM-dd"), F.lit("] contradiction | "), F.col("detail"), F.lit("\n"))
+    return F.when(F.col("event") == "contradiction", short).otherwise(plain)
 
 
 def answer_page(question: Column | str, answer: Column | str) -> Column:

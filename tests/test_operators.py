@@ -163,12 +163,12 @@ def test_snippets_and_search(spark):
 
 
 def test_lint_paths(spark):
-    p = spark.createDataFrame([("a/x.md", "[u](../b/y.md) [v](z.md) [w](gone.md)"), ("a/z.md", "## Sources\n"), ("b/y.md", "q.py:L1-L2 q.py:L1-L9 no.py:L1-L1 path/to/file.py:L1-L1")], "page string, text string")
+    p = spark.createDataFrame([("a/x.md", "[u](../b/y.md) [v](z.md) [w](gone.md)"), ("a/z.md", "## Sources\n"), ("b/y.md", "q.py:L1-L2 q.py:L1-L9 no.py:L1-L1 path/to/file.py:L1-L3")], "page string, text string")
     links = {(r.link, r.target) for r in lint.page_links(p).collect()}
     assert links == {("../b/y.md", "b/y.md"), ("z.md", "a/z.md"), ("gone.md", None)}
     assert {r.link for r in lint.broken_links(lint.page_links(p, strict_paths=True)).collect()} == {"../b/y.md", "gone.md"}
     f = files(spark, {"q.py": "a\nb\n"})
-    assert {(r.cite, r.status) for r in lint.check_citations(lint.page_citations(p), f).collect()} == {("q.py:L1-L2", "ok"), ("q.py:L1-L9", "stale"), ("no.py:L1-L1", "unresolved"), ("path/to/file.py:L1-L1", "placeholder")}
+    assert {(r.cite, r.status) for r in lint.check_citations(lint.page_citations(p), f).collect()} == {("q.py:L1-L2", "ok"), ("q.py:L1-L9", "stale"), ("no.py:L1-L1", "placeholder"), ("path/to/file.py:L1-L3", "unresolved")}
     assert [r.page for r in lint.orphans(p, lint.page_links(p)).collect()] == ["a/x.md"] and [r.page for r in lint.missing_citations(p).collect()] == ["a/z.md"]
 
 
@@ -182,7 +182,7 @@ def test_summaries_with_cache_and_model(spark):
     rows = {r.path: r for r in summarize.summarize_files(f, none, prompts, model, cache).collect()}
     assert rows["c/a.py"].responsibility == rows["d/e.py"].responsibility == "cached" and rows["c/b.py"].responsibility == "told" and rows["c/b.py"].confidence == "high"
     parts = {r.component: r for r in summarize.reduce_components(base, spark.createDataFrame([], schemas.SIGNALS)).collect()}
-    assert parts["c"].confidence == "low" and parts["c"].files == ["c/a.py", "c/b.py"] and parts["c"].capabilities == ["core behavior"]
+    assert parts["c"].confidence == "low" and parts["c"].files == ["c/a.py", "c/b.py"] and parts["c"].capabilities == ["core repository behavior"]
 
 
 def test_persisted_tables(spark, tmp_path):
