@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space (Java regex and RE2 agree on it).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,15 +39,52 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loam-{name}-{uuid.uuid4().hex}"
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the tables that were staged inside: nothing lazy that reads them may be left by then."""
+    before = len(_staged)
+    try:
+        yield
+    finally:
+        for path in _staged[before:]:
+            Store(spark, path).delete(path)
+        del _staged[before:]
+
+
+def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each of ``sums``, its sum over the group's rows up to and including this one in ``order``.
+
+    The order must tell all rows of a group apart. A range sort spreads groups of any size over tasks; sums inside a
+    range start from where the ranges before it end, for which a row for each range and group meets in one place.
+    """
+    keys = [*map(F.col, group), *order]
+    added = df.withColumns({f"_{n}": c for n, c in sums.items()})
+    rows = stage(added.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = rows.groupBy("_part", *group).agg(*[F.sum(f"_{n}").alias(f"_all_{n}") for n in sums])
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(F.col("_part").alias("_of"), *[F.col(g).alias(f"_of_{g}") for g in group], *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_ahead_{n}") for n in sums])
+    same = [F.col("_part") == F.col("_of"), *[F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]]
+    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    laid = rows.withColumns({f"_in_{n}": F.sum(f"_{n}").over(inside) for n in sums}).join(ahead, same)
+    return laid.select(*df.columns, *[(F.col(f"_ahead_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold Arrow batches of whole texts to ``rows`` rows, so that a Python worker's memory stays bounded."""
+    """Hold Arrow batches of whole texts to ``rows`` rows, so that a Python worker's memory stays bounded.
+
+    A setting of the session: what is computed lazily is computed after this returns, so it is not taken back.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
@@ -65,6 +104,13 @@ def worker_cache(key: str, make: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`stage` wrote and that nothing lazy reads any more."""
+    for path in {p for p in _staged for f in df.inputFiles()[:1] if p.rpartition("/")[2] in f}:
+        Store(df.sparkSession, path).delete(path)
+        _staged.remove(path)
+
+
 class Store:
     """The few file operations that Spark's readers and writers lack, through the Hadoop client they use themselves."""
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import stage
+from loam.llm.common import discard, stage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = linked.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
     pairs = stage(pairs.distinct(), "edges")
     while not _stars(pairs):
-        pairs = stage(_small_star(_large_star(pairs)), "edges")
+        pairs, before = stage(_small_star(_large_star(pairs)), "edges"), pairs
+        discard(before)
     root = pairs.select("lo").distinct()
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(root.select("lo", "lo"))
 

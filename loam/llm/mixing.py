@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import WORD, stage
+from loam.llm.common import WORD, running, stage
 
 #: No document, and so no source, is taken more often than this.
 REPEATS = 3
@@ -22,47 +22,56 @@ def targets(sources: DataFrame, weights: list[int]) -> DataFrame:
     Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes. A target stops
     at ``REPEATS`` times its source's size, and the rest goes to the others by weight, until none is above. That is
     the one level ``x`` at which ``min(limit, x * weight)`` sums to the total: in order of ``limit / weight`` the
-    first sources meet their limits and all others share what is left. One row a source; the windows below run over
-    this small table alone.
+    first sources meet their limits and all others share what is left. Ranks and sums run over ranges of sources, so
+    there may be any number of them.
     """
-    ranked = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(ranked) - 1, F.lit(len(weights))) + 1
-    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int")).cast("double"))
-    weighed = weighed.withColumn("most", F.col("source_size") * REPEATS)
-    filling = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
-    left = F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    level = left / F.sum("weight").over(after)
-    stepped = weighed.withColumn("level", level).withColumn("open", F.col("most") > F.col("level") * F.col("weight"))
-    first = F.min(F.when(F.col("open"), F.struct((F.col("most") / F.col("weight")).alias("r"), "level"))).over(Window.partitionBy())
-    return stepped.withColumn("level", F.coalesce(first["level"], F.lit(float("inf")))).select(
-        "source", "source_size", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")).alias("target")
-    )
+    by_name = F.col("source").asc_nulls_last()
+    turn = F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1
+    weighed = running(sources, [], [by_name], {"place": F.lit(1)})
+    weighed = weighed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int")).cast("double"))
+    weighed = weighed.withColumn("most", F.col("source_size") * REPEATS).withColumn("ratio", F.col("most") / F.col("weight"))
+    filled = running(weighed, [], [F.col("ratio"), by_name], {"most_upto": F.col("most"), "weight_upto": F.col("weight")})
+    total, weight = sources.agg(F.sum("source_size")).first()[0] or 0, weighed.agg(F.sum("weight")).first()[0] or 0.0
+    left = F.lit(total) - (F.col("most_upto") - F.col("most"))
+    level = left / (F.lit(weight) - (F.col("weight_upto") - F.col("weight")))
+    stepped = filled.withColumn("level", level).where(F.col("most") > F.col("level") * F.col("weight"))
+    first = stepped.agg(F.min(F.struct("ratio", "level"))["level"]).first()[0]
+    share = F.col("weight") * F.lit(float("inf") if first is None else first)
+    return weighed.select("source", "source_size", F.least(F.col("most").cast("double"), share).alias("target"))
+
+
+def _joined(rows: DataFrame, stats: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``stats``, one row a group; null is a group like any other."""
+    renamed = stats.select(*[F.col(g).alias(f"_g_{g}") for g in group], *[c for c in stats.columns if c not in group])
+    if not group:
+        values = stats.first().asDict()
+        return rows.withColumns({k: F.lit(v).cast(stats.schema[k].dataType) for k, v in values.items()})
+    return rows.join(renamed, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]).drop(*[f"_g_{g}" for g in group])
 
 
 def apportion(parties: DataFrame, group: list[str], party: str, votes: str, seats: str, most: str) -> DataFrame:
     """``parties`` with ``quota``: within each group its ``seats`` by highest Sainte-Lague quotients votes / (2k + 1).
 
     With p parties, all seats up to ``votes * (seats - p) / total + 1/2`` are certain and none beyond
-    ``votes * (seats + p) / total + 1/2`` can be won, so that about three quotients a party need ranking. Ties go to
-    the smaller ``party``, null last. No quota exceeds the column ``most``.
+    ``votes * (seats + p) / total + 1/2`` can be won, so that about three quotients a party need ranking; they are
+    ranked by ranges, so a group may have any number of parties. Ties go to the smaller ``party``, null last. No quota
+    exceeds the column ``most``. ``parties`` is read several times, so pass a staged table.
     """
-    within = Window.partitionBy(*group)
-    known = parties.withColumn("_total", F.sum(votes).over(within)).withColumn("_p", F.count("*").over(within))
+    names = parties.columns
+    known = _joined(parties, parties.groupBy(*group).agg(F.sum(votes).alias("_total"), F.count("*").alias("_p")), group)
     bound = lambda n: F.greatest(F.lit(0.0), F.floor(F.col(votes) * n / F.col("_total") + 0.5)).cast("long")
     some = F.col("_total") > 0
-    known = known.withColumn("_sure", F.when(some, bound(F.greatest(F.col(seats) - F.col("_p"), F.lit(0)))).otherwise(0))
-    known = known.withColumn("_last", F.when(some, bound(F.col(seats) + F.col("_p"))).otherwise(0))
-    known = known.withColumn("_sure", F.when(F.col(seats) > F.col("_p"), F.col("_sure")).otherwise(0))
-    known = known.withColumn("_rest", F.col(seats) - F.sum("_sure").over(within))
-    chance = F.when(F.col("_last") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_last") - 1))
-    tried = known.withColumn("_k", F.explode_outer(chance))
-    quotient = F.when(F.col("_k").isNotNull(), F.col(votes) / (2 * F.col("_k") + 1))
-    order = Window.partitionBy(*group).orderBy(quotient.desc_nulls_last(), F.col(party).asc_nulls_last(), "_k")
-    won = (F.col("_k").isNotNull() & (F.row_number().over(order) <= F.col("_rest"))).cast("long")
-    names = parties.columns
-    counted = tried.withColumn("_won", won).groupBy(*names, "_sure").agg(F.sum("_won").alias("_won"))
-    return counted.select(*names, F.least(F.col("_sure") + F.col("_won"), F.col(most)).alias("quota"))
+    sure = F.when(some & (F.col(seats) > F.col("_p")), bound(F.greatest(F.col(seats) - F.col("_p"), F.lit(0)))).otherwise(0)
+    known = known.withColumn("_sure", sure).withColumn("_last", F.when(some, bound(F.col(seats) + F.col("_p"))).otherwise(0))
+    known = stage(_joined(known, known.groupBy(*group).agg(F.sum("_sure").alias("_taken")), group), "parties")
+    tried = known.withColumn("_k", F.explode(F.when(F.col("_last") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_last") - 1))))
+    tried = tried.select(*dict.fromkeys([*group, party]), (F.col(seats) - F.col("_taken")).alias("_rest"), "_k", (F.col(votes) / (2 * F.col("_k") + 1)).alias("_quotient"))
+    ranked = running(tried, group, [F.col("_quotient").desc(), F.col(party).asc_nulls_last(), F.col("_k")], {"_place": F.lit(1)})
+    own = list(dict.fromkeys([*group, party]))
+    won = ranked.where(F.col("_place") <= F.col("_rest")).groupBy(*own).agg(F.count("*").alias("_won"))
+    won = won.select(*[F.col(c).alias(f"_w_{c}") for c in own], "_won")
+    counted = known.join(won, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in own], "left")
+    return counted.select(*names, F.least(F.col("_sure") + F.coalesce("_won", F.lit(0)), F.col(most)).alias("quota"))
 
 
 def mix(
@@ -78,10 +87,10 @@ def mix(
     the rows alone, so reruns agree; a window never holds more than one shard, whatever a source's share.
     """
     docs = docs.select(*keys, "source", "size")
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sums, list(weights))
-    all_blocks = F.floor(F.sum("source_size").over(Window.partitionBy()) / block)
-    plan = plan.withColumn("seats", all_blocks).withColumn("most", F.floor(F.col("source_size") * REPEATS / block))
+    sums = stage(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "sums")
+    all_blocks = (sums.agg(F.sum("source_size")).first()[0] or 0) // block
+    plan = stage(targets(sums, list(weights)), "targets")
+    plan = plan.withColumn("seats", F.lit(all_blocks).cast("long")).withColumn("most", F.floor(F.col("source_size") * REPEATS / block))
     plan = apportion(plan, [], "source", "target", "seats", "most").withColumnRenamed("quota", "source_quota")
     plan = plan.withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words)))
     plan = stage(plan.select("source", "source_size", "target", "source_quota", "shards"), "sources")
@@ -92,7 +101,7 @@ def mix(
     shards = placed.groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_quota").alias("seats"), F.count("*").alias("n")
     )
-    shards = shards.withColumn("most", F.floor(F.col("shard_size") * REPEATS / block))
+    shards = stage(shards.withColumn("most", F.floor(F.col("shard_size") * REPEATS / block)), "shards")
     shards = apportion(shards, ["source"], "shard", "shard_size", "seats", "most")
     whole = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") * block / F.col("shard_size"))).otherwise(0)
     shards = shards.withColumn("rounds", whole).withColumn("run", F.col("quota") * block - F.col("rounds") * F.col("shard_size"))
@@ -127,6 +136,9 @@ def take_whole(docs: DataFrame) -> DataFrame:
     """The mix as documents, all their columns kept: each as often as its taken words fill it, to the nearest copy.
 
     A shard's run ends inside at most two documents, so rounding moves few words.
+
+    Edge cases: a null or blank text has no words and is not in the mix; null sources are one source, the last; null
+    and repeated ``doc_id`` are rows like any other; an empty table gives no rows; columns of any name are kept.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = stage(docs.select(whole, F.monotonically_increasing_id().alias("rid"), word_count("text").alias("size")), "rows")

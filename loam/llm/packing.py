@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -80,7 +81,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
 def _pack_partitions(items: DataFrame, level: int, capacity: int) -> DataFrame:
     """``items`` with ``bin, offset, fill``: each partition packs the column ``length`` of its rows by best fit.
 
-    A bin's number holds the level, the partition and a count, so that numbers never meet.
+    A bin's number holds the level (its 5 upper bits, far more than a tree of ``fan_in`` can have), the partition and a
+    count, so that numbers never meet.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,25 +100,29 @@ def _pack_partitions(items: DataFrame, level: int, capacity: int) -> DataFrame:
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, slack: int = 32, fan_in: int = 8, most: int = 500_000) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``: best fit in each partition, then a merge tree.
+    """``pieces`` (with ``length``) and their ``sequence_id`` and ``offset``: best fit in each partition, then a merge tree.
 
     Bins with at most ``slack`` ids of room are done. Each further round takes the others as single items, joins
     ``fan_in`` partitions into one (not beyond about ``most`` items, so that a task's memory is bounded at any size)
-    and packs again, until one partition has packed all that is left or nothing more can be joined. Every round is a
-    staged table; at the end the rounds' few bins are composed and joined to the pieces once.
+    and packs again, until one partition has packed all that is left. Where more than ``most`` open bins are left to
+    the last tasks, they are dealt anew and packed once more: each task then ends with at most one bin that
+    is not half full. Every round is a staged table; at the end the rounds' few bins are composed and joined to the
+    pieces once.
     """
     first = stage(_pack_partitions(pieces, 0, capacity), "packed")
     rounds, last, parts = [], first, first.rdd.getNumPartitions()
-    for level in range(1, 12):
+    for level in count(1):
         left = last.where((F.col("offset") == 0) & (F.col("fill") < capacity - slack))
         items = left.select(F.col("bin").alias("item"), F.col("fill").alias("length"))
         open_bins = items.count()
         fewer = max(-(-parts // fan_in), -(-open_bins // most), 1)
-        if open_bins < 2 or fewer >= parts > 1:
+        done = fewer == 1 or fewer >= parts
+        if open_bins < 2:
             break
-        last = stage(_pack_partitions(items.coalesce(fewer), level, capacity), f"merged{level}")
+        dealt = items.coalesce(fewer) if fewer < parts or fewer == 1 else items.repartition(fewer, F.xxhash64("item", F.lit(level)))
+        last = stage(_pack_partitions(dealt, level, capacity), f"merged{level}")
         rounds.append(last.select("item", F.col("bin").alias("into"), F.col("offset").alias("moved")))
-        if fewer == 1:
+        if done:
             break
         parts = fewer
     placed = first.drop("fill")
@@ -141,13 +147,20 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    pieces = stage(cut_pieces(docs, tokenizer, capacity, keep_ids), "pieces")
+    cut = cut_pieces(docs, tokenizer, capacity, keep_ids)
+    pieces = stage(cut.withColumn("row", F.monotonically_increasing_id()) if keep_ids else cut, "pieces")
     # Dealt by hash, so that every partition packs the whole mix of lengths however the documents lie.
-    own = ["doc_id", "piece", "ids_crc32"]
-    return pack_pieces(pieces.repartition(max(1, pieces.rdd.getNumPartitions()), *own).sortWithinPartitions(*own), capacity)
+    own = ["doc_id", "piece", "ids_crc32", *["row"] * keep_ids]
+    slim = pieces.drop("ids").repartition(max(1, pieces.rdd.getNumPartitions()), *own).sortWithinPartitions(*own)
+    packed = pack_pieces(slim, capacity)
+    return packed.join(pieces.select("row", "ids"), "row").drop("row") if keep_ids else packed
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """``sequence_id, ids``: the packed pieces (with ``ids``) laid end to end."""
+    """``sequence_id, ids``: the packed pieces (with ``ids``) laid end to end.
+
+    Edge cases: a sequence has at least one piece, and each piece at least the end id, so no row is empty; repeated
+    documents stand as often as they were packed; no pieces give no rows; other columns are ignored.
+    """
     parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.flatten(F.col("parts.ids")).alias("ids"))

@@ -10,7 +10,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import stage
+from loam.llm.common import discard, stage
 
 #: (verdict, host and path) of the rules that the query applies. Fixed values.
 RULES = [
@@ -56,24 +56,26 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """Personalised PageRank of several kinds at once: ``kind, host, mass``, each kind's masses summing to 1.
 
     ``seeds`` (``kind, host, mass``) is where each kind's walks restart, ``edges`` (``kind, src, dst, share``) how a
     host hands on its mass. What a host without links would hand on is lost in each round, which only scales the
     result, so one normalisation at the end stands for sending it back to the seeds. Stops when less than
-    ``tolerance`` moves, or after ``rounds`` rounds. Each round is a join, an aggregation and a staged table.
+    ``tolerance`` moves, which shrinks by ``DAMPING`` a round at least: 1e-4 takes 60 rounds or so at most. Each round
+    is a join, an aggregation and a staged table, which the next one replaces.
     """
     restart = seeds.select("kind", "host", (F.col("mass") * (1 - DAMPING)).alias("mass"), F.lit(0.0).alias("old"))
     ranks = stage(seeds.select("kind", "host", (F.col("mass") * (1 - DAMPING)).alias("mass")), "ranks")
-    for _ in range(rounds):
+    change = 1.0
+    while change >= tolerance:
         moved = ranks.join(edges, [ranks["kind"] == edges["kind"], F.col("host") == F.col("src")])
         moved = moved.select(ranks["kind"], F.col("dst").alias("host"), (F.col("mass") * F.col("share") * DAMPING).alias("mass"), F.lit(0.0).alias("old"))
         was = ranks.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("old"))
         both = stage(moved.unionAll(restart).unionAll(was).groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), "ranks")
+        discard(ranks)
         ranks = both.select("kind", "host", "mass")
-        if (both.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0] or 0.0) < tolerance:
-            break
+        change = both.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0] or 0.0
     totals = ranks.groupBy("kind").agg(F.sum("mass").alias("total"))
     return ranks.join(totals, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass"))
 
@@ -91,7 +93,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: flo
     are; an empty table gives no rows; other columns are ignored.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    links = F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1)))
+    links = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1)), _lower))
     seen = parsed.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     seen = stage(seen.select("page_id", "host", "path", "hit.rule", "hit.verdict", links.alias("links")), "pages")
     hosts = seen.where("host <> ''").groupBy("host").agg(
@@ -101,7 +103,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: flo
     kinds = hosts.select("host", F.stack(F.lit(2), F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust")).alias("kind", "n")).where("n > 0")
     totals = kinds.groupBy("kind").agg(F.sum("n").alias("total"))
     seeds = stage(kinds.join(totals, "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("mass")), "seeds")
-    linked = seen.where("host <> ''").select("host", F.explode("links").alias("to")).withColumn("to", _lower(F.col("to")))
+    linked = seen.where("host <> ''").select("host", F.explode("links").alias("to"))
     linked = linked.where("to <> '' and to <> host").groupBy("host", "to").agg(F.count("*").alias("n"))
     linked = stage(linked, "links")
     ways = linked.select(F.lit("trust").alias("kind"), F.col("host").alias("src"), F.col("to").alias("dst"), "n")

@@ -19,10 +19,10 @@ from hashlib import sha1
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import Store, fresh_dir, small_batches, stage
+from loam.llm.common import Store, fresh_dir, running, small_batches, stage
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records carry this date unless the caller gives one: equal input makes equal bytes.
@@ -84,14 +84,10 @@ def _sort_key(page_id: Column, digest: Column) -> Column:
 def _bounds(sizes: DataFrame, share: int) -> DataFrame:
     """``key`` where each shard but the first begins: keys (``key, bytes``) in order, cut at every ``share`` bytes.
 
-    Exact running sums: inside the parts of a range partition, plus the totals of the parts before, one row a part.
-    Wherever Spark's sample puts the parts' ends, the sums and so the shards are the same.
+    The running sums are exact: wherever Spark's sample puts the ends of ranges, the shards are the same.
     """
-    parts = stage(sizes.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "ranges")
-    sums = parts.groupBy("part").agg(F.sum("bytes").alias("all"))
-    ahead = sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("ahead"))
-    inside = F.sum("bytes").over(Window.partitionBy("part").orderBy("key")) - F.col("bytes")
-    laid = parts.withColumn("inside", inside).join(ahead, "part").withColumn("shard", F.floor((F.col("ahead") + F.col("inside")) / share))
+    summed = running(sizes, [], [F.col("key")], {"upto": F.col("bytes")})
+    laid = summed.withColumn("shard", F.floor((F.col("upto") - F.col("bytes")) / share))
     return laid.groupBy("shard").agg(F.min("key").alias("key")).where("shard > 0").select("key")
 
 
