@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import acos, floor, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from loam.llm.common import small_batches, stage
 from loam.llm.components import connected_components, stars
@@ -21,19 +22,40 @@ SHINGLE = 3
 PIECE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of the text's word shingles, unsigned; 0 when there are no words."""
+def _majorities(text: str | None, shingle: int, copies: int) -> tuple[np.ndarray, int]:
+    """``64 * copies`` bits, each set if it is in over half the shingles' hashes, and the number of shingles.
+
+    The first 64 are those of the hashes themselves; each further copy mixes them anew.
+    """
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(64 * copies, bool), 0
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, PIECE):
-        part = words[at : at + PIECE + shingle - 1]
+    ones = np.zeros(64 * copies, np.int64)
+    for at in range(0, n, PIECE // copies):
+        part = words[at : at + PIECE // copies + shingle - 1]
         runs = zip(*(part[i:] for i in range(shingle))) if len(words) >= shingle else [words]
         hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, runs)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        bits = np.unpackbits(_mixed(hashes, copies).view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+        for low in range(0, len(bits), 255):  # what a byte can count
+            ones += bits[low : low + 255].sum(0, dtype=np.uint8)
+    return ones * 2 > n, n
+
+
+def _mixed(hashes: np.ndarray, copies: int) -> np.ndarray:
+    """The hashes and ``copies - 1`` mixtures of each, row by row."""
+    out = hashes[:, None] + np.arange(copies, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    more = out[:, 1:]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        more ^= more >> np.uint64(shift)
+        more *= np.uint64(factor)
+    more ^= more >> np.uint64(31)
+    return np.ascontiguousarray(out)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of the text's word shingles, unsigned; 0 when there are no words."""
+    return int(np.packbits(_majorities(text, shingle, 1)[0], bitorder="little").view("<u8")[0])
 
 
 @F.pandas_udf(LongType())
@@ -70,14 +92,12 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return stars(near, fps)
 
 
-def near_edges(fps: DataFrame, distance: int = 3, extra: int = 2, chunk: int = 1024) -> DataFrame:
-    """Edges ``(src, dst)`` whose components are those of all pairs within ``distance`` bits.
+def _compared(keyed: DataFrame, forest: Callable[[list], list[tuple[int, int]]], chunk: int) -> DataFrame:
+    """The distinct edges ``(src, dst)`` that ``forest`` finds among the values ``fp`` of each ``key``.
 
-    ``fps`` has distinct fingerprints in its column ``fp`` (long). A key shared by more than ``chunk`` fingerprints
-    is dealt out as pairs of chunks, so that no task holds more than two chunks of one key. Each group returns at
-    most one edge a member, however many pairs are close.
+    A key shared by more than ``chunk`` values is dealt out as pairs of chunks, so that no task holds more than two
+    chunks of one key. Each group returns at most one edge a member, however many pairs are close.
     """
-    keyed = fps.select("fp", F.explode(_block_keys(F.col("fp"), distance, extra)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / chunk)
     members = keyed.join(shared, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), parts).alias("part"), parts.alias("parts"))
@@ -87,12 +107,23 @@ def near_edges(fps: DataFrame, distance: int = 3, extra: int = 2, chunk: int = 1
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            edges = [e for fps in batch["fps"] for e in _forest(np.asarray(fps, np.int64), distance)]
+            edges = [e for fps in batch["fps"] for e in forest(list(fps))]
             yield pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["src", "dst"])
 
     return groups.mapInPandas(verify, "src long, dst long").distinct()
 
 
+def near_edges(fps: DataFrame, distance: int = 3, extra: int | None = None, chunk: int = 1024) -> DataFrame:
+    """Edges ``(src, dst)`` whose components are those of all pairs within ``distance`` bits.
+
+    ``fps`` has distinct fingerprints in its column ``fp`` (long). Keys are made of ``extra`` blocks, of one more for
+    each 2^24 times as many fingerprints, so that few unrelated ones share a key; the edges are the same for each.
+    """
+    extra = extra or 2 + max(0, fps.count().bit_length() - 2) // 24
+    keyed = fps.select("fp", F.explode(_block_keys(F.col("fp"), distance, extra)).alias("key"))
+    return _compared(keyed, lambda fps: _forest(np.array(fps, np.int64), distance), chunk)
+
+
 def simhash_groups(docs: DataFrame, distance: int = 3) -> DataFrame:
     """Each row's SimHash and its near-duplicate group: ``doc_id, fingerprint, component_id``.
 
@@ -128,6 +159,95 @@ def keep_first(docs: DataFrame, distance: int = 3) -> DataFrame:
     return rows.join(kept, "rid", "left_semi").select("row.*")
 
 
+#: Wide fingerprints: so many words to a shingle, so many times 64 bits, in blocks of so many bits.
+WIDE_SHINGLE, COPIES, WIDTH = 5, 6, 16
+
+
+@F.pandas_udf(StructType([StructField("fp", BinaryType()), StructField("n", IntegerType())]))
+def _wide_fingerprints(texts: pd.Series) -> pd.DataFrame:
+    made = [_majorities(t, WIDE_SHINGLE, COPIES) for t in texts]
+    return pd.DataFrame({"fp": [np.packbits(bits, bitorder="little").tobytes() for bits, _ in made], "n": [n for _, n in made]})
+
+
+def bits_within(similarity: float) -> int:
+    """Differing bits of two wide fingerprints that count as so similar: the mean of such pairs and half a standard error.
+
+    Shingle sets of Jaccard similarity s and equal size have the cosine 2s / (1 + s), and each bit differs with the
+    probability of its angle over pi.
+    """
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return floor(64 * COPIES * p + 0.5 * sqrt(64 * COPIES * p * (1 - p)))
+
+
+def _wide_forest(packed: list[bytes], distance: int) -> list[tuple[int, int]]:
+    """:func:`_forest` of wide fingerprints, each followed by the eight bytes of its number."""
+    rows = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+    bits, ids = np.ascontiguousarray(rows[:, :-8]).view(np.uint64), np.ascontiguousarray(rows[:, -8:]).view(">i8").ravel().astype(np.int64)
+    near = np.empty((len(ids), len(ids)), bool)
+    for at in range(0, len(ids), 256):
+        near[at : at + 256] = np.bitwise_count(bits[at : at + 256, None] ^ bits[None]).sum(2, dtype=np.int64) <= distance
+    np.fill_diagonal(near, False)
+    return stars(near, ids)
+
+
+def similar_edges(fps: DataFrame, distance: int, chunk: int = 1024) -> DataFrame:
+    """Edges ``(src, dst)`` between numbers of wide fingerprints (``id, fp, n``) within ``distance`` bits that share a block.
+
+    A key is a block's bits, its place and the size class of ``n``. Classes double; those of odd blocks lie half a
+    class higher, so texts of about one length share the class of half their blocks at least.
+    """
+    keys = []
+    for i in range(64 * COPIES // WIDTH):
+        size_class = F.floor(F.log2(F.col("n") + 1) + 0.5 * (i % 2)).cast("long")
+        bits = F.conv(F.hex(F.substring("fp", 1 + i * WIDTH // 8, WIDTH // 8)), 16, 10).cast("long")
+        keys.append((F.lit(i * 64) + size_class) * (1 << WIDTH) + bits)
+    number = F.unhex(F.lpad(F.hex("id"), 16, "0"))
+    keyed = fps.select(F.concat("fp", number).alias("fp"), F.explode(F.array(*keys)).alias("key"))
+    return _compared(keyed, lambda packed: _wide_forest(packed, distance), chunk)
+
+
+def _similar(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fingerprints (``row, fp, rid``), and ``fp, first, root`` of each distinct fingerprint."""
+    small_batches(docs.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    made = docs.select(whole, _wide_fingerprints("text").alias("w"), F.monotonically_increasing_id().alias("rid"))
+    rows = stage(made.select("row", "w.fp", "w.n", "rid"), "rows")
+    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", "rid")
+    by_fp = rows.groupBy("fp").agg(F.min(order).alias("first"), F.min("n").alias("n"))
+    by_fp = stage(by_fp.withColumn("id", F.monotonically_increasing_id()), "fingerprints")
+    linked = connected_components(similar_edges(by_fp.select("id", "fp", "n"), bits_within(similarity)))
+    roots = by_fp.join(linked, by_fp["id"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "id").alias("root"))
+    return rows, roots
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id``: near-duplicates by five-word shingles of about ``similarity`` or more.
+
+    Fingerprints of 384 bits lie in 24 blocks of 16; those that share a block and differ in few enough bits for the
+    similarity (:func:`bits_within`) are linked. A pair may share no block, the likelier the less alike it is; the
+    README states the recall. ``component_id`` is the smallest ``doc_id`` reachable.
+
+    Edge cases: texts of fewer than five words have one shingle, the whole; null and blank texts are all alike; a
+    null ``doc_id`` keeps its row and is never the smallest unless its whole group has none (then null); repeated
+    rows are kept; an empty table gives no rows; other columns of ``docs`` are ignored.
+    """
+    rows, roots = _similar(docs, similarity)
+    least = roots.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.doc_id").alias("component_id"))
+    groups = roots.join(least, "root").select("fp", "component_id")
+    return rows.join(groups, "fp").select("row.doc_id", "component_id")
+
+
+def keep_first_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The documents less all but one of each group of :func:`similar_groups`: the one of the smallest ``doc_id`` stays.
+
+    All columns are kept, whatever their names. Rows that repeat that ``doc_id`` leave one row, and so does a group
+    without any ``doc_id``.
+    """
+    rows, roots = _similar(docs, similarity)
+    kept = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
+    return rows.join(kept, "rid", "left_semi").select("row.*")
+
+
 def _roots(by_fp: DataFrame, distance: int) -> DataFrame:
     """``by_fp`` with the fingerprint that stands for the group of each as ``root``."""
     linked = connected_components(near_edges(by_fp.select("fp"), distance)).withColumnRenamed("node", "fp")

@@ -90,13 +90,47 @@ def test_keep_first_leaves_one_of_each_group(spark, rows):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(groups)
 
 
+def shingle_set(text, k=5):
+    ws = text.lower().split()
+    return {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))}
+
+
+def test_similar_groups_against_jaccard(spark):
+    """Edited copies of all degrees: pairs of 0.85 or more share a group, with a recall stated here; others do not."""
+    rng = random.Random(11)
+    rows, truth = [], []
+    for i in range(120):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 900]))]
+        edited = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 8, 20])):
+            edited[rng.randrange(len(edited))] = f"x{rng.randrange(5000)}"
+        a, b = " ".join(base), " ".join(edited)
+        rows += [(2 * i, a, "s"), (2 * i + 1, b, "s")]
+        truth.append(len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b)))
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(table(spark, rows)).collect()}
+    met = [group[2 * i] == group[2 * i + 1] == 2 * i for i in range(120)]
+    assert all(m for m, j in zip(met, truth) if j > 0.95) and not any(m for m, j in zip(met, truth) if j < 0.65)
+    assert np.mean([m for m, j in zip(met, truth) if j >= 0.85]) > 0.9
+    assert len({group[2 * i] for i in range(120)}) == 120  # unrelated texts never meet
+
+
+def test_similar_groups_edge_cases(spark, rows):
+    got = Counter((r.doc_id, r.component_id) for r in simhash.similar_groups(table(spark, rows)).collect())
+    group = dict(got.keys())
+    assert sum(got.values()) == len(rows) and {got[i, 200] for i in (200, 201, 202)} == {1} and group[203] == 203 and got[7, 7] == 2
+    assert all(group[100 + i] == group[100] for i in range(25)) and group[300] == 300
+    docs = table(spark, rows)
+    kept = simhash.keep_first_similar(docs)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(set(group.values()))
+
+
 def test_connected_components_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
 
 
-@pytest.mark.parametrize("operator", [simhash.simhash_groups, simhash.keep_first, mixing.mix_documents, mixing.take_whole, packing.pack_documents, rollups.rollup_documents])
+@pytest.mark.parametrize("operator", [simhash.simhash_groups, simhash.keep_first, simhash.similar_groups, simhash.keep_first_similar, mixing.mix_documents, mixing.take_whole, packing.pack_documents, rollups.rollup_documents])
 def test_empty_tables(spark, operator):
     assert operator(table(spark, [(1, "a", "b")]).limit(0)).count() == 0
 
@@ -144,6 +178,45 @@ def test_apportion_is_sainte_lague(spark):
         assert got == {i: won[i] for i in range(12)}
 
 
+def brute_quotas(votes, seats):
+    """Seats by highest quotients votes / (2k + 1), ties to the earlier party."""
+    won = Counter()
+    for _ in range(seats):
+        won[max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))] += 1
+    return [won[i] for i in range(len(votes))]
+
+
+def test_taken_words_equal_a_plain_loop(spark, rows):
+    """What the mix takes of each document: seats of sources, seats of shards, and a run of words around each ring."""
+    block, shard_words, seed = 16, 3000, 5
+    keyed = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    sizes = table(spark, keyed).select("doc_id", "source", mixing.word_count("text").alias("size"))
+    docs = stage(sizes, "sizes")
+    got = {r.doc_id: r.taken for r in mixing.mix(docs, ["doc_id"], block=block, shard_words=shard_words, seed=seed).collect()}
+    hashed = docs.select("doc_id", "source", "size", F.xxhash64(F.lit(seed), "doc_id").alias("order"), F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id").alias("deal")).collect()
+    target = {r.source: r.target for r in mixing.targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), [1, 2, 3]).collect()}
+    order = sorted([s for s in target if s is not None]) + [None]
+    held = {s: sum(r["size"] for r in hashed if r.source == s) for s in order}
+    quota = dict(zip(order, brute_quotas([target[s] for s in order], sum(held.values()) // block)))
+    want = {}
+    for s in order:
+        own = [r for r in hashed if r.source == s]
+        shards = max(1, -(-held[s] // shard_words))
+        numbers = sorted({r.deal % shards for r in own})
+        size = {n: sum(r["size"] for r in own if r.deal % shards == n) for n in numbers}
+        seats = brute_quotas([size[n] for n in numbers], min(quota[s], 3 * held[s] // block)) if held[s] else [0] * len(numbers)
+        begins = {r.n: r.b for r in spark.createDataFrame([(s, n) for n in numbers], "s string, n long").select("n", F.xxhash64(F.lit(seed), "s", "n").alias("b")).collect()}
+        for n, q in zip(numbers, seats):
+            ring, at = sorted((r for r in own if r.deal % shards == n), key=lambda r: (r.order, r.doc_id)), 0
+            words = min(q, 3 * size[n] // block) * block
+            whole, run = divmod(words, size[n]) if size[n] else (0, 0)
+            begin = begins[n] % size[n] if size[n] else 0
+            for r in ring:
+                want[r.doc_id] = whole * r["size"] + sum(1 for w in range(at, at + r["size"]) if begin <= w < begin + run or w < begin + run - size[n])
+                at += r["size"]
+    assert got == want and max(got.values()) > 0
+
+
 def test_take_whole_keeps_rows(spark, rows):
     docs = table(spark, rows)
     got = mixing.take_whole(docs)
@@ -308,6 +381,43 @@ def test_classifiers_without_labels_or_rows(spark, operator):
     assert operator(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_margin_is_a_plain_sum():
+    """N-gram by n-gram over distinct folded words, against the scorer's per-word sums."""
+    rng = random.Random(4)
+    texts = [words(rng, rng.randrange(1, 30)).title() for _ in range(60)] + ["", "One", "so SO so", None]
+    model = toxicity.train(texts, np.array([i % 2 for i in range(len(texts))]))
+    for text, margin in zip(texts, model.margins(texts)):
+        distinct = {w.lower() for w in (text or "").split()}
+        total = sum(model.weights[b] for w in distinct for b in toxicity.ngrams([w], toxicity.SHORTEST, toxicity.LONGEST, toxicity.BITS)[0])
+        assert margin == pytest.approx(model.bias + total / max(1, len(distinct)) ** 0.5)
+
+
+def test_log_count_ratios_are_plain_counts():
+    texts, labels = ["bad bad idiot", "good day", "fine good sun", "idiot"], np.array([1, 0, 0, 1])
+    counts = np.ones((2, 1 << toxicity.BITS))
+    for t, y in zip(texts, labels):
+        for w in set(t.split()):
+            for b in toxicity.ngrams([w], toxicity.SHORTEST, toxicity.LONGEST, toxicity.BITS)[0]:
+                counts[y, b] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    model = toxicity.fit(texts, labels, updates=1)
+    moved = np.flatnonzero(model.weights)
+    assert len(moved) and set(moved) <= set(np.flatnonzero(ratio)) and (np.sign(model.weights[moved]) != 0).all()
+
+
+@pytest.mark.parametrize("keep,train", [(toxicity.drop_toxic, toxicity.train), (quality.keep_good, quality.train)])
+def test_filters_keep_columns_and_repeats(spark, rows, keep, train):
+    rng = random.Random(9)
+    texts = [words(rng, 30) + (" zap idiotish" * 9 if i % 2 else "") for i in range(80)]
+    bad = np.array([i % 2 for i in range(80)])
+    model = train(texts, bad if keep is toxicity.drop_toxic else 1 - bad)
+    docs = table(spark, [*rows, (900, texts[1], None), (900, texts[1], None), (901, texts[0] * 400, "s")])
+    got = keep(docs, model)
+    ids = Counter(r.doc_id for r in got.collect())
+    assert got.columns == docs.columns and 900 not in ids and ids[901] == 1 and ids[7] == 2 and ids[None] == 1
+    assert keep(docs.limit(0), model).count() == 0
+
+
 def test_scores_do_not_depend_on_batches():
     model = toxicity.train(["good day", "bad idiot", "fine sun", "idiot scum"] * 10, np.array([0, 1, 0, 1] * 10))
     texts = ["good idiot", "", None, "sun"]
