@@ -51,15 +51,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete, at the end, the tables that were staged inside: nothing lazy that reads them may be left by then."""
-    before = len(_staged)
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete, at the end, the tables that were staged inside, but for those staged by the function that it gives.
+
+    Nothing lazy that reads the others may be left by then.
+    """
+    before, kept = len(_staged), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        kept.append(_staged.pop())
+        return out
+
     try:
-        yield
+        yield keep
     finally:
         for path in _staged[before:]:
             Store(spark, path).delete(path)
-        del _staged[before:]
+        _staged[before:] = kept
 
 
 def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
