@@ -1,12 +1,14 @@
 """The pipeline's stages against their operators, each on its own input."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loam.llm import packing, quality, simhash, toxicity
+from loam.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,12 +30,21 @@ def test_stages(spark):
     assert set(ids["toxicity"]) == {r.doc_id for r in docs.collect()} - toxic
     bad = {r.doc_id for r in quality.classify(out["toxicity"], labels).collect() if not r.predicted}
     assert set(ids["quality"]) == set(ids["toxicity"]) - bad
-    assert set(ids["near_dedup"]) == {r.component_id for r in simhash.simhash_groups(out["quality"]).collect()}
+    assert set(ids["near_dedup"]) == {r.component_id for r in simhash.similar_groups(out["quality"]).collect()}
     assert set(ids["mixing"]) <= set(ids["near_dedup"]) and max(ids["mixing"].values()) <= 3
     pieces = Counter(r.doc_id for r in packing.pack_documents(out["mixing"]).collect())
     assert ids["packing"] == pieces
 
 
+def test_run_leaves_no_staged_table_but_its_last(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    packed = corpus_pipeline.run(spark, SF)
+    assert all(len(r.ids) == r.length for r in packed.collect())
+    left = {p.name.split("-")[1] for p in set(folder.iterdir()) - before if p.name.startswith("loam-")}
+    assert "mixing" in left and not left & {"toxicity", "quality", "near_dedup", "rows", "fingerprints", "edges", "ranges"}
+
+
 @pytest.mark.parametrize("function", [corpus_pipeline.drop_toxic, corpus_pipeline.keep_good])
 def test_stages_without_labelled_documents_fail(spark, function):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", -F.col("doc_id") - 1)
