@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.functions.lineage import settle
+from loam.sources.sinks import mark_contradiction
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -87,3 +92,38 @@ def update_report(diff: DataFrame, affected: DataFrame, planned: DataFrame, stal
     rows = rows.union(planned.select(F.when(F.col("action") == "propose", "proposed_pages").otherwise("regenerated_pages"), "page"))
     rows = rows.union(stale.select(F.lit("stale_removed_pages"), "page")).union(contradictions.select(F.lit("contradictions"), "page"))
     return rows.groupBy(F.col("change").alias("item")).agg(F.array_sort(F.collect_set("path")).alias("names"))
+
+
+def proposed_path(page: Column | str) -> Column:
+    """Where a proposal for a locked page goes, beside it."""
+    return F.regexp_replace(T.c(page), r"\.md$", ".proposed.md")
+
+
+@dataclass
+class Update:
+    """What an update does: the plan, the whole page table afterwards, pages that now say something else, the report."""
+
+    planned: DataFrame
+    pages: DataFrame
+    contradictions: DataFrame
+    report: DataFrame
+
+
+def update_pages(old: DataFrame, new: DataFrame, pagemap: DataFrame, current: DataFrame, signals: DataFrame, build: Callable[[DataFrame], DataFrame]) -> Update:
+    """From two manifests to the pages (``page, text``): affected ones are built anew, and only those.
+
+    ``build`` makes ``page, text`` of the wanted pages (``page``). Locked pages stay, with a proposal beside them; pages
+    that are not made any more go; pages whose summary changes are marked.
+    """
+    diff = settle(manifest_diff(old, new))
+    affected = affected_pages(pagemap, diff).union(predicted_pages(diff, signals)).distinct()
+    planned = settle(plan_refresh(affected, locked_pages(pagemap, current)))
+    made = settle(build(planned.select("page")).join(planned, "page").select("page", "text", "action"))
+    fresh, proposed = made.where("action = 'regenerate'").select("page", "text"), made.where("action = 'propose'").select(proposed_path("page").alias("page"), "text")
+    stale = stale_pages(planned, fresh).join(current.select("page"), "page", "left_semi")
+    contradicting = changed_summaries(current, fresh)
+    marked = fresh.join(contradicting.withColumn("changed", F.lit(True)), "page", "left")
+    marked = marked.select("page", F.when(F.col("changed"), mark_contradiction("text")).otherwise(F.col("text")).alias("text"))
+    gone = fresh.select("page").union(proposed.select("page")).union(stale)
+    pages = current.select("page", "text").join(gone, "page", "left_anti").unionByName(marked).unionByName(proposed)
+    return Update(planned, pages, contradicting, update_report(diff, affected, planned, stale, contradicting))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.functions.lineage import settle
 
 SCHEMA_VERSION = 2
 LEVELS = ["low", "medium", "high"]
@@ -89,26 +90,82 @@ def file_prompts(files: DataFrame, symbols: DataFrame, signals: DataFrame, conte
     return rows.select("path", prompt.alias("prompt"))
 
 
+#: What a model is asked once more after an answer without a JSON object.
+REPAIR = "Return valid JSON only with exactly these keys: "
+
+
+def answers(prompts: DataFrame, key: str, model: Callable, fields: list[str]) -> DataFrame:
+    """``key, json``: the JSON object in the model's answer to each prompt; where there is none, it is asked once more.
+
+    Prompts whose second answer has none either give no row. Answers are kept, so that no prompt is sent again.
+    """
+    valid = F.try_parse_json(T.json_object("raw")).isNotNull()
+    told = settle(prompts.select(key, "prompt", model("prompt").alias("raw")))
+    again = F.concat("prompt", F.lit("\n\nYour answer was:\n"), F.coalesce("raw", F.lit("")), F.lit("\n\n" + REPAIR + ", ".join(fields) + "."))
+    repaired = settle(told.where(~F.coalesce(valid, F.lit(False))).select(key, again.alias("prompt")).select(key, model("prompt").alias("raw")))
+    return told.select(key, "raw").unionByName(repaired).where(valid).select(key, T.json_object("raw").alias("json"))
+
+
+def _said(schema: dict[str, str]) -> Column:
+    """An answer's fields: texts and list items trimmed, empty ones null, list items each once; confidence one of three."""
+    ddl = ", ".join(f"{f} {t}" for f, t in schema.items())
+    raw = F.from_json("json", ddl)
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    items = lambda c: F.when(F.size(T.ordered_unique(c)) > 0, T.ordered_unique(c))
+    level = lambda c: F.when(F.lower(F.trim(c)).isin(LEVELS), F.lower(F.trim(c))).otherwise("medium")
+    clean = {f: level(raw[f]) if f == "confidence" else items(raw[f]) if t == "array<string>" else text(raw[f]) if t == "string" else raw[f] for f, t in schema.items()}
+    return F.struct(*[v.alias(f) for f, v in clean.items()])
+
+
+def _kinds(df: DataFrame, fields: list[str]) -> dict[str, str]:
+    return {f: df.schema[f].dataType.simpleString() for f in fields}
+
+
 def summarize_files(files: DataFrame, symbols: DataFrame, prompts: DataFrame, model: Callable | None = None, cache: DataFrame | None = None) -> DataFrame:
     """A summary of every file: from the cache by content, else from ``model`` (an injected UDF of the prompt to JSON),
-    else the fallback. A model's answer that is no JSON object falls back too."""
+    else the fallback. Files of equal content are asked about once, by the first one's prompt. Citations without lines
+    are dropped from an answer; if none is left of some, line 1 is cited."""
     base = fallback_summaries(files, symbols)
     fields = [c for c in base.columns if c not in ("path", "source_hash", "schema_version", "pos")]
+    kinds = _kinds(base, fields)
+    none = F.lit(None).cast("struct<" + ",".join(f"{f}:{t}" for f, t in kinds.items()) + ">")
     if cache is not None:
         hits = cache.where(F.col("schema_version") == SCHEMA_VERSION).dropDuplicates(["source_hash"]).select("source_hash", F.struct(*fields).alias("hit"))
         base = base.join(hits, "source_hash", "left")
     else:
-        base = base.withColumn("hit", F.lit(None).cast(f"struct<{','.join(f'{f}:{base.schema[f].dataType.simpleString()}' for f in fields)}>"))
+        base = base.withColumn("hit", none)
     if model is not None:
-        ddl = ", ".join(f"{f} {base.schema[f].dataType.simpleString()}" for f in fields)
-        asked = prompts.join(base.where("hit is null").select("path"), "path", "left_semi")
-        said = asked.select("path", F.from_json(T.json_object(model("prompt")), ddl).alias("said"))
-        base = base.join(said, "path", "left").withColumn("hit", F.coalesce("hit", "said")).drop("said")
+        asked = prompts.join(base.where("hit is null").select("path", "source_hash", "pos"), "path").groupBy("source_hash").agg(F.min_by("prompt", "pos").alias("prompt"))
+        told = answers(asked, "source_hash", model, fields).select("source_hash", _said(kinds).alias("said"))
+        base = base.join(told, "source_hash", "left")
+    else:
+        base = base.withColumn("said", none)
+    cited = F.filter("said.citations", lambda x: F.contains(x, F.lit(":L")))
+    known = {f: F.col(f"said.{f}") for f in fields} | {"citations": F.when(F.size(cited) > 0, cited)}
     level = lambda c: F.when(c.isin(LEVELS), c)
-    picked = {f: F.coalesce(level(F.col(f"hit.{f}")) if f == "confidence" else F.col(f"hit.{f}"), F.col(f)).alias(f) for f in fields}
+    picked = {f: F.coalesce(level(F.col(f"hit.{f}")) if f == "confidence" else F.col(f"hit.{f}"), known[f], F.col(f)).alias(f) for f in fields}
     return base.select("path", *picked.values(), "source_hash", "schema_version", "pos")
 
 
+def _retold(rows: DataFrame, key: str, prompts: DataFrame, model: Callable, fields: list[str]) -> DataFrame:
+    told = answers(prompts, key, model, fields).select(key, _said(_kinds(rows, fields)).alias("said"))
+    picked = [F.coalesce(f"said.{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns]
+    return rows.join(told, key, "left").select(*picked)
+
+
+def summarize_components(components: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
+    """``components`` in the model's words where it answers ``prompts`` (``component, prompt``); else as they are."""
+    fields = ["responsibility", "capabilities", "citations", "confidence", "interfaces", "dependencies", "owned_data"]
+    return _retold(components, "component", prompts, model, fields)
+
+
+def summarize_system(system: DataFrame, prompt: DataFrame, model: Callable) -> DataFrame:
+    """The one row of ``system`` in the model's words where it answers ``prompt``; else as it is."""
+    fields = ["executive_summary", "capabilities", "audiences", "confidence", "architecture_overview"]
+    one = F.lit(0).alias("one")
+    return _retold(system.select("*", one), "one", prompt.select(one, "prompt"), model, fields).drop("one")
+
+
 def merged_confidence(column: str = "confidence") -> Column:
     """The least of low, medium and high over a group; medium if there is none."""
     held = lambda level: F.coalesce(F.bool_or(F.col(column) == level), F.lit(False))

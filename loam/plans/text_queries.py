@@ -284,6 +284,36 @@ def update_report(spark, sf_dir):
     return report.select("item", F.array_join("names", ";").alias("names"))
 
 
+def _group_pages(manifest: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """A page for each group of three documents with the number of its files and the least hash among them."""
+    id_ = F.regexp_extract("path", r"doc_(\d+)", 1).cast("long")
+    rows = manifest.select(F.format_string("components/g%d.md", (id_ / 3).cast("long")).alias("page"), "hash")
+    rows = rows.join(wanted, "page", "left_semi") if wanted is not None else rows
+    text = F.concat(F.lit("---\ntitle: G\n---\n\n## Summary\n"), F.count("*"), F.lit(" files\n\n## Files\n"), F.min("hash"), F.lit("\n"))
+    return rows.groupBy("page").agg(text.alias("text"))
+
+
+def _page_text(n: str, h: str, mark: str = "") -> str:
+    return f"'---' || chr(10) || 'title: G' || chr(10) || {mark or chr(39) * 2} || '---' || chr(10) || chr(10) || '## Summary' || chr(10) || {n} || ' files' || chr(10) || chr(10) || '## Files' || chr(10) || {h} || chr(10)"
+
+
+@query(f"""with {synth.DIFF_SQL}, {_PAGEMAP}, d as (select doc_id, 'components/g' || (doc_id // 3) || '.md' as page, (doc_id // 3) % 5 = 0 as locked, text from documents),
+was as (select page, count(*) as n, min(sha256(text)) as h from d where doc_id % 19 <> 0 group by page),
+now as (select page, any_value(locked) as locked, count(*) as n, min(sha256(case when doc_id % 13 = 0 then text || '!' else text end)) as h from d where doc_id % 17 <> 0 group by page),
+hit as (select distinct page from map join diff using (doc_id)),
+fresh as (select now.*, was.n as before from now join hit using (page) left join was using (page)),
+out as (select page, {_page_text('n', 'h')} as text from was where page not in (select page from hit)
+  union all select page, {_page_text('n', 'h')} from was where page in (select page from hit) and page in (select page from map where locked)
+  union all select replace(page, '.md', '.proposed.md'), {_page_text('n', 'h')} from fresh where locked
+  union all select page, {_page_text('n', 'h', "case when before <> n then 'contradiction: true' || chr(10) else '' end")} from fresh where not locked)
+select page, sha256(text) as hash from out""")
+def update_pages(spark, sf_dir):
+    """The page table after an update, from two manifests of documents."""
+    old, new = synth.snapshots(spark, sf_dir)
+    done = incremental.update_pages(old, new, synth.pagemap(spark, sf_dir), _group_pages(old), _doc_signals(spark, sf_dir), lambda wanted: _group_pages(new, wanted))
+    return done.pages.select("page", F.sha2("text", 256).alias("hash"))
+
+
 @query(r"""with parts as (select conv_id, string_agg(role || ': ' || left(array_to_string(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda w: w <> ''), ' '), 240), chr(10) order by turn) as context
 from conversations group by conv_id) select conv_id, context from parts""")
 def chat_context(spark, sf_dir):

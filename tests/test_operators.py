@@ -185,6 +185,121 @@ def test_summaries_with_cache_and_model(spark):
     assert parts["c"].confidence == "low" and parts["c"].files == ["c/a.py", "c/b.py"] and parts["c"].capabilities == ["core repository behavior"]
 
 
+def test_models_are_asked_once_and_repaired(spark):
+    f = files(spark, {"c/a.py": "x", "c/b.py": "y", "d/e.py": "x"})
+    none = spark.createDataFrame([], schemas.SYMBOLS)
+    base = summarize.fallback_summaries(f, none)
+    said = '{"responsibility": " told ", "confidence": "HIGH", "citations": ["a:L1-L2", "plain"], "key_symbols": ["k", "k", ""]}'
+    asked = spark.sparkContext.accumulator(0)
+
+    def answer(prompt):
+        asked.add(1)
+        return said if "c/a.py" in prompt or "Return valid JSON only" in prompt else "no idea"
+
+    prompts = summarize.file_prompts(f, none, spark.createDataFrame([], schemas.SIGNALS))
+    rows = {r.path: r for r in summarize.summarize_files(f, none, prompts, F.udf(answer)).collect()}
+    assert asked.value == 3  # two contents, and one repair
+    for r in rows.values():
+        assert (r.responsibility, r.confidence, r.citations, r.key_symbols) == ("told", "high", ["a:L1-L2"], ["k"])
+    parts = summarize.reduce_components(base, spark.createDataFrame([], schemas.SIGNALS))
+    model = F.udf(lambda p: '{"responsibility": "does c"}' if "Summarise this component as JSON: c" in p else '{"executive_summary": "all", "confidence": "odd"}' if "system" in p else "?")
+    told = summarize.summarize_components(parts, summarize.component_prompts(parts, base), model)
+    assert {r.component: r.responsibility for r in told.collect()} == {"c": "does c", "d": "Holds part of this component's implementation."}
+    whole = summarize.reduce_system(parts, f, none, repomap.framework_hints(f), repomap.entrypoints(f))
+    got = summarize.summarize_system(whole, summarize.system_prompt(parts), model).first()
+    assert got.executive_summary == "all" and got.confidence == "medium" and got.capabilities == ["core repository behavior"]
+
+
+def test_neighbor_block_tries_every_cap(spark):
+    words = lambda n, k: [" ".join([f"w{i}"] * k) for i in range(n)]
+    lists = {"imports": words(12, 20), "dependents": words(9, 30), "calls": words(8, 7)}
+    frame = spark.createDataFrame([("p", *lists.values()), ("q", [], None, ["f (2)"]), ("r", None, [], None)], "path string, imports array<string>, dependents array<string>, calls array<string>")
+    for budget in (10, 300, 420, 500, 700, 5000):
+        got = {r.path: r.block for r in summarize.neighbor_block(frame, budget).collect()}
+        block = lambda a, b, c: f"Graph neighbors:\n- Imports: {a}\n- Depended on by (1-hop): {b}\n- Calls (top symbols): {c}"
+        tries = [block(*(", ".join(v[:n]) for v, n in zip(lists.values(), (a, b, c)))) for a in (12, 8, 5, 3, 2) for b in (12, 8, 5, 3, 2) for c in (8, 6, 4, 3, 2)]
+        fitting = [t for t in tries if int(len(("user\n" + t).split()) * 1.35) <= budget]
+        assert got["p"] == (fitting or [block(*["(trimmed)"] * 3)])[0] and got["r"] == ""
+        assert got["q"] == block(*(["(none)", "(none)", "f (2)"] if budget > 10 else ["(trimmed)"] * 3))
+
+
+def test_opportunity_backfill_counts_citations_once(spark):
+    rows = [("a", "n", ["x:L1-L1"] * 9 + ["y:L1-L1"]), ("b", "m", ["x:L1-L1", "z:L1-L1"])]
+    got = signals.opportunity_register(spark.createDataFrame(rows, schemas.SIGNALS), 0).collect()
+    assert [(r.name, r.evidence) for r in got] == [(k, [c]) for k, c in zip(signals.PRIORITIES, ["x:L1-L1", "y:L1-L1", "z:L1-L1"])]
+
+
+def test_spring_signals(spark):
+    text = "import org.Springframework;\n@Entity\n@Entity class A {}\n@Entity\n@GetMapping(value = ' /q ')\n@PostMapping('/p')\n@PutMapping\n@KafkaListener(topics = \"t\")\n@KafkaListener(id = X)\n@Scheduled(1)\nclass B {}\n"
+    f = files(spark, {"J.java": text, "K.java": "@Entity class C {}"})
+    got = {(r.type, r.name): r.evidence for r in signals.collect(signals.spring_hits(f)).collect()}
+    line = lambda n: [f"J.java:L{n}-L{n}"]
+    assert got == {
+        ("data_model", "A"): line(2) + line(3), ("data_model", "B"): line(4), ("api_route", "GET /q"): line(5), ("api_route", "POST /p"): line(6), ("api_route", "PUT /"): line(7),
+        ("messaging", "Kafka t"): line(8), ("messaging", "Kafka Kafka Listener"): line(9), ("scheduled_job", "Spring Scheduled Job"): line(10),
+    }
+
+
+def test_capability_names_anywhere(spark):
+    base = summarize.fallback_summaries(files(spark, {"a.py": "1", "b.py": "2", "c.py": "3"}), spark.createDataFrame([], schemas.SYMBOLS))
+    told = base.withColumn("what_it_does", F.when(F.col("path") == "a.py", "handles repayments").otherwise("x"))
+    groups = spark.createDataFrame([("payment", ["z.py:L1-L1"]), ("nowhere", ["c.py:L1-L2"]), ("x", [])], "capability string, evidence array<string>")
+    assert {tuple(r) for r in pages.capability_summaries(groups, told).collect()} == {("payment", "a.py"), ("nowhere", "c.py"), ("x", "b.py"), ("x", "c.py")}
+
+
+def test_log_entries(spark):
+    log = spark.sql("select timestamp'2026-01-02 03:04:05' as ts, 'update' as event, 'two pages' as detail")
+    assert log.select(sinks.render_log()).first()[0] == "## [2026-01-02 03:04:05Z] update\n- two pages\n"
+    changed = log.select("ts", F.lit("p.md").alias("page"))
+    assert sinks.contradictions(changed).select(sinks.render_log()).first()[0] == "## [2026-01-02] contradiction | p.md\n"
+
+
+def test_stored_vectors_are_fresh(spark, tmp_path):
+    snippet = lambda t: spark.createDataFrame([(t, "a", 1), ("u", "b", 2)], "text string, cite string, pos long")
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(text):
+        calls.add(1)
+        return [float(len(text))]
+
+    udf = F.udf(embed, "array<float>")
+    one = lambda t, model: {r.cite: r.embedding for r in search.fresh_vectors(snippet(t), udf, model, str(tmp_path / "v")).collect()}
+    assert one("tt", "m") == {"a": [2.0], "b": [1.0]} and calls.value == 2 and one("tt", "m")["a"] == [2.0] and calls.value == 2
+    assert one("ttt", "m")["a"] == [3.0] and calls.value == 4 and one("ttt", "n")["a"] == [3.0] and calls.value == 6
+
+
+def test_files_in_a_store_that_only_spark_knows(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "b.py").write_text("x\r\ny")
+    (tmp_path / "c.bin").write_bytes(b"\0")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tree.link./in", f"file://{tmp_path}")
+    assert [(r.path, r.text, r.size) for r in S.scan_files(spark, "viewfs://tree/in").collect()] == [("a/b.py", "x\ny", 4)]
+
+
+def test_component_graph(spark):
+    f = files(spark, {f"d/f{i:02}.py": "" for i in range(40)})
+    rows = [(f"file:d/f{i:02}.py", f"file:d/f{(i + 1) % 36:02}.py", "imports") for i in range(36)] + [("file:d/f00.py", f"external:m{i}", "imports") for i in range(7)]
+    lines = pages.component_graph_diagram(f, spark.createDataFrame(rows, "src string, dst string, edge_type string")).first()[0].split("\n")
+    node = lambda i: f"file_d_f{i:02}_py"
+    want = ["flowchart TD", *[f"    {node(i)}[d/f{i:02}.py]" for i in range(30)], *[f"    {node(i)} --> {node(i + 1)}" for i in range(29)]]
+    want += [*[f"    external_m{i}[m{i}]:::external" for i in range(5)], "    more3[+2 more external]:::external", "    more4[+6 more]", "    classDef external fill:#f9f"]
+    assert lines == want
+
+
+def test_report_pages(spark):
+    got = {r.rel_path: r for r in registry.queries()["report_pages"](spark, "/root/testdata/sf0.001").collect()}
+    nations = {r[0] for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").select("s_nationkey").distinct().collect()}
+    want = {f"00-overview/{x}.md" for x in ("executive-summary", "system-context", "tech-stack", "component-graph")} | {f"components/nation-{k}.md" for k in nations}
+    want |= {f"{kind}/area-{k}.md" for kind in ("capabilities", "workflows") for k in nations}
+    want |= {"domain/glossary.md", "domain/data-model.md", "integrations/external-systems.md", "risks/risk-register.md", "operations/setup.md"}
+    want |= {t for lens in pages.LENSES.values() for t in lens.templates}
+    assert set(got) == want
+    for r in got.values():
+        assert r.rendered.startswith(f"---\ntitle: {r.title}\n") and "\n## Summary\n" in r.rendered and r.rendered.endswith("\n")
+    k = min(nations)
+    assert f"- GET /area_{k}/" in got[f"capabilities/area-{k}.md"].rendered and f"nation_{k}/" in got[f"components/nation-{k}.md"].rendered
+
+
 def test_persisted_tables(spark, tmp_path):
     assert S.load_manifest(spark, str(tmp_path / "none")).count() == 0 and S.load_snippets(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "m.json").write_text('{"source_root": "/s", "files": {"a": "1"}}')
