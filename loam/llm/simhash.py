@@ -95,15 +95,20 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def _compared(keyed: DataFrame, forest: Callable[[list], list[tuple[int, int]]], chunk: int) -> DataFrame:
     """The distinct edges ``(src, dst)`` that ``forest`` finds among the values ``fp`` of each ``key``.
 
-    A key shared by more than ``chunk`` values is dealt out as pairs of chunks, so that no task holds more than two
-    chunks of one key. Each group returns at most one edge a member, however many pairs are close.
+    A key of at most ``chunk`` values is a group as it stands, gathered in one shuffle. One of more is dealt out as
+    pairs of chunks, so that no task holds more than two chunks of one key. Each group returns at most one edge a
+    member, however many pairs are close.
     """
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / chunk)
-    members = keyed.join(shared, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), parts).alias("part"), parts.alias("parts"))
-    dealt = members.select("key", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    unit = F.struct("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    groups = dealt.groupBy(unit.alias("unit")).agg(F.collect_list("fp").alias("fps")).select("fps")
+    hot = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "hot")
+    some = not hot.isEmpty()
+    cold = keyed.join(hot.select("key"), "key", "left_anti") if some else keyed
+    groups = cold.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    if some:
+        parts = F.ceil(F.col("n") / chunk)
+        members = keyed.join(hot, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), parts).alias("part"), parts.alias("parts"))
+        dealt = members.select("key", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        unit = F.struct("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+        groups = groups.unionAll(dealt.groupBy(unit.alias("unit")).agg(F.collect_list("fp").alias("fps")).select("fps"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,7 +142,7 @@ def simhash_groups(docs: DataFrame, distance: int = 3) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = stage(docs.select("doc_id", _fingerprints("text").alias("fp")), "fingerprints")
-    by_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    by_fp = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = _roots(by_fp, distance)
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = roots.join(least, "root").select("fp", "component_id")
