@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loam.llm.common import small_batches, worker_cache
-from loam.llm.training import CACHE_WORDS, Vocabulary, labelled_sample, ngrams, remainder
+from loam.llm.training import AT_ONCE, CACHE_WORDS, Vocabulary, labelled_sample, ngrams, remainder
 
 SHORTEST, LONGEST, BITS = 3, 6, 18
 #: Between a plain sum, where long texts drift, and a mean, where a few words drown in them.
@@ -89,9 +89,9 @@ def fit(texts: list[str], labels: np.ndarray, alpha: float = 1.0, l2: float = 1e
     for y in (0, 1):
         every = np.concatenate([d for d, t in zip(docs, labels) if t == y])
         held = np.bincount(every, minlength=len(words.ids)).astype(float)
-        some = np.flatnonzero(held)
-        flat, place = words.of(some)
-        counts[y] += np.bincount(flat, held[some][place], buckets)
+        for some in np.array_split(np.flatnonzero(held), 1 + len(held) // AT_ONCE):
+            flat, place = words.of(some)
+            counts[y] += np.bincount(flat, held[some][place], buckets)
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     share = np.where(labels == 1, n / 2 / positive, n / 2 / (n - positive))  # both classes weigh the same
     w, b, seen, seen_b, rng = np.zeros(buckets), model.bias, np.full(buckets, 1e-6), 1e-6, np.random.default_rng(8)

@@ -34,14 +34,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return got
 
 
+#: Words whose n-grams are hashed at a time: what lies beside the result stays small.
+AT_ONCE = 1 << 14
+
+
 def ngrams(words: list[str], shortest: int, longest: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all character n-grams of the words, their ends marked, and how many each word has.
 
     The buckets lie word after word. Every word has at least one n-gram: one shorter than ``shortest`` with its marks
     counts as a whole.
     """
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = [_ngrams(words[i : i + AT_ONCE], shortest, longest, bits) for i in range(0, len(words), AT_ONCE)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _ngrams(words: list[str], shortest: int, longest: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     pad = "\0" * max(0, shortest - 2)
     marked = [f"<{w}>" if len(w) + 2 >= shortest else f"<{w}>{pad}" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -54,7 +63,7 @@ def ngrams(words: list[str], shortest: int, longest: int, bits: int) -> tuple[np
         if n >= shortest:
             at = np.flatnonzero(left[: len(value)] >= n)
             mixed = value[at] ^ (value[at] >> np.uint64(29))
-            found.append((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64))
+            found.append((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int32))
             rows.append(word[at])
     rows, found = np.concatenate(rows), np.concatenate(found)
     return found[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(words))
