@@ -75,7 +75,7 @@ def apportion(parties: DataFrame, group: list[str], party: str, votes: str, seat
 
 
 def mix(
-    docs: DataFrame, keys: list[str], weights: list[int] = (1, 2, 3), block: int = 16, shard_words: int = 500_000, seed: int = 5
+    docs: DataFrame, keys: list[str], weights: list[int] = (1, 2, 3), block: int = 16, shard_words: int = 500_000, seed: int = 5, by: list[str] | None = None
 ) -> DataFrame:
     """Rows of ``keys`` and ``size, source_size, target, taken``: how many words of each document the mix takes.
 
@@ -84,9 +84,11 @@ def mix(
     them to the sources by target, then a source's blocks to its shards of about ``shard_words`` words by size. A
     shard's documents stand in seeded order as a ring; a seeded start and the shard's quota select a run of blocks
     around it, at most ``REPEATS`` times, and ``taken`` is what the run covers of a document. Everything depends on
-    the rows alone, so reruns agree; a window never holds more than one shard, whatever a source's share.
+    the rows alone, so reruns agree; a window never holds more than one shard, whatever a source's share. ``by`` names
+    the columns whose hash deals and orders documents, where that is not ``keys``.
     """
-    docs = docs.select(*keys, "source", "size")
+    by = by or keys
+    docs = docs.select(*dict.fromkeys([*keys, *by]), "source", "size")
     sums = stage(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "sums")
     all_blocks = (sums.agg(F.sum("source_size")).first()[0] or 0) // block
     plan = stage(targets(sums, list(weights)), "targets")
@@ -94,9 +96,9 @@ def mix(
     plan = apportion(plan, [], "source", "target", "seats", "most").withColumnRenamed("quota", "source_quota")
     plan = plan.withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words)))
     plan = stage(plan.select("source", "source_size", "target", "source_quota", "shards"), "sources")
-    key = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    key = F.xxhash64(F.lit(seed), *by)
     placed = docs.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source")))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), *keys), F.col("shards")))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), *by), F.col("shards")))
     placed = placed.withColumn("order", key)
     shards = placed.groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_quota").alias("seats"), F.count("*").alias("n")
@@ -107,7 +109,7 @@ def mix(
     shards = shards.withColumn("rounds", whole).withColumn("run", F.col("quota") * block - F.col("rounds") * F.col("shard_size"))
     begin = F.when(F.col("shard_size") > 0, F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("shard_size"))).otherwise(0)
     shards = shards.withColumn("begin", begin).withColumnsRenamed({"source": "s2", "shard": "h2"})
-    ring = Window.partitionBy("source", "shard").orderBy("order", *keys, "size")
+    ring = Window.partitionBy("source", "shard").orderBy("order", *by, *keys, "size")
     laid = placed.withColumn("end", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.join(shards.select("s2", "h2", "rounds", "run", "begin", "shard_size"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("h2")))
     low, high = F.col("end") - F.col("size"), F.col("end")
@@ -135,14 +137,16 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def take_whole(docs: DataFrame) -> DataFrame:
     """The mix as documents, all their columns kept: each as often as its taken words fill it, to the nearest copy.
 
-    A shard's run ends inside at most two documents, so rounding moves few words.
+    A shard's run ends inside at most two documents, so rounding moves few words. Rows are dealt and ordered by their
+    id, source and text, so equal documents give an equal mix however they are laid out.
 
     Edge cases: a null or blank text has no words and is not in the mix; null sources are one source, the last; null
     and repeated ``doc_id`` are rows like any other; an empty table gives no rows; columns of any name are kept.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = stage(docs.select(whole, F.monotonically_increasing_id().alias("rid"), word_count("text").alias("size")), "rows")
-    plan = mix(rows.select("rid", F.col("row.source").alias("source"), "size"), ["rid"])
+    own = F.xxhash64("row.doc_id", "row.source", "row.text").alias("own")
+    plan = mix(rows.select("rid", own, F.col("row.source").alias("source"), "size"), ["rid"], by=["own"])
     copies = F.round(F.col("taken") / F.col("size")).cast("int")
     plan = plan.where("taken > 0").select("rid", copies.alias("copies")).where("copies > 0")
     return rows.join(plan, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -221,6 +221,7 @@ def test_take_whole_keeps_rows(spark, rows):
     docs = table(spark, rows)
     got = mixing.take_whole(docs)
     assert got.columns == docs.columns and all(r.text and r.row == 7 for r in got.collect())
+    assert Counter(got.collect()) == Counter(mixing.take_whole(docs.orderBy(F.desc("text")).coalesce(2)).collect())
 
 
 def test_word_tokenizer_is_exact():
