@@ -92,23 +92,24 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return stars(near, fps)
 
 
-def _compared(keyed: DataFrame, forest: Callable[[list], list[tuple[int, int]]], chunk: int) -> DataFrame:
+def _compared(keyed: DataFrame, forest: Callable[[list], list[tuple[int, int]]], chunk: int, rare: bool) -> DataFrame:
     """The distinct edges ``(src, dst)`` that ``forest`` finds among the values ``fp`` of each ``key``.
 
-    A key of at most ``chunk`` values is a group as it stands, gathered in one shuffle. One of more is dealt out as
-    pairs of chunks, so that no task holds more than two chunks of one key. Each group returns at most one edge a
-    member, however many pairs are close.
+    A key of more than ``chunk`` values is dealt out as pairs of chunks, so that no task holds more than two chunks of
+    one key. Others are a group as they stand, gathered in one shuffle; where most keys have one value alone (``rare``),
+    a join leaves out those first. Each group returns at most one edge a member, however many pairs are close.
     """
-    hot = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "hot")
-    some = not hot.isEmpty()
-    cold = keyed.join(hot.select("key"), "key", "left_anti") if some else keyed
-    groups = cold.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    if some:
-        parts = F.ceil(F.col("n") / chunk)
-        members = keyed.join(hot, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), parts).alias("part"), parts.alias("parts"))
-        dealt = members.select("key", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-        unit = F.struct("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-        groups = groups.unionAll(dealt.groupBy(unit.alias("unit")).agg(F.collect_list("fp").alias("fps")).select("fps"))
+    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > (1 if rare else chunk)), "shared")
+    parts = F.ceil(F.col("n") / chunk)
+    members = keyed.join(shared, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), parts).alias("part"), parts.alias("parts"))
+    dealt = members.select("key", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    unit = F.struct("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    groups = dealt.groupBy(unit.alias("unit")).agg(F.collect_list("fp").alias("fps")).select("fps")
+    if not rare:
+        some = not shared.isEmpty()
+        cold = keyed.join(shared.select("key"), "key", "left_anti") if some else keyed
+        small = cold.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+        groups = groups.unionAll(small) if some else small
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,7 +127,7 @@ def near_edges(fps: DataFrame, distance: int = 3, extra: int | None = None, chun
     """
     extra = extra or 2 + max(0, fps.count().bit_length() - 2) // 24
     keyed = fps.select("fp", F.explode(_block_keys(F.col("fp"), distance, extra)).alias("key"))
-    return _compared(keyed, lambda fps: _forest(np.array(fps, np.int64), distance), chunk)
+    return _compared(keyed, lambda fps: _forest(np.array(fps, np.int64), distance), chunk, True)
 
 
 def simhash_groups(docs: DataFrame, distance: int = 3) -> DataFrame:
@@ -208,7 +209,7 @@ def similar_edges(fps: DataFrame, distance: int, chunk: int = 1024) -> DataFrame
         keys.append((F.lit(i * 64) + size_class) * (1 << WIDTH) + bits)
     number = F.unhex(F.lpad(F.hex("id"), 16, "0"))
     keyed = fps.select(F.concat("fp", number).alias("fp"), F.explode(F.array(*keys)).alias("key"))
-    return _compared(keyed, lambda packed: _wide_forest(packed, distance), chunk)
+    return _compared(keyed, lambda packed: _wide_forest(packed, distance), chunk, False)
 
 
 def _similar(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
