@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from loam import schemas
 from loam.functions import text as T
-from loam.operators import repomap, signals as S
+from loam.functions.lineage import settle
+from loam.operators import graph, repomap, summarize
+from loam.operators import signals as S
 
 NAMES = [x.strip().split(" ")[0] for x in schemas.PAGES.replace("struct<heading:string,body:string>", "s").split(",")]
 
@@ -303,3 +305,31 @@ def lens_pages(lens: Lens, signals: DataFrame, edges: DataFrame) -> DataFrame:
 def only(pages: DataFrame, names: list[str] | None) -> DataFrame:
     """The pages to emit; a filter on the path, which reaches down to what the pages are made of."""
     return pages if names is None else pages.where(F.col("rel_path").isin(names))
+
+
+def build_pages(files: DataFrame, symbols: DataFrame, lenses: list[Lens] | None = None, only_pages: list[str] | None = None) -> DataFrame:
+    """All pages of a build: overview, components, capabilities, domain and lenses (all known ones, unless given).
+
+    With ``only_pages`` just those of these paths; builders that none of them can come from are not asked.
+    """
+    wanted = lambda *prefixes: only_pages is None or any(p.startswith(prefixes) for p in only_pages)
+    lenses = list(LENSES.values()) if lenses is None else lenses
+    files, symbols = settle(files), settle(symbols)
+    found = settle(S.detect_signals(files, symbols))
+    edges = settle(graph.build_edges(files, symbols, repomap.resolve_imports(files, symbols)))
+    told = settle(summarize.fallback_summaries(files, symbols))
+    parts = settle(summarize.reduce_components(told, found))
+    out = [files.sparkSession.createDataFrame([], schemas.PAGES)]
+    if wanted("00-overview/"):
+        system = settle(summarize.reduce_system(parts, files, symbols, repomap.framework_hints(files), repomap.entrypoints(files)))
+        out.append(overview_pages(system, files, symbols, found, edges))
+    if wanted("components/"):
+        out.append(component_pages(parts, files, symbols, graph.file_dependencies(edges)))
+    if wanted("capabilities/", "workflows/"):
+        out.append(capability_pages(found, told))
+    if wanted("domain/", "integrations/", "risks/", "operations/"):
+        out.append(domain_pages(found, told))
+    for lens in lenses:
+        if wanted(*lens.templates):
+            out.append(lens_pages(lens, found.unionByName(lens_signals(files, lens)), edges))
+    return only(_union(out), only_pages)

@@ -206,17 +206,6 @@ def mermaid_component(spark, sf_dir):
 
 @query()
 def report_pages(spark, sf_dir):
-    """All pages of a build: overview, components, capabilities, domain and lenses, rendered."""
-    files = settle(synth.code(spark, sf_dir))
-    symbols = settle(parse.parse_python(files))
-    found = settle(signals.detect_signals(files, symbols))
-    edges = settle(graph.build_edges(files, symbols, repomap.resolve_imports(files, symbols)))
-    told = settle(summarize.fallback_summaries(files, symbols))
-    parts = settle(summarize.reduce_components(told, found))
-    system = settle(summarize.reduce_system(parts, files, symbols, repomap.framework_hints(files), repomap.entrypoints(files)))
-    out = pages.overview_pages(system, files, symbols, found, edges)
-    out = out.unionByName(pages.component_pages(parts, files, symbols, graph.file_dependencies(edges)))
-    out = out.unionByName(pages.capability_pages(found, told)).unionByName(pages.domain_pages(found, told))
-    for lens in pages.LENSES.values():
-        out = out.unionByName(pages.lens_pages(lens, found.unionByName(pages.lens_signals(files, lens)), edges))
-    return out.select("rel_path", "title", sinks.render_page().alias("rendered"))
+    """All pages of a build, rendered."""
+    files = synth.code(spark, sf_dir)
+    return pages.build_pages(files, parse.parse_python(files)).select("rel_path", "title", sinks.render_page().alias("rendered"))

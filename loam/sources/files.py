@@ -196,6 +196,11 @@ def load_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, Da
     return load_snippets(spark, f"{root}/snippets"), postings, read_or_empty(spark, f"{root}/lengths", "field string, cite string, len int")
 
 
+def load_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """The summary cache; empty where it is missing."""
+    return read_or_empty(spark, root, schemas.SUMMARIES)
+
+
 def load_vectors(spark: SparkSession, root: str) -> DataFrame:
     return read_or_empty(spark, f"{root}/vectors", schemas.VECTORS)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loam import schemas
 from loam.functions import text as T
 from loam.operators import chunks, graph, incremental, lint, pages, parse, repomap, search, signals, summarize
-from loam.plans import registry
+from loam.plans import registry, synth
 from loam.sources import files as S
 from loam.sources import sinks
 
@@ -172,13 +172,16 @@ def test_lint_paths(spark):
     assert [r.page for r in lint.orphans(p, lint.page_links(p)).collect()] == ["a/x.md"] and [r.page for r in lint.missing_citations(p).collect()] == ["a/z.md"]
 
 
-def test_summaries_with_cache_and_model(spark):
+def test_summaries_with_cache_and_model(spark, tmp_path):
     f = files(spark, {"c/a.py": "x", "c/b.py": "y", "d/e.py": "x"})
     none = spark.createDataFrame([], schemas.SYMBOLS)
     base = summarize.fallback_summaries(f, none)
     cache = base.where("path = 'c/a.py'").withColumn("responsibility", F.lit("cached")).drop("pos")
     model = F.udf(lambda p: 'Sure: {"responsibility": "told", "confidence": "high"}' if "c/b.py" in p else "no idea")
     prompts = summarize.file_prompts(f, none, spark.createDataFrame([], schemas.SIGNALS))
+    sinks.put_summaries(cache, str(tmp_path / "cache"))
+    assert S.load_summaries(spark, str(tmp_path / "none")).count() == 0
+    cache = S.load_summaries(spark, str(tmp_path / "cache"))
     rows = {r.path: r for r in summarize.summarize_files(f, none, prompts, model, cache).collect()}
     assert rows["c/a.py"].responsibility == rows["d/e.py"].responsibility == "cached" and rows["c/b.py"].responsibility == "told" and rows["c/b.py"].confidence == "high"
     parts = {r.component: r for r in summarize.reduce_components(base, spark.createDataFrame([], schemas.SIGNALS)).collect()}
@@ -296,6 +299,9 @@ def test_report_pages(spark):
     assert set(got) == want
     for r in got.values():
         assert r.rendered.startswith(f"---\ntitle: {r.title}\n") and "\n## Summary\n" in r.rendered and r.rendered.endswith("\n")
+    files = synth.code(spark, "/root/testdata/sf0.001")
+    some = pages.build_pages(files, parse.parse_python(files), only_pages=["domain/glossary.md", "00-overview/tech-stack.md", "none.md"])
+    assert {r.rel_path for r in some.collect()} == {"domain/glossary.md", "00-overview/tech-stack.md"}
     k = min(nations)
     assert f"- GET /area_{k}/" in got[f"capabilities/area-{k}.md"].rendered and f"nation_{k}/" in got[f"components/nation-{k}.md"].rendered
 
