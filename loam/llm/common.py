@@ -89,6 +89,22 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str
     return laid.select(*df.columns, *[(F.col(f"_ahead_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums])
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, parts: int = 2000) -> DataFrame:
+    """Each row beside its group, for groups of any size; null keys meet null keys.
+
+    ``groups`` has one row a key, with the number of the key's rows in ``size``. Groups of more than a ``parts``-th of
+    all rows, of which there are fewer than ``parts``, are sent to every task; the other ones meet their rows in a join
+    on the key, where none of them can fill a partition. Rows without a group are left out.
+    """
+    line = (groups.agg(F.sum(size)).first()[0] or 0) // parts
+    named = groups.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    large = F.broadcast(named.where(F.col(size) > line))
+    hot = rows.join(large, same)
+    rest = rows.join(large.select(*[f"_of_{c}" for c in on]), same, "left_anti").join(named.where(F.col(size) <= line), same)
+    return hot.unionAll(rest).drop(*[f"_of_{c}" for c in on])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hold Arrow batches of whole texts to ``rows`` rows, so that a Python worker's memory stays bounded.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import mixing, oracles, packing, quality, rollups, simhash, topk, toxicity, urlrank, vector_dedup, warc
+from loam.llm import compress, divergence, exact, mixing, oracles, packing, quality, rollups, simhash, topk, toxicity, urlrank, vector_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,18 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress.compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(_table(spark, sf_dir, "documents"), digests=True)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_url_filter": op9_url_filter,
         "op10_topk_search": op10_topk_search,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_divergence": op12_divergence,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
