@@ -1,15 +1,15 @@
 """Token counts as delta-maintained rollups: signed changes add up to totals by source, language and tokenizer version.
 
-A rollup is a folder. ``batches/batch=<id>`` holds one batch's signed sums by group, a table that appears by one rename
-and never changes; ``snapshots/<n>`` holds the totals of many batches (``totals``) and their ids (``batches``). The
-driver lists the folders of batches since the last two snapshots; ids of older batches stay a table.
+A rollup is a folder. ``batches/key=<hash of the id>`` holds one batch's signed sums by group and its id, a table that
+appears by one rename and never changes; ``snapshots/<n>`` holds the totals of many batches (``totals``) and their ids
+(``batches``). Ids are only ever columns, so any string will do, and however many there are, they stay tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,18 +58,26 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionAll(inserts(new))
 
 
+def _key(batch: str) -> str:
+    """The name of a batch's folder, of hexadecimal digits: readers take names of other letters apart differently."""
+    return hashlib.sha256(batch.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def commit(spark: SparkSession, root: str, batch: str, changes: DataFrame) -> bool:
     """Add a batch of signed changes once: False, and nothing changes, if ``batch`` was committed before.
 
-    Only sums by group are written. The batch counts from the moment its folder is renamed; a run that fails before
-    leaves nothing that is read, and of two runs that commit the same batch at once one alone succeeds.
+    ``batch`` is any string, also an empty one. Only sums by group are written, and a row that bears the id alone, so
+    that a batch without changes is known too. The batch counts from the moment its folder is renamed; a run that fails
+    before leaves nothing that is read, and of two runs that commit the same batch at once one alone succeeds.
     """
-    store, final = Store(spark, root), f"{root}/batches/batch={quote(batch, safe='')}"
+    key = _key(batch)
+    store, final = Store(spark, root), f"{root}/batches/key={key}"
     absorbed = _absorbed(spark, root)
-    if store.exists(final) or absorbed is not None and not absorbed.where(F.col("batch") == batch).isEmpty():
+    if store.exists(final) or absorbed is not None and not absorbed.where(F.col("key") == key).isEmpty():
         return False
     sums = changes.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    sums.write.parquet(temporary := f"{root}/temporary/_{uuid.uuid4().hex}")
+    mark = spark.range(1).select(*[F.lit(None).cast("string").alias(c) for c in GROUP], *[F.lit(0).cast("long").alias(c) for c in ("docs", "tokens")])
+    sums.unionAll(mark).withColumn("batch", F.lit(batch)).write.parquet(temporary := f"{root}/temporary/_{uuid.uuid4().hex}")
     return store.publish(temporary, final)
 
 
@@ -79,17 +87,21 @@ def _snapshot(spark: SparkSession, root: str) -> str | None:
 
 
 def _absorbed(spark: SparkSession, root: str) -> DataFrame | None:
-    """``batch``: the ids that the newest snapshot holds; it stays a table, however many they are."""
+    """``batch, key``: the batches that the newest snapshot holds; a table, however many they are."""
     snapshot = _snapshot(spark, root)
-    return spark.read.schema("batch string").parquet(f"{snapshot}/batches") if snapshot else None
+    return spark.read.schema("batch string, key string").parquet(f"{snapshot}/batches") if snapshot else None
 
 
-def _fresh(spark: SparkSession, root: str) -> DataFrame:
-    """The rows of committed batches that the newest snapshot lacks, with their ``batch``."""
+def _batches(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the committed batches whose folders are there as this is called, with ``batch`` and ``key``."""
     Store(spark, root).make_dir(f"{root}/batches")
-    rows = spark.read.schema(f"{_DDL}, batch string").parquet(f"{root}/batches")
-    absorbed = _absorbed(spark, root)
-    return rows if absorbed is None else rows.join(absorbed, "batch", "left_anti")
+    return spark.read.schema(f"{_DDL}, batch string, key string").parquet(f"{root}/batches")
+
+
+def _fresh(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of committed batches that the newest snapshot lacks."""
+    rows, absorbed = _batches(spark, root), _absorbed(spark, root)
+    return rows if absorbed is None else rows.join(absorbed, "key", "left_anti")
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -113,20 +125,19 @@ def totals(spark: SparkSession, root: str) -> DataFrame:
 def compact(spark: SparkSession, root: str) -> None:
     """Fold all committed batches into a new snapshot, which still knows their ids: replays stay without effect.
 
-    Folders of batches that the snapshot before held are deleted first; those folded in now stay until the next call,
-    for readers that have begun with the old snapshot. One call at a time; commits may go on meanwhile.
+    Totals and ids come from one listing of the folders, so a batch is in both or in neither. Folders of batches that
+    the snapshot before held are deleted first, one after the other as a join of tables names them; those folded in now
+    stay until the next call, for readers that have begun with the old snapshot. One call at a time; commits may go on
+    meanwhile.
     """
     store, snapshot, absorbed = Store(spark, root), _snapshot(spark, root), _absorbed(spark, root)
-    named = {n: unquote(n.removeprefix("batch=")) for n in store.names(f"{root}/batches")}  # since the last two snapshots
-    if absorbed is not None and named:
-        old = {r[0] for r in absorbed.where(F.col("batch").isin(list(named.values()))).collect()}
-        for folder in [n for n, batch in named.items() if batch in old]:
-            store.delete(f"{root}/batches/{folder}")
-            del named[folder]
-    fresh = _fresh(spark, root).where(F.col("batch").isin(list(named.values())))
+    if absorbed is not None:
+        for row in _batches(spark, root).select("key").distinct().join(absorbed, "key", "left_semi").toLocalIterator():
+            store.delete(f"{root}/batches/key={row['key']}")
+    fresh = _fresh(spark, root)
     temporary = f"{root}/temporary/_{uuid.uuid4().hex}"
     _with_totals(spark, root, fresh).write.parquet(f"{temporary}/totals")
-    ids = spark.createDataFrame([(b,) for b in named.values()], "batch string")
+    ids = fresh.select("batch", "key").distinct()
     (ids if absorbed is None else ids.unionAll(absorbed)).write.parquet(f"{temporary}/batches")
     store.publish(temporary, f"{root}/snapshots/{int(snapshot.rpartition('/')[2]) + 1 if snapshot else 0}")
 

@@ -300,7 +300,7 @@ def test_rollup_deltas(spark, tmp_path, rows):
     for _ in range(3):  # folders of absorbed batches go, their ids and totals stay
         rollups.compact(spark, root)
         assert now() == {"moved": moved.agg(F.sum("tokens")).first()[0]}
-    assert not list((tmp_path / "rollup" / "batches").glob("batch=*")) and len(list((tmp_path / "rollup" / "snapshots").iterdir())) == 4
+    assert not list((tmp_path / "rollup" / "batches").glob("key=*")) and len(list((tmp_path / "rollup" / "snapshots").iterdir())) == 4
     assert not any(rollups.commit(spark, root, b, rollups.inserts(rest)) for b in ("a/1", "b", "c", "d"))
     assert rollups.commit(spark, root, "e", rollups.inserts(rest)) and len(now()) > 1
 
@@ -308,10 +308,10 @@ def test_rollup_deltas(spark, tmp_path, rows):
 def test_rollup_commits_that_meet(spark, tmp_path):
     """Of two runs that publish one batch at once, the later one leaves nothing that is read."""
     store, root = Store(spark, f"file://{tmp_path}"), f"file://{tmp_path}"
-    one = spark.createDataFrame([("s", "en", "t", 1, 5)], "source string, lang string, tokenizer string, docs long, tokens long")
+    one = spark.createDataFrame([("s", "en", "t", 1, 5, "x")], "source string, lang string, tokenizer string, docs long, tokens long, batch string")
     one.write.parquet(f"{root}/temporary/_a")
     one.write.parquet(f"{root}/temporary/_b")
-    assert store.publish(f"{root}/temporary/_a", f"{root}/batches/batch=x")
+    assert store.publish(f"{root}/temporary/_a", f"{root}/batches/key=x")
     store.exists = lambda path: False
     real, store._fs = store._fs, None
 
@@ -322,13 +322,30 @@ def test_rollup_commits_that_meet(spark, tmp_path):
             return getattr(real, name)
 
         def exists(self, path):
-            return real.exists(path) and not path.toString().endswith("batch=x")
+            return real.exists(path) and not path.toString().endswith("key=x")
 
     store._fs = Blind()
-    assert not store.publish(f"{root}/temporary/_b", f"{root}/batches/batch=x")
+    assert not store.publish(f"{root}/temporary/_b", f"{root}/batches/key=x")
     assert [r.tokens for r in rollups.totals(spark, root).collect()] == [5] and not list((tmp_path / "temporary").iterdir())
 
 
+def test_rollup_batch_ids_of_any_letters(spark, tmp_path):
+    """Ids that readers of folder names take apart differently, and batches without a change, through two compactions."""
+    root = f"file://{tmp_path}"
+    ids = ["täg", "日本", "%41", "A", "%", "", " ", "a/b", "x=y", "__HIVE_DEFAULT_PARTITION__", "1e5", "2026-01-01", "\u0000", "🙂"]
+    change = lambda n: spark.createDataFrame([("s", None, "t", 1, n)], rollups._DDL)
+    for n, batch in enumerate(ids):
+        assert rollups.commit(spark, root, batch, change(10**n))
+    assert rollups.commit(spark, root, "none", change(1).limit(0)) and not rollups.commit(spark, root, "none", change(1))
+    want = [("s", None, "t", len(ids), sum(10**n for n in range(len(ids))))]
+    for _ in range(3):
+        assert [tuple(r) for r in rollups.totals(spark, root).collect()] == want
+        rollups.compact(spark, root)
+    assert not any(rollups.commit(spark, root, batch, change(1)) for batch in [*ids, "none"])
+    assert [tuple(r) for r in rollups.totals(spark, root).collect()] == want
+    assert {r["batch"] for r in rollups._absorbed(spark, root).collect()} == {*ids, "none"}
+
+
 def test_rollup_query_equals_brute_force(spark, rows):
     whole = Tokenizer.from_file(default_path())
     docs, tokens = Counter(), Counter()
