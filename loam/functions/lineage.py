@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Like :func:`settle`, but as a table that :func:`release` can delete: for what one round leaves to the next."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that :func:`stage` wrote and that nothing lazy reads any more; other ones stay."""
+    for df in frames:
+        if path := getattr(df, "staged_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            df.staged_at = None
+
+
 def placed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """``df`` with ``place``: each row's number from 1 in its group, by ``order``.
 

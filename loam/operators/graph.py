@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.functions.lineage import settle
+from loam.functions.lineage import release, settle, stage
 
 
 def file_id(path: Column | str) -> Column:
@@ -56,21 +58,60 @@ def successors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst").distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, forward: bool = True) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, forward: bool = True, hops: int = 8) -> DataFrame:
     """``seed, node``: all nodes that each seed (``id``) reaches, or is reached from, itself left out.
 
-    Semi-naive: each round joins the frontier to the edges and keeps what is new. Rounds are cut by checkpoint(),
-    in the folder that spark.checkpoint.dir names; the only thing that comes back is whether a frontier is empty.
+    The first ``hops`` rounds follow edges from the seeds, which is all that shallow graphs need. If there is more,
+    nodes on a cycle are taken together, and from then on each round also composes the ways of m steps to ways of 2m: the
+    distance covered doubles, and rounds grow with the logarithm of the depth. Rounds are tables in the folder that
+    spark.checkpoint.dir names, deleted as soon as no later one reads them; the only thing that comes back is whether a
+    round found anything.
     """
     ways = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if forward else edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    ways = settle(ways.distinct())
-    seen = settle(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct())
-    front = seen
-    while not front.isEmpty():
-        step = front.join(ways, front["node"] == ways["a"]).select("seed", F.col("b").alias("node")).distinct()
-        front = settle(step.join(seen, ["seed", "node"], "left_anti"))
-        seen = seen.unionByName(front)
-    return seen.where(F.col("node") != F.col("seed"))
+    ways = stage(ways.where("a <> b").distinct())
+    found = [stage(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct())]
+    for _ in range(hops):
+        if not _further(found, found[-1], ways):
+            break
+    else:
+        deep = settle(_doubled(edges, ways, found))
+        release(ways, *found)
+        return deep
+    pairs = settle(reduce(DataFrame.unionAll, found))
+    release(ways, *found)
+    return pairs.where(F.col("node") != F.col("seed"))
+
+
+def _further(found: list[DataFrame], front: DataFrame, ways: DataFrame) -> bool:
+    """Append what ``ways`` lead to from ``front`` and none of ``found`` holds; whether there is any."""
+    step = front.join(ways, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
+    found.append(stage(step.join(reduce(DataFrame.unionAll, found), ["seed", "node"], "left_anti")))
+    return not found[-1].isEmpty()
+
+
+def _doubled(edges: DataFrame, ways: DataFrame, near: list[DataFrame]) -> DataFrame:
+    """``seed, node``: what :func:`reach` returns, from the pairs that its first rounds found."""
+    parts = strong_components(edges)
+
+    def of(df: DataFrame, c: str) -> DataFrame:
+        """The column's nodes replaced by what stands for their component."""
+        known = df.join(parts.select(F.col("node").alias(c), F.col("scc").alias("_scc")), c, "left")
+        return known.withColumn(c, F.coalesce("_scc", c)).select(*df.columns)
+
+    begun = stage(of(near[0].select("seed", F.col("node").alias("start")), "start"))
+    jump = stage(of(of(ways, "a"), "b").where("a <> b").distinct())
+    firsts = of(of(reduce(DataFrame.unionAll, near), "seed"), "node").distinct()
+    found = [stage(firsts)]
+    while _further(found, reduce(DataFrame.unionAll, found), jump):
+        ends = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jump, before = stage(jump.join(ends, "b").select("a", F.col("c").alias("b")).distinct()), jump
+        release(before)
+    inside = parts.select(F.col("scc").alias("node"), F.col("node").alias("member"))
+    pairs = reduce(DataFrame.unionAll, found).withColumnRenamed("seed", "start")
+    whole = begun.join(pairs, "start").join(inside, "node", "left").select("seed", F.coalesce("member", "node").alias("node"))
+    out = stage(whole.where(F.col("node") != F.col("seed")))
+    release(jump, begun, *found)
+    return out
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -84,40 +125,101 @@ def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, scc``: nodes on a cycle, with the smallest node of their strongly connected component.
 
-    Each pass gives every node the smallest node that reaches it as its colour; a node of its own colour is the
-    smallest of its component, which is what reaches it inside that colour. Found components leave, edges between
-    colours too, and what cannot be cyclic is peeled off. Tables hold one row a node or edge, never pairs of nodes.
+    The graph is reduced first: nodes without a way in or out leave, and runs of nodes with one way in and one way out
+    become single edges, found by doubling pointers. Then each pass gives every node the smallest node that reaches it
+    as its colour; a node of its own colour is the smallest of its component, which is what reaches it inside that
+    colour. Found components leave, edges between colours too, and the rest is reduced again. At the end runs are laid
+    out in reverse: a run lies in a component if both its ends do. Tables hold one row a node or edge, never pairs of
+    nodes.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("scc")).distinct()
-    core, found = _peeled(edges.where("src <> dst").select("src", "dst").distinct()), loops
+    runs: list[DataFrame] = []
+    core, found = _reduced(edges.where("src <> dst").select("src", "dst").distinct(), runs)
     while not core.isEmpty():
-        colour = settle(core.select(F.col("src").alias("node"), F.col("src").alias("scc")).distinct())
+        colour = stage(core.select(F.col("src").alias("node"), F.col("src").alias("scc")).distinct())
         moved = colour
         while not moved.isEmpty():
             got = moved.join(core, moved["node"] == core["src"]).groupBy("dst").agg(F.min("scc").alias("got"))
-            colour = settle(colour.join(got, colour["node"] == got["dst"], "left").select("node", F.least("scc", "got").alias("scc"), F.coalesce(F.col("got") < F.col("scc"), F.lit(False)).alias("new")))
+            better = F.coalesce(F.col("got") < F.col("scc"), F.lit(False)).alias("new")
+            colour, before = stage(colour.join(got, colour["node"] == got["dst"], "left").select("node", F.least("scc", "got").alias("scc"), better)), colour
+            release(before)
             moved = colour.where("new").select("node", "scc")
         ends = colour.select(F.col("node").alias("dst"), F.col("scc").alias("to"))
-        inside = settle(core.join(colour.select(F.col("node").alias("src"), "scc"), "src").join(ends, "dst").where("scc = to").select("src", "dst", "scc"))
-        seen = front = settle(colour.where("node = scc").select("node", "scc"))
+        inside = stage(core.join(colour.select(F.col("node").alias("src"), "scc"), "src").join(ends, "dst").where("scc = to").select("src", "dst", "scc"))
+        seen = front = stage(colour.where("node = scc").select("node", "scc"))
         while not front.isEmpty():
             step = inside.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "scc").distinct()
-            front = settle(step.join(seen, "node", "left_anti"))
-            seen = settle(seen.unionByName(front))
+            front, old = stage(step.join(seen, "node", "left_anti")), (front, seen)
+            seen = stage(seen.unionByName(front))
+            release(*old)
         large = seen.where("node <> scc").select("scc").distinct()
         found = settle(found.unionByName(seen.join(large, "scc", "left_semi").select("node", "scc")))
         gone = seen.select(F.col("node").alias("src"))
-        core = _peeled(inside.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
-    return found.groupBy("node").agg(F.min("scc").alias("scc"))
-
-
-def _peeled(edges: DataFrame) -> DataFrame:
-    """The edges without nodes that have no way in or no way out, again and again: those cannot lie on a cycle."""
-    core, before = settle(edges), -1
-    while (n := core.count()) != before:
-        before = n
-        core = settle(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-    return core
+        rest = inside.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
+        (core, whole), old = _reduced(rest, runs), (core, colour, inside, seen, front)
+        found = settle(found.unionByName(whole))
+        release(*old)
+    release(core)
+    for run in reversed(runs):
+        a, b = (found.select(F.col("node").alias(c), F.col("scc").alias(f"{c}_scc")) for c in ("a", "b"))
+        ends = run.where("not closed").drop("scc").join(a, "a", "left").join(b, "b", "left")
+        own = ends.where("a = b or a_scc = b_scc").select("node", "a", F.coalesce("a_scc", "a").alias("scc"))
+        found, old = stage(found.unionByName(own.select("node", "scc")).unionByName(own.select(F.col("a").alias("node"), "scc")).distinct()), found
+        release(old, run)
+    least = found.groupBy("scc").agg(F.min("node").alias("least"))
+    named = found.join(least, "scc").select("node", F.col("least").alias("scc"))
+    return named.unionByName(loops).groupBy("node").agg(F.min("scc").alias("scc"))
+
+
+def _reduced(edges: DataFrame, runs: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The edges without what cannot lie on a cycle and with runs as single edges; and ``node, scc`` of cycles that are one run.
+
+    Appends to ``runs`` what :func:`_runs` found; of those cycles the result still reads them.
+    """
+    core, before, found = stage(edges), -1, []
+    while (n := core.count()) and n != before:
+        into = core.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.min("src").alias("a"))
+        out = core.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.min("dst").alias("b"))
+        nodes = stage(into.join(out, "node").select("node", F.when((F.col("n_in") == 1) & (F.col("n_out") == 1), F.struct("a", "b")).alias("thin")))
+        end = lambda c: nodes.select(F.col("node").alias(c))
+        inner = stage(nodes.where("thin is not null").select("node", "thin.*").join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi"))
+        kept = core.join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi").select("src", "dst")
+        thin, before = inner.count(), n
+        if thin:
+            ended = _runs(inner, thin)
+            run = ended.where("not closed")
+            held = inner.select("node")
+            kept = kept.join(held.select(F.col("node").alias("src")), "src", "left_anti").join(held.select(F.col("node").alias("dst")), "dst", "left_anti")
+            kept = kept.select("src", "dst").unionByName(run.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct()
+            runs.append(ended)
+            found.append(ended.where("closed").select("node", "scc"))
+            before = -1
+        core, old = stage(kept), core
+        release(old, nodes, inner)
+    none = core.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
+    return core, reduce(DataFrame.unionByName, found, none)
+
+
+def _runs(thin: DataFrame, n: int) -> DataFrame:
+    """``node, a, b, scc, closed`` of ``n`` nodes with one way in (``a``) and one out (``b``), at first to their neighbours.
+
+    Pointers are doubled, twice a round, until they lead out of the run, to the nodes before and behind it; those of a
+    ``closed`` run never do, and after enough steps for all nodes have met its smallest one (``scc``).
+    """
+    at, covered = thin.select("node", "a", "b", F.col("node").alias("scc")), 1
+    while covered <= 2 * n:
+        before = at
+        for _ in range(2):
+            back = at.select(F.col("node").alias("a"), F.col("a").alias("aa"))
+            ahead = at.select(F.col("node").alias("b"), F.col("b").alias("bb"), F.col("scc").alias("least"))
+            both = at.join(back, "a", "left").join(ahead, "b", "left")
+            more = F.col("aa").isNotNull() | F.col("bb").isNotNull()
+            at = both.select("node", F.coalesce("aa", "a").alias("a"), F.coalesce("bb", "b").alias("b"), F.least("scc", F.coalesce("least", "scc")).alias("scc"), more.alias("closed"))
+        at, covered = stage(at), covered * 4
+        release(before)
+        if at.where("closed").isEmpty():
+            break
+    return at
 
 
 def simple_cycles(edges: DataFrame) -> DataFrame:

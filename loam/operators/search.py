@@ -162,20 +162,21 @@ def boost_by_symbols(fused: DataFrame, corpus: DataFrame, seeds: DataFrame) -> D
 
 
 def retrieve(
-    snippets: DataFrame, found: DataFrame, lengths: DataFrame, question: str, k: int = 8, vectors: DataFrame | None = None,
+    snippets: DataFrame, found: DataFrame | None, lengths: DataFrame | None, question: str, k: int = 8, vectors: DataFrame | None = None,
     query_vector: list[float] | None = None, edges: DataFrame | None = None, every: bool = False,
-    bm25_payload: DataFrame | None = None, vector_payload: DataFrame | None = None,
+    bm25_payload: DataFrame | None = None, vector_payload: DataFrame | None = None, lexical: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` best snippets for a question: BM25 and, given vectors, cosine lists fused by rank, then boosted.
 
     The seeds are the first hits of BM25. Boosts follow graph edges where there are any, else shared symbols. Every
     list is cut to its depth before ranking, so the windows run over a few dozen rows. Where the BM25 index or the
     vector store keep snippets of their own (tables like ``snippets``), a hit's text is the vector store's, else the
-    index's, else that of ``snippets``. Scores are rounded to 9 digits before ranking.
+    index's, else that of ``snippets``. Scores are rounded to 9 digits before ranking. ``lexical`` gives BM25 hits
+    (``cite, score``) that a stored index has found, in place of postings and lengths.
     """
     depth = candidate_depth(k)
     ask = snippets.sparkSession.createDataFrame([(0, question)], "query_id int, text string")
-    best = bm25(found, lengths, ask, every).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "cite").limit(depth)
+    best = (bm25(found, lengths, ask, every) if lexical is None else lexical).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "cite").limit(depth)
     lists = [settle(ranked(best, F.desc("score"), "cite"))]
     if vectors is not None and query_vector is not None:
         lists.append(settle(ranked(vector_hits(vectors, query_vector, depth), F.desc("score"), "cite")))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.functions.lineage import settle
-from loam.operators import chunks, incremental, repomap, search, summarize
+from loam.functions.lineage import settle, shared_dir
+from loam.operators import chunks, incremental, repomap, search, segments, summarize
 from loam.plans import synth
 from loam.plans.base import Register
 from loam.plans.synth import table
 from loam.sources import files as sources
-from loam.sources import sinks
+from loam.sources import sinks, store
 
 query = Register()
 QUERIES, SQL = query.queries, query.sql
@@ -35,6 +35,16 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_lines(documents(spark, sf_dir))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> segments.Index:
+    """The index of the documents' snippets, built when the session first asks for it and read by its later queries.
+
+    It lies in the shared folder under the signature of the documents' files, so changed files get an index of their own.
+    """
+    root = f"{shared_dir(spark)}/index-{store.file_signature(table(spark, sf_dir, 'documents'))}"
+    index = segments.open_index(spark, root)
+    return index if index.version >= 0 else segments.upsert(spark, root, snippets(spark, sf_dir))
+
+
 @query(f"with {_CHUNKS} select path, path || ':L' || (beg + 1) || '-L' || stop as cite, sha256(text) as hash, length(text) as n from chunks")
 def chunk_lines(spark, sf_dir):
     return snippets(spark, sf_dir).select("path", "cite", F.sha2("text", 256).alias("hash"), F.length("text").cast("long").alias("n"))
@@ -49,7 +59,7 @@ def search_substring(spark, sf_dir):
 @query(f"""with {_CHUNKS}, hits as (select path || ':L' || (beg + 1) || '-L' || stop as cite, (length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3.0 as score, doc_id, beg from chunks)
 select cite, cast(score as double) as score from hits where score > 0 order by score desc, doc_id, beg, cite limit 10""")
 def search_topk(spark, sf_dir):
-    return search.substring_hits(snippets(spark, sf_dir), "the", 10).select("cite", "score")
+    return search.substring_hits(stored_index(spark, sf_dir).snippets(), "the", 10).select("cite", "score")
 
 
 @query("select lang, count(*) as n from documents group by lang")
@@ -117,21 +127,48 @@ scored as (select query_id, cite, term, ln(1 + (docs - df + 0.5) / (df + 0.5)) *
 sums as (select query_id, cite, sum(x) as score, count(distinct term) as held from scored group by all), wanted as (select query_id, count(*) as wanted from q group by all)"""
 
 
-def _bm25(spark, sf_dir, every):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25(*search.postings(snippets(spark, sf_dir)), asked, every).select("query_id", "cite", F.round("score", 6).alias("score"))
+@query(f"with {_BM25} select field, term, count(*) as df, sum(tf)::bigint as n from post group by all")
+def index_terms(spark, sf_dir):
+    """Builds the stored index, unless it is there: its terms, documents and occurrences by field."""
+    rows = stored_index(spark, sf_dir).blocks.select("field", "term", F.col("n").alias("df"), F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["tf"]).alias("n"))
+    return rows.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"with {_BM25} select query_id, cite, round(score, 6) as score from sums join wanted using (query_id) where held = wanted")
 def bm25_all_terms(spark, sf_dir):
-    return _bm25(spark, sf_dir, True)
+    return segments.top_hits(stored_index(spark, sf_dir), _asked(spark, sf_dir), None, every=True)
+
 
+_TOP = "select query_id, cite, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 6) desc, cite) as r from sums) where r <= 10"
 
-@query(f"with {_BM25} select query_id, cite, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 6) desc, cite) as r from sums) where r <= 10")
+
+@query(f"with {_BM25} {_TOP}")
 def bm25_topk(spark, sf_dir):
-    hits = _bm25(spark, sf_dir, False)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cite")
-    return hits.withColumn("r", F.row_number().over(order)).where("r <= 10").drop("r")
+    return segments.top_hits(stored_index(spark, sf_dir), _asked(spark, sf_dir))
+
+
+def _changed(base: str) -> str:
+    """SQL: what the snippets are after both updates and the removals of :func:`index_update`."""
+    cut = base.index("fields as (")
+    last = """s0 as (select path || ':L' || (beg + 1) || '-L' || stop as cite, path, text, doc_id from chunks),
+s as (select cite, path, case when doc_id % 3 = 1 then text || chr(10) || 'renewed passage ' || doc_id when doc_id % 3 = 2 then 'second edition ' || text else text end as text from s0 where doc_id % 10 <> 7),
+"""
+    return base[: base.index("s as (select path")] + last + base[cut:]
+
+
+@query(f"with {_changed(_BM25)} {_TOP}")
+def index_update(spark, sf_dir):
+    """Search after an index has taken a third of all snippets anew, then another third, and lost those of some documents."""
+    root, rows = sources.scratch_dir(spark, "index"), snippets(spark, sf_dir)
+    doc = F.regexp_extract("path", r"doc_(\d+)", 1).cast("long")
+    segments.upsert(spark, root, rows)
+    segments.upsert(spark, root, rows.where(doc % 3 == 1).withColumn("text", F.concat("text", F.lit("\nrenewed passage "), doc)))
+    segments.upsert(spark, root, rows.where(doc % 3 == 2).withColumn("text", F.concat(F.lit("second edition "), "text")))
+    return segments.top_hits(segments.remove(spark, root, rows.where(doc % 10 == 7)), _asked(spark, sf_dir))
 
 
 def _vectors(spark, sf_dir):
@@ -223,14 +260,14 @@ top as (select cite, round(score + case when path in (select path from near) the
 @query(f"with {_HYBRID} select cite, round(score, 6) as score, path from top order by top.score desc, seq limit 8")
 def retrieve_hybrid(spark, sf_dir):
     """BM25 over the stored index and cosine over stored vectors of documents' first snippets, fused and boosted."""
-    root = sources.scratch_dir(spark, "index")
-    s = snippets(spark, sf_dir)
-    sinks.write_index(s, *search.postings(s), root)
-    stored, found, lengths = sources.load_index(spark, root)
+    index = stored_index(spark, sf_dir)
+    stored = index.snippets()
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc"), "embedding")
     first = stored.where(F.contains("cite", F.lit(":L1-L"))).select("cite", F.regexp_extract("path", r"doc_(\d+)", 1).alias("doc"))
     vectors = first.join(e, "doc").select("cite", "embedding")
-    top = search.retrieve(stored, found, lengths, _ASKED, 8, vectors, _query_vector(spark, sf_dir))
+    ask = spark.createDataFrame([(0, _ASKED)], "query_id int, text string")
+    best = segments.top_hits(index, ask, search.candidate_depth(8), digits=9)
+    top = search.retrieve(stored, None, None, _ASKED, 8, vectors, _query_vector(spark, sf_dir), lexical=best)
     return top.select("cite", F.round("score", 6).alias("score"), "path")
 
 
