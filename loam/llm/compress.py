@@ -38,27 +38,30 @@ class Node:
     high: np.ndarray | None = None
 
 
-def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of ``x`` to all rows of ``c``, whole numbers, exact.
+def exact(x: np.ndarray, c: np.ndarray) -> bool:
+    """Whether squared distances between rows of whole numbers are exact in doubles."""
+    largest = max(int(np.abs(x).max(initial=0)), int(np.abs(c).max(initial=0)))
+    return 4 * largest**2 * x.shape[1] < EXACT
 
-    Products of doubles where they stay exact, else 64-bit whole numbers entry by entry.
-    """
-    largest = max(np.abs(x).max(initial=0), np.abs(c).max(initial=0))
-    if 4 * int(largest) ** 2 * x.shape[1] < EXACT:
-        a, b = x.astype(float), c.astype(float)
-        return ((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)).astype(np.int64)
+
+def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` to all rows of ``c``: by products for doubles, entry by entry for whole numbers."""
+    if x.dtype == float:
+        return (x * x).sum(1)[:, None] + ((c * c).sum(1)[None] - 2 * (x @ c.T))
     return np.stack([((x - e) ** 2).sum(1) for e in c], 1)
 
 
 class Gnat:
-    """Nearest entries of a codebook: the smallest squared distance, ties to the smallest index."""
+    """Nearest entries of a codebook of whole numbers: the smallest squared distance, ties to the smallest index."""
 
     def __init__(self, entries: np.ndarray, degree: int = 16) -> None:
         self.entries, self.degree = entries, degree
+        self.kinds = {np.dtype(np.int64): entries, np.dtype(float): entries.astype(float)}
         self.root = self._build(np.arange(len(entries)))
         self.measured = 0  # distances computed so far
 
     def _build(self, ids: np.ndarray) -> Node | np.ndarray:
+        """A subtree over ``ids``, which are in order, as are all lists of entries in it."""
         if len(ids) <= self.degree:
             return ids
         chosen = [0]  # split points spread out: each next one is farthest from those before it
@@ -68,7 +71,7 @@ class Gnat:
             far = np.minimum(far, squares(self.entries[ids], self.entries[ids[chosen[-1:]]])[:, 0])
         if len(chosen) == 1:  # nothing but copies of one entry, of which the first wins every tie
             return ids[:1]
-        splits, rest = ids[chosen], np.delete(ids, chosen)
+        splits, rest = np.sort(ids[chosen]), np.delete(ids, chosen)
         distance = squares(self.entries[splits], self.entries[rest])
         own = distance.argmin(0)
         root = np.sqrt(distance.astype(float))
@@ -81,45 +84,41 @@ class Gnat:
         return node
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's entry and squared distance."""
-        best = np.full(len(x), np.iinfo(np.int64).max)
+        """Each row's entry and squared distance, both whole numbers."""
+        x = x.astype(float) if exact(x, self.entries) else x
+        best = np.full(len(x), np.inf if x.dtype == float else np.iinfo(np.int64).max, x.dtype)
         entry = np.full(len(x), len(self.entries))
         self._search(self.root, x, np.arange(len(x)), best, entry)
-        return entry, best
+        return entry, best.astype(np.int64)
 
     def _take(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray, best: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        """Measure entries ``ids``; whole numbers are compared, so a tie is a tie and goes to the smaller index."""
-        found = squares(x[rows], self.entries[ids])
+        """Measure entries ``ids``; distances are whole numbers, so a tie is a tie and goes to the smaller index."""
+        found = squares(x[rows], self.kinds[x.dtype][ids])
         self.measured += found.size
-        least = found.min(1)
-        index = np.where(found == least[:, None], ids, len(self.entries)).min(1)
+        first = found.argmin(1)
+        least, index = found[np.arange(len(rows)), first], ids[first]
         better = (least < best[rows]) | (least == best[rows]) & (index < entry[rows])
         best[rows[better]], entry[rows[better]] = least[better], index[better]
         return found
 
     def _search(self, node: Node | np.ndarray, x: np.ndarray, rows: np.ndarray, best: np.ndarray, entry: np.ndarray) -> None:
+        if not len(rows):
+            return
         if isinstance(node, np.ndarray):
-            if len(node) and len(rows):
+            if len(node):
                 self._take(node, x, rows, best, entry)
             return
-        if not len(rows):
-            return
         found = self._take(node.splits, x, rows, best, entry)
         own, distance = found.argmin(1), np.sqrt(found.astype(float))
         for j, child in enumerate(node.below):  # the nearest split's entries first: they make the radius small
             self._search(child, x, rows[own == j], best, entry)
+        reach = np.sqrt(best[rows].astype(float))
         for j, child in enumerate(node.below):
             if not np.isfinite(node.low[0, j]):
                 continue
-            open_ = np.flatnonzero(own != j)
-            for i in range(len(node.splits)):
-                d, radius = distance[open_, i], np.sqrt(best[rows[open_]].astype(float))
-                # Strictly farther only, by more than the roundings of four roots: what may tie stays.
-                slack = 1e-12 * (d + node.high[i, j] + radius)
-                open_ = open_[(d - node.high[i, j] <= radius + slack) & (node.low[i, j] - d <= radius + slack)]
-                if not len(open_):
-                    break
-            self._search(child, x, rows[open_], best, entry)
+            # Strictly farther than the best so far, by more than the roundings of the roots, at any split: what may tie stays.
+            apart = np.maximum(distance - node.high[:, j], node.low[:, j] - distance) - 1e-12 * (distance + node.high[:, j])
+            self._search(child, x, rows[(apart.max(1) <= reach * (1 + 1e-12)) & (own != j)], best, entry)
 
 
 def limit(width: int) -> int:
