@@ -62,3 +62,16 @@ def placed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     starts = runs.select(F.col("part").alias("of"), *[F.col(g).alias(f"of_{g}") for g in group], shift.alias("shift"))
     same = [F.col("part") == F.col("of"), *[F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in group]]
     return rows.join(starts, same).select(*df.columns, (F.col("at") + F.col("shift")).alias("place"))
+
+
+def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over its rows up to and including this one in ``order``.
+
+    The order must tell all rows apart, so the sums do not depend on how rows are laid out. A range sort spreads the
+    rows over tasks; sums inside a range start from where those before it end, one row a range.
+    """
+    rows = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    starts = rows.groupBy(F.col("_part").alias("_of")).agg(F.sum(value).alias("_sum"))
+    starts = starts.select("_of", F.coalesce(F.sum("_sum").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(F.broadcast(starts), F.col("_part") == F.col("_of")).withColumn(name, F.col("_start") + F.sum(value).over(inside)).select(*df.columns, name)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.functions.lineage import settle
+from loam.operators.spans import overlapping
 from loam.sources.sinks import mark_contradiction
 
 
@@ -41,10 +42,10 @@ def predicted_pages(diff: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def citation_symbols(cited: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``page, symbol_id``: symbols whose lines a citation overlaps, an equi join on the path with the span as a residue."""
-    s = symbols.select(F.col("path").alias("p"), F.col("id").alias("symbol_id"), "start_line", "end_line")
-    hit = (F.col("path") == F.col("p")) & (F.col("start_line") <= F.col("end")) & (F.col("end_line") >= F.col("start"))
-    return cited.join(s, hit).select("page", "symbol_id").distinct()
+    """``page, symbol_id``: symbols whose lines a citation overlaps, however many of both a file has."""
+    s = symbols.select("path", F.col("id").alias("symbol_id"), "start_line", "end_line")
+    spans = cited.select("path", "page", "start", "end").distinct()
+    return overlapping(spans, s, "path", ("start", "end"), ("start_line", "end_line")).select("page", "symbol_id").distinct()
 
 
 def build_pagemap(cited: DataFrame, symbols: DataFrame, files: DataFrame, previous: DataFrame | None = None) -> DataFrame:

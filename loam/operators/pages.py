@@ -13,6 +13,7 @@ from loam.functions import text as T
 from loam.functions.lineage import settle
 from loam.operators import graph, repomap, summarize
 from loam.operators import signals as S
+from loam.operators.mentions import mentions
 
 NAMES = [x.strip().split(" ")[0] for x in schemas.PAGES.replace("struct<heading:string,body:string>", "s").split(",")]
 
@@ -119,30 +120,27 @@ def capability_groups(signals: DataFrame) -> DataFrame:
 
 
 def capability_integrations(groups: DataFrame, signals: DataFrame) -> DataFrame:
-    """``capability, services``: integrations that share a component with a capability; all, if it has no component."""
+    """``capability, services``: integrations that share a component with a capability; all, if it has no component.
+
+    Integrations bear the names of rules, so all of them together are one short list.
+    """
     outside = signals.where("type = 'integration'").select("name", F.explode("evidence").alias("cite")).select("name", T.component(T.cite_path("cite")).alias("component")).distinct()
     some = groups.select("capability", F.explode("components").alias("component")).join(outside, "component")
     shared = some.groupBy("capability").agg(F.array_sort(F.collect_set("name")).alias("services"))
-    everything = _collected(outside, "name")
+    everything = outside.agg(F.array_sort(F.collect_set("name"))).scalar()
     joined = groups.select("capability", "components").join(shared, "capability", "left")
     none = F.array().cast("array<string>")
     return joined.select("capability", F.coalesce(F.when(F.size("components") == 0, everything), "services", none).alias("services"))
 
 
 def capability_summaries(groups: DataFrame, summaries: DataFrame) -> DataFrame:
-    """``capability, path``: file summaries that hold a capability's name anywhere, else those of its evidence files.
-
-    All runs of up to three characters of a summary are joined with the first three of the capability, and the whole
-    name is then looked for, so no capability meets a file without such a run in common.
-    """
+    """``capability, path``: file summaries that hold a capability's name anywhere, else those of its evidence files."""
     hay = F.lower(F.concat_ws(" ", "business_relevance", "what_it_does", "responsibility"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length("hay")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring("hay", i, n))))
-    told = summaries.select("path", hay.alias("hay")).where("hay <> ''").withColumn("run", F.explode(F.array_distinct(runs)))
-    asked = groups.select("capability", F.lower("capability").alias("low")).withColumn("run", F.left("low", F.lit(3)))
-    mentions = told.join(asked, "run").where(F.contains("hay", F.col("low"))).select("capability", "path").distinct()
+    asked = groups.select("capability", F.lower("capability").alias("name"))
+    found = mentions(summaries.select("path", hay.alias("hay")), "path", "hay", asked, "name")
+    told = settle(found.join(asked, "name").select("capability", F.col("key").alias("path")).distinct())
     own = groups.select("capability", F.explode("evidence").alias("cite")).select("capability", T.cite_path("cite").alias("path")).distinct()
-    rest = own.join(mentions.select("capability").distinct(), "capability", "left_anti")
-    return mentions.union(rest)
+    return told.union(own.join(told.select("capability").distinct(), "capability", "left_anti"))
 
 
 def public_interface(symbols: DataFrame, most: int = 20) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.functions.lineage import settle
+from loam.functions.lineage import running, settle
 
 SCHEMA_VERSION = 2
 LEVELS = ["low", "medium", "high"]
@@ -121,10 +122,50 @@ def _kinds(df: DataFrame, fields: list[str]) -> dict[str, str]:
     return {f: df.schema[f].dataType.simpleString() for f in fields}
 
 
-def summarize_files(files: DataFrame, symbols: DataFrame, prompts: DataFrame, model: Callable | None = None, cache: DataFrame | None = None) -> DataFrame:
+def call_cost(prompt: Column | str, reserve: int = 0) -> Column:
+    """What a call is expected to use: the prompt's estimate and ``reserve`` tokens for the answer."""
+    return (T.token_estimate(F.concat(F.lit("user\n"), T.c(prompt))) + F.lit(reserve)).cast("long")
+
+
+def admit(prompts: DataFrame, order: list[str], limit: int | None, reserve: int = 0) -> DataFrame:
+    """``prompts`` (with ``prompt``) with ``cost`` and ``admitted``: the first ones in ``order`` whose costs add up to ``limit`` at most.
+
+    ``order`` tells all prompts apart, so the same ones are admitted however they are laid out, and no call is sent that
+    could pass the limit; without a limit all are.
+    """
+    priced = prompts.withColumn("cost", call_cost("prompt", reserve))
+    if limit is None:
+        return priced.withColumn("admitted", F.lit(True))
+    return running(priced, order, "cost", "_total").withColumn("admitted", F.col("_total") <= limit).drop("_total")
+
+
+@dataclass
+class Budget:
+    """Tokens that the stages of a run may use together; each stage sends what its predecessors have left room for.
+
+    ``refused`` holds, by stage, the keys of prompts that took the fallback for want of tokens.
+    """
+
+    limit: int | None = None
+    reserve: int = 0
+    spent: int = 0
+    refused: dict[str, DataFrame] = field(default_factory=dict)
+
+    def send(self, stage: str, prompts: DataFrame, key: str, order: list[str]) -> DataFrame:
+        """The prompts that may be sent; their costs count as spent."""
+        if self.limit is None:
+            return prompts
+        told = settle(admit(prompts, order, max(0, self.limit - self.spent), self.reserve))
+        self.spent += told.where("admitted").agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
+        self.refused[stage] = told.where("not admitted").select(key, "cost")
+        return told.where("admitted").drop("cost", "admitted")
+
+
+def summarize_files(files: DataFrame, symbols: DataFrame, prompts: DataFrame, model: Callable | None = None, cache: DataFrame | None = None, budget: Budget | None = None) -> DataFrame:
     """A summary of every file: from the cache by content, else from ``model`` (an injected UDF of the prompt to JSON),
     else the fallback. Files of equal content are asked about once, by the first one's prompt. Citations without lines
-    are dropped from an answer; if none is left of some, line 1 is cited."""
+    are dropped from an answer; if none is left of some, line 1 is cited. With a ``budget``, files are asked about in
+    the order of ``pos`` as long as it lasts."""
     base = fallback_summaries(files, symbols)
     fields = [c for c in base.columns if c not in ("path", "source_hash", "schema_version", "pos")]
     kinds = _kinds(base, fields)
@@ -135,7 +176,8 @@ def summarize_files(files: DataFrame, symbols: DataFrame, prompts: DataFrame, mo
     else:
         base = base.withColumn("hit", none)
     if model is not None:
-        asked = prompts.join(base.where("hit is null").select("path", "source_hash", "pos"), "path").groupBy("source_hash").agg(F.min_by("prompt", "pos").alias("prompt"))
+        asked = prompts.join(base.where("hit is null").select("path", "source_hash", "pos"), "path").groupBy("source_hash").agg(F.min_by("prompt", "pos").alias("prompt"), F.min("pos").alias("pos"))
+        asked = budget.send("files", asked, "source_hash", ["pos", "source_hash"]) if budget else asked
         told = answers(asked, "source_hash", model, fields).select("source_hash", _said(kinds).alias("said"))
         base = base.join(told, "source_hash", "left")
     else:
@@ -153,14 +195,16 @@ def _retold(rows: DataFrame, key: str, prompts: DataFrame, model: Callable, fiel
     return rows.join(told, key, "left").select(*picked)
 
 
-def summarize_components(components: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
-    """``components`` in the model's words where it answers ``prompts`` (``component, prompt``); else as they are."""
+def summarize_components(components: DataFrame, prompts: DataFrame, model: Callable, budget: Budget | None = None) -> DataFrame:
+    """``components`` in the model's words where it answers ``prompts`` (``component, prompt``) and a ``budget`` lasts; else as they are."""
+    prompts = budget.send("components", prompts, "component", ["component"]) if budget else prompts
     fields = ["responsibility", "capabilities", "citations", "confidence", "interfaces", "dependencies", "owned_data"]
     return _retold(components, "component", prompts, model, fields)
 
 
-def summarize_system(system: DataFrame, prompt: DataFrame, model: Callable) -> DataFrame:
-    """The one row of ``system`` in the model's words where it answers ``prompt``; else as it is."""
+def summarize_system(system: DataFrame, prompt: DataFrame, model: Callable, budget: Budget | None = None) -> DataFrame:
+    """The one row of ``system`` in the model's words where it answers ``prompt`` and a ``budget`` lasts; else as it is."""
+    prompt = budget.send("system", prompt, "prompt", ["prompt"]) if budget else prompt
     fields = ["executive_summary", "capabilities", "audiences", "confidence", "architecture_overview"]
     one = F.lit(0).alias("one")
     return _retold(system.select("*", one), "one", prompt.select(one, "prompt"), model, fields).drop("one")
@@ -248,6 +292,16 @@ def token_plan(prompts: DataFrame, cache: DataFrame | None = None, files: DataFr
     return prompts.agg(F.count("*").alias("prompts"), F.coalesce(F.sum(T.token_estimate(F.concat(F.lit("user\n"), "prompt"))), F.lit(0)).cast("long").alias("tokens"))
 
 
+def run_plan(files: DataFrame, components: DataFrame, system: DataFrame, budget: int | None = None) -> DataFrame:
+    """``level, prompts, tokens, remaining`` of a dry run: the prompts of all three levels, and the budget left after each."""
+    order = {"files": 0, "components": 1, "system": 2}
+    parts = [token_plan(p).select(F.lit(order[n]).alias("at"), F.lit(n).alias("level"), "prompts", "tokens") for n, p in (("files", files), ("components", components), ("system", system))]
+    rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    used = F.sum("tokens").over(Window.orderBy("at"))  # three rows
+    left = F.lit(budget).cast("long") - used if budget is not None else F.lit(None).cast("long")
+    return rows.select("level", "prompts", "tokens", left.alias("remaining"))
+
+
 def usage_totals(usage: DataFrame, limit: int | None = None) -> DataFrame:
     """``requests, prompt_tokens, completion_tokens, total_tokens, exceeded`` of usage rows; exceeded is strictly above.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.functions.lineage import settle, shared_dir
-from loam.operators import chunks, incremental, repomap, search, segments, summarize
+from loam.operators import chunks, incremental, repomap, search, segments, spans, summarize
 from loam.plans import synth
 from loam.plans.base import Register
 from loam.plans.synth import table
@@ -366,6 +366,26 @@ def budget_usage(spark, sf_dir):
     return summarize.usage_totals(usage, 100_000)
 
 
+_TOKENS = r"cast(floor(len(list_filter(regexp_split_to_array('user' || chr(10) || text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda w: w <> '')) * 1.35::double) as bigint) + 100"
+
+
+@query(f"select doc_id, {_TOKENS} as cost, sum({_TOKENS}) over (order by doc_id) <= 200000 as admitted from documents")
+def budget_admission(spark, sf_dir):
+    """Documents as prompts, 100 tokens kept for each answer: those that a budget of 200,000 tokens lets through."""
+    prompts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return summarize.admit(prompts, ["doc_id"], 200_000, 100).select("doc_id", "cost", "admitted")
+
+
+@query("""with l as (select l_orderkey, l_linenumber, l_suppkey, datediff('day', date '1990-01-01', l_shipdate::date) as a, datediff('day', date '1990-01-01', l_shipdate::date) + l_quantity::int as b, l_returnflag from lineitem)
+select x.l_orderkey, x.l_linenumber, count(*) as n from l x join l y on x.l_suppkey = y.l_suppkey and x.a <= y.b and y.a <= x.b where y.l_returnflag = 'R' group by all""")
+def span_overlap(spark, sf_dir):
+    """For each line item the supplier's returned ones whose days, one for each piece from shipping on, overlap its own."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", day.alias("a"), (day + F.col("l_quantity").cast("int")).alias("b"), "l_returnflag")
+    back = rows.where("l_returnflag = 'R'").select("l_suppkey", F.col("a").alias("c"), F.col("b").alias("d"))
+    return spans.overlapping(rows, back, "l_suppkey", ("a", "b"), ("c", "d")).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
 @query("select event_id, '## [' || strftime(ts, '%Y-%m-%d %H:%M:%S') || 'Z] ' || event_type || chr(10) || '- ' || props || chr(10) as entry from events")
 def log_entries(spark, sf_dir):
     log = table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("event"), F.col("props").alias("detail"))
