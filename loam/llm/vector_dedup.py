@@ -218,6 +218,7 @@ def near_vectors(
     def compare(group: pa.Table) -> pa.Table:
         one, two, alone = _sides(group)
         x, rep, n = matrix(group.column("embedding"), q.width), group.column("rep").to_numpy(), group.column("n").to_numpy()
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])  # by powers of two, so that no square leaves the range of doubles
         norm = np.sqrt((x * x).sum(1))
         near = np.zeros((len(x), len(x)), bool)
         near[np.ix_(one, two)] = np.stack([x[two] @ x[i] / (norm[two] * norm[i]) >= cosine for i in one]) if len(one) and len(two) else False

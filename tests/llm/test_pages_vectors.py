@@ -227,6 +227,15 @@ def test_short_vectors_keep_their_bound():
     assert short.shape == (50, 8) and np.allclose(np.sqrt(((vector_dedup._lengthen(short, step) - x) ** 2).sum(1)), blur) and blur.max() < 0.3
 
 
+def test_near_vectors_of_extreme_size(spark):
+    """Parallel vectors link whatever their length; those at right angles do not."""
+    sizes = [1e200, 2e200, 1e-200, 2e-200, 1.0, 3.0, 1e308, 5e-324]
+    rows = [(i, [s, s], 1) for i, s in enumerate(sizes)] + [(20 + i, [s, -s], 1) for i, s in enumerate(sizes)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(table).collect()}
+    assert got == {i: (len(sizes) - 1, 0 if i < 20 else 20) for i, _, _ in rows}
+
+
 def test_near_vectors_empty_and_unusable(spark):
     assert vector_dedup.near_vectors(vectors(spark, [(1, [1.0], 1)]).limit(0)).count() == 0
     got = vector_dedup.near_vectors(vectors(spark, [(1, None, 1), (2, [0.0], 1)])).collect()
