@@ -110,13 +110,15 @@ def mix(
     begin = F.when(F.col("shard_size") > 0, F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("shard_size"))).otherwise(0)
     shards = shards.withColumn("begin", begin).withColumnsRenamed({"source": "s2", "shard": "h2"})
     ring = Window.partitionBy("source", "shard").orderBy("order", *by, *keys, "size")
-    laid = placed.withColumn("end", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0)))
+    # Documents without words take nothing and stay out of the rings, which hold no more rows than a shard has words.
+    laid = placed.where("size > 0").withColumn("end", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.join(shards.select("s2", "h2", "rounds", "run", "begin", "shard_size"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("h2")))
     low, high = F.col("end") - F.col("size"), F.col("end")
     cover = lambda a, b: F.greatest(F.lit(0).cast("long"), F.least(high, b) - F.greatest(low, a))
     stop = F.col("begin") + F.col("run")
     taken = F.col("rounds") * F.col("size") + cover(F.col("begin"), stop) + cover(F.lit(0).cast("long"), stop - F.col("shard_size"))
-    return laid.select(*keys, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    blank = placed.where("size = 0").select(*keys, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    return laid.select(*keys, "size", "source_size", "target", taken.cast("long").alias("taken")).unionAll(blank)
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators over documents, against brute force on small tables with nulls, blanks, ties, repeats and odd columns."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -217,6 +218,17 @@ def test_taken_words_equal_a_plain_loop(spark, rows):
     assert got == want and max(got.values()) > 0
 
 
+def test_mix_keeps_blank_texts_out_of_the_rings(spark):
+    """A source of very many documents without words: all come back with nothing taken, and no window holds them."""
+    many = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("blank").alias("source"))
+    some = spark.range(200_000, 200_050).select(F.col("id").alias("doc_id"), F.lit("two words").alias("text"), F.lit("told").alias("source"))
+    mixed = mixing.mix_documents(many.unionAll(some))
+    assert mixed.where("source_size = 0").agg(F.count("*"), F.sum("taken")).first()[:] == (200_000, 0)
+    assert mixed.where("source_size > 0").agg(F.count("*"), F.sum("size")).first()[:] == (50, 100)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter \(.*size#\d+L? > 0", plan)
+
+
 def test_take_whole_keeps_rows(spark, rows):
     docs = table(spark, rows)
     got = mixing.take_whole(docs)
