@@ -64,6 +64,12 @@ def placed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return rows.join(starts, same).select(*df.columns, (F.col("at") + F.col("shift")).alias("place"))
 
 
+def firsts(df: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each group in ``order``; each task cuts its own share before any row moves."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over its rows up to and including this one in ``order``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -24,12 +24,17 @@ def chunk_lines(files: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
 
 def chunk_symbols(files: DataFrame, symbols: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     """A snippet for each symbol, by start line, overlaps included; files without symbols fall to :func:`chunk_lines`."""
-    held = files.select("path", "lang", "pos", T.split_lines("text").alias("lines"))
-    rows = symbols.select("path", "name", F.col("kind").alias("symbol_kind"), "start_line", "end_line", "ord").join(held, "path")
-    own = rows.select(
-        T.line_slice(F.col("lines"), F.greatest(F.lit(1), "start_line"), F.col("end_line")).alias("text"), T.cite("path", "start_line", "end_line").alias("cite"),
-        F.lit(0.0).alias("score"), "path", "lang", F.col("name").alias("symbol"), F.col("symbol_kind").alias("kind"),
-        (F.col("pos").cast("long") * 1_000_000 + F.col("start_line")).alias("pos"),
+    listed = F.collect_list(F.struct("name", "kind", "start_line", "end_line")).alias("symbols")  # of one file, which has a largest size
+    held = files.select("path", "lang", "pos", T.split_lines("text").alias("lines")).join(symbols.groupBy("path").agg(listed), "path")
+
+    def piece(s: Column) -> Column:
+        body = T.line_slice(F.col("lines"), F.greatest(F.lit(1), s["start_line"]), s["end_line"])
+        return F.struct(body.alias("text"), s["name"].alias("symbol"), s["kind"].alias("kind"), s["start_line"].alias("start"), s["end_line"].alias("end"))
+
+    cut = held.select("path", "lang", "pos", F.explode(F.transform("symbols", piece)).alias("s"))  # a file's lines are split and sliced in its one row
+    own = cut.select(
+        "s.text", T.cite("path", "s.start", "s.end").alias("cite"), F.lit(0.0).alias("score"), "path", "lang", "s.symbol", "s.kind",
+        (F.col("pos").cast("long") * 1_000_000 + F.col("s.start")).alias("pos"),
     )
     rest = files.join(symbols.select("path").distinct(), "path", "left_anti")
     return own.unionByName(chunk_lines(rest, size))

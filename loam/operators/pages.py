@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loam import schemas
 from loam.functions import text as T
-from loam.functions.lineage import settle
+from loam.functions.lineage import firsts, settle
 from loam.operators import graph, repomap, summarize
 from loam.operators import signals as S
 from loam.operators.mentions import mentions
@@ -84,7 +84,7 @@ def entity_diagram(entities: Column, most: int = 24) -> Column:
 def neighborhood_diagrams(files: DataFrame, dependencies: DataFrame, seeds: int = 6, most: int = 12) -> DataFrame:
     """``component, diagram``: a component's first files and what they import, ``most`` nodes, the rest counted."""
     rows = files.select(T.component("path").alias("component"), "path", "pos")
-    first = rows.groupBy("component").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "path"))), F.lit(1), F.lit(seeds)).alias("first"))
+    first = firsts(rows, ["component"], ["pos", "path"], seeds).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("first"))
     seeded = first.select("component", F.explode(F.transform("first", lambda x: x["path"])).alias("path"))
     pairs = seeded.join(dependencies, "path", "left").where("dep is not null")
     grouped = pairs.groupBy("component").agg(F.array_sort(F.collect_set(F.struct("path", "dep"))).alias("pairs"))
@@ -146,15 +146,20 @@ def capability_summaries(groups: DataFrame, summaries: DataFrame) -> DataFrame:
 def public_interface(symbols: DataFrame, most: int = 20) -> DataFrame:
     """``component, interface``: the first distinct ``name (kind)`` of a component's symbols."""
     shown = F.concat("name", F.lit(" ("), "kind", F.lit(")"))
-    rows = F.array_sort(F.collect_list(F.struct("path", "ord", shown.alias("v"))))
-    return symbols.groupBy(T.component("path").alias("component")).agg(F.slice(F.array_distinct(F.transform(rows, lambda x: x["v"])), F.lit(1), F.lit(most)).alias("interface"))
+    each = symbols.groupBy(T.component("path").alias("component"), shown.alias("v")).agg(F.min(F.struct("path", "ord")).alias("at")).where("v is not null")
+    rows = F.array_sort(F.collect_list(F.struct("at", "v")))
+    return firsts(each, ["component"], ["at", "v"], most).groupBy("component").agg(F.transform(rows, lambda x: x["v"]).alias("interface"))
 
 
 def component_links(dependencies: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
     """Files outside a component that it depends on, and that depend on it: ``component, paths`` each."""
     rows = dependencies.select(T.component("path").alias("a"), T.component("dep").alias("b"), "path", "dep").where("a <> b")
-    cut = lambda c: F.slice(F.array_sort(F.collect_set(c)), F.lit(1), F.lit(most)).alias("paths")
-    return rows.groupBy(F.col("a").alias("component")).agg(cut("dep")), rows.groupBy(F.col("b").alias("component")).agg(cut("path"))
+
+    def cut(owner: str, shown: str) -> DataFrame:
+        kept = firsts(rows.select(F.col(owner).alias("component"), F.col(shown).alias("v")).distinct(), ["component"], ["v"], most)
+        return kept.groupBy("component").agg(F.array_sort(F.collect_list("v")).alias("paths"))
+
+    return cut("a", "dep"), cut("b", "path")
 
 
 # Pages
@@ -205,7 +210,7 @@ def component_pages(components: DataFrame, files: DataFrame, symbols: DataFrame,
 def capability_pages(signals: DataFrame, summaries: DataFrame) -> DataFrame:
     """A page and a workflow page for each capability."""
     groups = capability_groups(signals)
-    told = capability_summaries(groups, summaries).groupBy("capability").agg(F.slice(F.array_sort(F.collect_set("path")), F.lit(1), F.lit(12)).alias("paths"))
+    told = firsts(capability_summaries(groups, summaries).distinct(), ["capability"], ["path"], 12).groupBy("capability").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     rows = groups.join(capability_integrations(groups, signals), "capability").join(told, "capability", "left")
     name = F.initcap(F.translate("capability", "-_", "  "))
     slug = T.slug("capability")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.functions.lineage import running, settle
+from loam.functions.lineage import firsts, running, settle
 
 SCHEMA_VERSION = 2
 LEVELS = ["low", "medium", "high"]
@@ -36,7 +36,8 @@ def _first_seen(rows: DataFrame, group: list[str], most: dict[str, int]) -> Data
 def file_symbols(symbols: DataFrame, most: int = 12) -> DataFrame:
     """``path, names`` of a file's first symbols."""
     rows = F.array_sort(F.collect_list(F.struct("ord", "name")))
-    return symbols.groupBy("path").agg(F.transform(F.slice(rows, F.lit(1), F.lit(most)), lambda x: x["name"]).alias("names"))
+    kept = firsts(symbols.select("path", "ord", "name"), ["path"], ["ord", "name"], most)
+    return kept.groupBy("path").agg(F.transform(rows, lambda x: x["name"]).alias("names"))
 
 
 def file_signals(signals: DataFrame) -> DataFrame:
@@ -240,8 +241,8 @@ def reduce_components(summaries: DataFrame, signals: DataFrame) -> DataFrame:
 
 def reduce_system(components: DataFrame, files: DataFrame, symbols: DataFrame, frameworks: DataFrame, entrypoints: DataFrame) -> DataFrame:
     """One row for the whole corpus: summary, capabilities, two views, least confidence."""
-    labels = F.array_join(F.slice(F.array_sort(F.collect_set("label")), F.lit(1), F.lit(5)), ", ")
-    counts = [files.agg(F.count("*")).scalar(), symbols.agg(F.count("*")).scalar(), entrypoints.agg(F.count("*")).scalar(), frameworks.agg(labels).scalar()]
+    labels = F.array_join(F.array_sort(F.collect_list("label")), ", ")
+    counts = [files.agg(F.count("*")).scalar(), symbols.agg(F.count("*")).scalar(), entrypoints.agg(F.count("*")).scalar(), frameworks.select("label").distinct().orderBy("label").limit(5).agg(labels).scalar()]
     seen = components.select("pos", F.posexplode("capabilities").alias("k", "v")).groupBy(F.trim("v").alias("v")).agg(F.min(F.struct("pos", "k")).alias("at")).where("v <> ''")
     told = seen.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])).scalar()  # labels, not files
     row = components.agg(merged_confidence().alias("confidence"), F.count("*").alias("n")).withColumn("capabilities", told)
@@ -263,8 +264,9 @@ def component_prompts(components: DataFrame, summaries: DataFrame, files: int =
         F.lit("- "), "path", F.lit(": "), "responsibility", F.lit(" ["), F.array_join(F.slice("citations", F.lit(1), F.lit(cites)), ", "), F.lit("] data: "),
         F.array_join(F.slice("data_touched", F.lit(1), F.lit(data)), ", "),
     )
-    lines = summaries.groupBy(T.component("path").alias("component")).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
-    body = F.array_join(F.transform(F.slice("lines", F.lit(1), F.lit(files)), lambda x: x["line"]), "\n")
+    kept = firsts(summaries.select(T.component("path").alias("component"), "pos", line.alias("line")), ["component"], ["pos", "line"], files)
+    lines = kept.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     rows = components.select("component", "capabilities").join(lines, "component")
     return rows.select("component", F.concat(F.lit("Summarise this component as JSON: "), "component", F.lit("\nCapabilities: "), F.array_join("capabilities", ", "), F.lit("\n"), body).alias("prompt"))
 

@@ -145,7 +145,7 @@ def graph_scc(spark, sf_dir):
 
 
 @query(f"""with recursive {EDGES}, p as (select src as first, dst as last, [src] as path from e union all
-select first, e.dst, list_append(path, last) from p join e on e.src = p.last where last > first and not list_contains(path, last) and len(path) < 12)
+select first, e.dst, list_append(path, last) from p join e on e.src = p.last where last > first and not list_contains(path, last))
 select array_to_string(path, '>') as cycle from p where first = last""")
 def graph_cycles(spark, sf_dir):
     return graph.simple_cycles(synth.edges(spark, sf_dir)).select(F.array_join("cycle", ">").alias("cycle"))
