@@ -310,29 +310,45 @@ def only(pages: DataFrame, names: list[str] | None) -> DataFrame:
     return pages if names is None else pages.where(F.col("rel_path").isin(names))
 
 
-def build_pages(files: DataFrame, symbols: DataFrame, lenses: list[Lens] | None = None, only_pages: list[str] | None = None) -> DataFrame:
+@dataclass
+class Known:
+    """What a build has made before its pages."""
+
+    signals: DataFrame
+    edges: DataFrame
+    summaries: DataFrame
+    components: DataFrame
+    system: DataFrame
+
+
+def _without_model(files: DataFrame, symbols: DataFrame) -> Known:
+    found = settle(S.detect_signals(files, symbols))
+    edges = settle(graph.build_edges(files, symbols, repomap.resolve_imports(files, symbols)))
+    told = settle(summarize.fallback_summaries(files, symbols))
+    parts = settle(summarize.reduce_components(told, found))
+    return Known(found, edges, told, parts, summarize.reduce_system(parts, files, symbols, repomap.framework_hints(files), repomap.entrypoints(files)))
+
+
+def build_pages(files: DataFrame, symbols: DataFrame, lenses: list[Lens] | None = None, only_pages: list[str] | None = None, known: Known | None = None) -> DataFrame:
     """All pages of a build: overview, components, capabilities, domain and lenses (all known ones, unless given).
 
-    With ``only_pages`` just those of these paths; builders that none of them can come from are not asked.
+    With ``only_pages`` just those of these paths; builders that none of them can come from are not asked. Without
+    ``known``, summaries are the fallback's.
     """
     wanted = lambda *prefixes: only_pages is None or any(p.startswith(prefixes) for p in only_pages)
     lenses = list(LENSES.values()) if lenses is None else lenses
     files, symbols = settle(files), settle(symbols)
-    found = settle(S.detect_signals(files, symbols))
-    edges = settle(graph.build_edges(files, symbols, repomap.resolve_imports(files, symbols)))
-    told = settle(summarize.fallback_summaries(files, symbols))
-    parts = settle(summarize.reduce_components(told, found))
+    k = known or _without_model(files, symbols)
     out = [files.sparkSession.createDataFrame([], schemas.PAGES)]
     if wanted("00-overview/"):
-        system = settle(summarize.reduce_system(parts, files, symbols, repomap.framework_hints(files), repomap.entrypoints(files)))
-        out.append(overview_pages(system, files, symbols, found, edges))
+        out.append(overview_pages(settle(k.system), files, symbols, k.signals, k.edges))
     if wanted("components/"):
-        out.append(component_pages(parts, files, symbols, graph.file_dependencies(edges)))
+        out.append(component_pages(k.components, files, symbols, graph.file_dependencies(k.edges)))
     if wanted("capabilities/", "workflows/"):
-        out.append(capability_pages(found, told))
+        out.append(capability_pages(k.signals, k.summaries))
     if wanted("domain/", "integrations/", "risks/", "operations/"):
-        out.append(domain_pages(found, told))
+        out.append(domain_pages(k.signals, k.summaries))
     for lens in lenses:
         if wanted(*lens.templates):
-            out.append(lens_pages(lens, found.unionByName(lens_signals(files, lens)), edges))
+            out.append(lens_pages(lens, k.signals.unionByName(lens_signals(files, lens)), k.edges))
     return only(_union(out), only_pages)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.functions.lineage import settle
-from loam.operators import graph, incremental, lint, pages, parse, repomap, signals, summarize
+from loam.operators import build, graph, incremental, lint, pages, parse, repomap, signals, summarize
 from loam.plans import synth
 from loam.plans.base import Register
 from loam.sources import files as sources
@@ -209,3 +209,26 @@ def report_pages(spark, sf_dir):
     """All pages of a build, rendered."""
     files = synth.code(spark, sf_dir)
     return pages.build_pages(files, parse.parse_python(files)).select("rel_path", "title", sinks.render_page().alias("rendered"))
+
+
+#: Pages of every build whatever the source: path, title, type.
+_ALWAYS = [
+    ("00-overview/component-graph.md", "Component Graph", "overview"), ("00-overview/executive-summary.md", "Executive Summary", "overview"),
+    ("00-overview/system-context.md", "System Context", "overview"), ("00-overview/tech-stack.md", "Tech Stack", "overview"),
+    ("compliance/data-flow-map.md", "Data Flow Map", "lens"), ("domain/data-model.md", "Data Model", "domain"), ("domain/glossary.md", "Glossary", "domain"),
+    ("integrations/external-systems.md", "External Systems", "integration"), ("onboarding/first-week.md", "First Week", "lens"),
+    ("operations/setup.md", "Setup", "operations"), ("opportunities/opportunity-register.md", "Opportunity Register", "lens"),
+    ("risks/risk-register.md", "Risk Register", "risk"), ("security/threat-surface.md", "Threat Surface", "lens"),
+]
+
+
+@query(f"""with {CODE}, k as (select k, min(s) as s from supp group by k)
+select 'components/nation-' || k || '.md' as rel_path, 'nation_' || k as title, 'component' as type, 'Told by the model.' as told from k union all
+select 'capabilities/area-' || k || '.md', 'Area ' || k, 'capability', '' from k union all select 'workflows/area-' || k || '.md', 'Area ' || k || ' Workflow', 'workflow', '' from k union all
+select *, '' from (values {", ".join(str(row) for row in _ALWAYS)})""")
+def build_told(spark, sf_dir):
+    """All pages of a build whose summaries a model tells: path, title, type, and of components what it has told."""
+    files = synth.code(spark, sf_dir)
+    answer = F.lit('{"responsibility": "Told by the model.", "confidence": "high"}')
+    made = build.generate(files, parse.parse_python(files), lambda prompt: F.when(F.col(prompt).isNotNull(), answer)).pages
+    return made.select("rel_path", "title", "type", F.when(F.col("type") == "component", F.col("summary")).otherwise("").alias("told"))
