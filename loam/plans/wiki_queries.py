@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loam.functions import frontmatter
 from loam.functions import text as T
 from loam.functions.lineage import settle
 from loam.operators import build, graph, incremental, lint, pages, parse, repomap, signals, summarize
@@ -77,6 +78,21 @@ def page_metadata(spark, sf_dir):
     return p.select("page", sources.frontmatter_field("text", "title").alias("title"), section.alias("summary"))
 
 
+@query("select page_id, url as title, page_id % 7 as rank, case when page_id % 5 = 0 then null else 2 end as sources, case when page_id % 3 = 0 then 'team ' || page_id % 4 end as owner from pages")
+def page_frontmatter(spark, sf_dir):
+    """Heads with quoted addresses, nested mappings and lists, read back as values; every fifth list is missing."""
+    p = synth.table(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    head = F.concat(
+        F.lit("---\ntitle: '"), F.replace("url", F.lit("'"), F.lit("''")), F.lit("'\nmeta:\n  rank: "), i % 7, F.when(i % 3 == 0, F.concat(F.lit("\n  owner: team "), i % 4)).otherwise(""),
+        F.when(i % 5 == 0, F.lit("\nsources:\n")).otherwise(F.lit("\nsources:\n- a.py:L1-L2\n- \"b: c\"\n")), F.lit("---\nbody\n"),
+    )
+    value = frontmatter.frontmatter_value("text")
+    rows = p.select("page_id", head.alias("text")).select("page_id", value.alias("v"))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    return rows.select("page_id", get("$.title", "string").alias("title"), get("$.meta.rank", "long").alias("rank"), F.nullif(F.size(get("$.sources", "array<string>")), F.lit(-1)).alias("sources"), get("$.meta.owner", "string").alias("owner"))
+
+
 @query("select 'area_' || page_id % 4 || '/p' || page_id || '.md' as page from pages where page_id % 10 = 0")
 def summary_contradictions(spark, sf_dir):
     p = synth.pages(spark, sf_dir)
