@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql.types import StringType
 from loam import schemas
 from loam.functions import text as T
 from loam.functions.lineage import settle, shared_dir
+from loam.sources import store
 
 #: Globs that a scan leaves out unless told otherwise. Fixed values.
 EXCLUDE = [
@@ -49,11 +52,41 @@ def _reachable(root: str) -> bool:
 def spark_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, size, content`` by Spark's own reader, for stores that only the Hadoop client knows.
 
-    Its index leaves out names that begin with ``_`` or ``.``. Content is read for the files that are kept alone.
+    Its index leaves out empty files and names that begin with ``_`` or ``.``; :func:`unlisted_files` finds those.
+    Content is read for the files that are kept alone.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.lit("^\\Q" + root.rstrip("/") + "\\E/")
-    return raw.select(F.regexp_replace("path", base, F.lit("")).alias("path"), F.col("length").alias("size"), "content")
+    return raw.where("length > 0").select(F.regexp_replace("path", base, F.lit("")).alias("path"), F.col("length").alias("size"), "content")
+
+
+def _passed_over(path: str) -> bool:
+    """Whether Spark's readers leave a file out for a name on its way."""
+    return any(p.startswith(".") or p.startswith("_") and "=" not in p or p.endswith("._COPYING_") for p in path.split("/"))
+
+
+def _in_lots(spark: SparkSession, rows: Iterator[tuple], ddl: str, name: str, lot: int) -> DataFrame:
+    """Rows that the driver makes one by one, as a table written ``lot`` rows at a time."""
+    path = scratch_dir(spark, name)
+    while some := list(islice(rows, lot)):
+        spark.createDataFrame(some, ddl).coalesce(1).write.mode("append").parquet(path)
+    return read_or_empty(spark, path, ddl)
+
+
+def unlisted_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, size`` of the files under ``root`` that Spark's readers pass over, found through the Hadoop client.
+
+    The driver walks the tree and holds 10,000 names at most.
+    """
+    found = ((path, size) for path, size in store.walk(spark, root) if not size or _passed_over(path))
+    return _in_lots(spark, found, "path string, size long", "unlisted", 10_000)
+
+
+def read_unlisted(files: DataFrame, root: str, lot: int = 64) -> DataFrame:
+    """Few and small ``files`` (``path, size``) with their ``content``, read by the driver, ``lot`` at a time."""
+    spark, base = files.sparkSession, root.rstrip("/")
+    rows = ((r["path"], r["size"], store.content(spark, f"{base}/{r['path']}") if r["size"] else b"") for r in files.select("path", "size").toLocalIterator())
+    return _in_lots(spark, rows, "path string, size long, content binary", "read", lot)
 
 
 _LISTED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
@@ -73,16 +106,20 @@ def _lister(root: str, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, size`` of every file under ``root``, one task for each folder right under it.
+def list_files(spark: SparkSession, root: str, shallow: int = 2) -> DataFrame:
+    """``path, size`` of every file under ``root``: the first ``shallow`` levels folder by folder, then a task each folder.
 
     Spark's own file index leaves out empty files and names that begin with ``_`` or ``.``, such as ``__init__.py``;
     a source tree needs them.
     """
     ddl = "path string, size long, folder boolean"
-    top = spark.createDataFrame([("",)], "path string").mapInArrow(_lister(root, False), ddl)
-    below = top.where("folder").select("path").repartition("path").mapInArrow(_lister(root, True), ddl)
-    return top.unionAll(below).where("not folder").select("path", "size")
+    level, found = spark.createDataFrame([("",)], "path string"), []
+    for _ in range(shallow):
+        rows = settle(level.mapInArrow(_lister(root, False), ddl))
+        level = rows.where("folder").select("path").repartition("path")
+        found.append(rows)
+    found.append(level.mapInArrow(_lister(root, True), ddl))
+    return reduce(DataFrame.unionAll, found).where("not folder").select("path", "size")
 
 
 def read_contents(files: DataFrame, root: str) -> DataFrame:
@@ -116,14 +153,19 @@ def scan_files(
 
     Paths are relative and in the order of their parts. Path and size conditions come before the content is read;
     a NUL in the first 1,024 bytes, or a file that cannot be read, means binary. ``hash`` is of the text with line
-    ends made ``\\n``, ``size`` of the raw bytes. A store that Python cannot open is read as :func:`spark_files` says.
+    ends made ``\\n``, ``size`` of the raw bytes. A store that Python cannot open is read by Spark, and what Spark's readers
+    pass over, empty files and names such as ``__init__.py``, by the driver: the same rows either way.
     """
-    own = _reachable(root)
-    kept = (list_files if own else spark_files)(spark, root).where(F.col("size") <= max_kb * 1024)
-    for folder in artifact_dirs:
-        kept = kept.where(~F.startswith("path", F.lit(folder.removeprefix("./").rstrip("/") + "/")))
-    kept = kept.where(~F.rlike("path", F.lit(T.glob_regex(exclude)))).where(F.rlike("path", F.lit(T.glob_regex(include))))
-    read = read_contents(kept.repartition("path"), root) if own else kept
+    def chosen(files: DataFrame) -> DataFrame:
+        kept = files.where(F.col("size") <= max_kb * 1024)
+        for folder in artifact_dirs:
+            kept = kept.where(~F.startswith("path", F.lit(folder.removeprefix("./").rstrip("/") + "/")))
+        return kept.where(~F.rlike("path", F.lit(T.glob_regex(exclude)))).where(F.rlike("path", F.lit(T.glob_regex(include))))
+
+    if _reachable(root):
+        read = read_contents(chosen(list_files(spark, root)).repartition("path"), root)
+    else:
+        read = chosen(spark_files(spark, root)).unionByName(read_unlisted(chosen(unlisted_files(spark, root)), root))
     if skip_binary:
         read = read.where(F.col("content").isNotNull() & ~F.rlike(F.hex(F.substring("content", 1, 1024)), F.lit("^(..)*?00")))
     files = read.select("path", T.language("path").alias("lang"), "size", T.normalize_newlines(decoded(F.coalesce("content", F.lit(b"")))).alias("text"))

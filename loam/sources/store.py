@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,29 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def walk(spark: SparkSession, root: str) -> Iterator[tuple[str, int]]:
+    """Path under ``root`` and size of every file below it, one by one."""
+    store, at = _opened(spark, root)
+    base = store.makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    found = store.listFiles(at, True)
+    while found.hasNext():
+        status = found.next()
+        yield status.getPath().toUri().getPath().removeprefix(base), status.getLen()
+
+
+def content(spark: SparkSession, path: str) -> bytes | None:
+    """A file's bytes, null where it cannot be read."""
+    store, at = _opened(spark, path)
+    try:
+        stream = store.open(at)
+    except Exception:  # the store's own errors, of which there is no list
+        return None
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def write_once(df: DataFrame, path: str) -> bool:
     """Write a table that appears whole, by one rename; False, and nothing changes, if ``path`` is there already.
 

@@ -272,11 +272,18 @@ def test_stored_vectors_are_fresh(spark, tmp_path):
 
 
 def test_files_in_a_store_that_only_spark_knows(spark, tmp_path):
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "b.py").write_text("x\r\ny")
+    """The same rows as by Python's own reader, hidden and empty files included."""
+    texts = {"a/b.py": "x\r\ny", "a/__init__.py": "", "a/_private/deep/x.py": "one", ".github/ci.yml": "on: push", "d/e/f/g/__main__.py": "main", "top.txt": "t", "empty.txt": "", ".git/config": "no", "k=v/_x=1/y.py": "part"}
+    for path, text in texts.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text, newline="")
     (tmp_path / "c.bin").write_bytes(b"\0")
+    (tmp_path / "_h.bin").write_bytes(b"x\0")
     spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tree.link./in", f"file://{tmp_path}")
-    assert [(r.path, r.text, r.size) for r in S.scan_files(spark, "viewfs://tree/in").collect()] == [("a/b.py", "x\ny", 4)]
+    rows = lambda root, **more: [(r.path, r.text, r.size, r.pos) for r in S.scan_files(spark, root, **more).orderBy("pos").collect()]
+    own, far = rows(f"file://{tmp_path}"), rows("viewfs://tree/in")
+    assert own == far and {p: t for p, t, *_ in far} == {p: t.replace("\r", "") for p, t in texts.items() if p != ".git/config"}
+    assert rows(f"file://{tmp_path}", include=["**/_*"], exclude=[]) == rows("viewfs://tree/in", include=["**/_*"], exclude=[])
 
 
 def test_component_graph(spark):
