@@ -213,6 +213,31 @@ def dry_run_tokens(spark, sf_dir):
     return summarize.token_plan(summarize.file_prompts(files, symbols, found))
 
 
+def _counted(table: str) -> str:
+    """SQL: prompts and estimated tokens of a table of prompts."""
+    words = "len(list_filter(regexp_split_to_array('user' || chr(10) || prompt, '[ \\n]+'), lambda w: w <> ''))"
+    return f"select count(*) as prompts, sum(cast(floor({words} * 1.35::double) as int))::bigint as tokens from {table}"
+
+
+@query(f"""{_PROMPTS}, caps as (select k, 'area ' || k as label from supp union select k, 'Model_' || s from supp),
+ranked as (select k, label, row_number() over (partition by k order by label) as r from caps),
+listed as (select k, string_agg(label, ', ' order by r) as every, string_agg(label, ', ' order by r) filter (r <= 5) as few from ranked group by k),
+seen as (select k, s, path, row_number() over (partition by k order by s) as r, min(s) over (partition by k) as first from supp),
+told as (select 'Holds part of this component''s implementation.' as t),
+parts_p as (select 'Summarise this component as JSON: nation_' || k || chr(10) || 'Capabilities: ' || any_value(every) || chr(10)
+  || string_agg('- ' || path || ': ' || t || ' [' || path || ':L1-L1] data: ', chr(10) order by s) filter (r <= 14) as prompt from seen join listed using (k), told group by k),
+lines as (select k, '- nation_' || k || ': ' || any_value(t) || ' {{' || any_value(few) || '}} [' || string_agg(path || ':L1-L1', ', ' order by s) filter (r <= 2) || ']' as line, min(first) as first from seen join listed using (k), told group by k),
+system_p as (select 'Summarise this system as JSON.' || chr(10) || string_agg(line, chr(10) order by first) as prompt from (select * from lines order by first limit 16)),
+levels as (select 0 as step, 'files' as level, * from ({_counted("prompts")}) union all select 1, 'components', * from ({_counted("parts_p")}) union all select 2, 'system', * from ({_counted("system_p")}))
+select level, prompts, tokens, (1000000 - sum(tokens) over (order by step))::bigint as remaining from levels""")
+def dry_run_levels(spark, sf_dir):
+    """What a run would send at each level, and what that leaves of a budget of a million tokens."""
+    files, symbols, found = _code(spark, sf_dir)
+    told = summarize.fallback_summaries(files, symbols)
+    parts = settle(summarize.reduce_components(told, found))
+    return summarize.run_plan(summarize.file_prompts(files, symbols, found), summarize.component_prompts(parts, told), summarize.system_prompt(parts), 1_000_000)
+
+
 @query()
 def mermaid_component(spark, sf_dir):
     files, symbols, _ = _code(spark, sf_dir)
