@@ -114,12 +114,12 @@ def _doubled(edges: DataFrame, ways: DataFrame, near: list[DataFrame]) -> DataFr
     return out
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    return reach(edges, seeds, forward=False)
+def ancestors(edges: DataFrame, seeds: DataFrame, hops: int = 8) -> DataFrame:
+    return reach(edges, seeds, False, hops)
 
 
-def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    return reach(edges, seeds)
+def descendants(edges: DataFrame, seeds: DataFrame, hops: int = 8) -> DataFrame:
+    return reach(edges, seeds, True, hops)
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

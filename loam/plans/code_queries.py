@@ -129,13 +129,13 @@ def _seeds(e):
 @query(_reach_sql("e.dst", "e.src"))
 def graph_ancestors(spark, sf_dir):
     e = synth.edges(spark, sf_dir)
-    return graph.ancestors(e, _seeds(e))
+    return graph.ancestors(e, _seeds(e), hops=24)  # import chains of this depth are cheaper followed than doubled
 
 
 @query(_reach_sql("e.src", "e.dst"))
 def graph_descendants(spark, sf_dir):
     e = synth.edges(spark, sf_dir)
-    return graph.descendants(e, _seeds(e))
+    return graph.descendants(e, _seeds(e), hops=24)
 
 
 @query(f"""with recursive {EDGES}, r as (select src as seed, dst as node from e union select seed, dst from r join e on src = node)
