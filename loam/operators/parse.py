@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from loam import schemas
 from loam.functions import text as T
+from loam.operators.declarations import declared
 
 Parser = Callable[[DataFrame], DataFrame]
 NAME = r"[A-Za-z_][A-Za-z0-9_]*"
+COLUMNS = [x.strip().split(" ")[0] for x in schemas.SYMBOLS.split(",")]
 
 
 def _import_names(tree: ast.AST) -> list[str]:
@@ -52,14 +54,12 @@ def parse_python(files: DataFrame) -> DataFrame:
     """Functions and classes of Python files, breadth first, by the interpreter's own parser.
 
     A file's imports are attached to each of its symbols; functions carry the names they call, nested ones included.
-    Files that do not parse have no symbols. This is the one parser that needs Python.
+    Files that do not parse have no symbols.
     """
-    columns = [x.strip().split(" ")[0] for x in schemas.SYMBOLS.split(",")]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for path, text in zip(batch["path"], batch["text"]) for r in _python_rows(path, text)]
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.where(F.col("lang") == "python").select("path", "text").mapInPandas(run, schemas.SYMBOLS)
 
@@ -92,52 +92,19 @@ def parse_script(files: DataFrame) -> DataFrame:
     return _emit(own, found, imports)
 
 
-#: Declaration patterns of other languages: (kind, pattern with the name as group 1). Fixed values.
-DECLARATIONS = {
-    "java": [
-        ("class", rf"\b(?:class|interface|enum)\s+({NAME})"),
-        ("function", rf"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+(?:[\w<>\[\], .?]+\s+)?({NAME})\s*\([^;]*$"),
-    ],
-    "go": [("class", rf"^type\s+({NAME})\s"), ("function", rf"^func\s+(?:\([^)]*\)\s*)?({NAME})\s*[(\[]")],
-    "csharp": [
-        ("class", rf"\b(?:class|interface|struct|record)\s+({NAME})"),
-        ("function", rf"^\s*(?:(?:public|protected|private|internal|static|virtual|override|async|sealed)\s+)+(?:[\w<>\[\], .?]+\s+)?({NAME})\s*\([^;]*$"),
-    ],
-}
-#: Import patterns of those languages, the imported name as group 1. Fixed values.
-IMPORTS = {
-    "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;",
-    "go": r"(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$",
-    "csharp": r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;",
-}
-
-
 def parse_declarations(language: str) -> Parser:
-    """A parser by declaration patterns: a symbol a declaring line, whose calls are those up to the next declaration."""
-
-    def parse(files: DataFrame) -> DataFrame:
-        own, lines = files.where(F.col("lang") == language), T.split_lines("text")
+    """A parser by tokens and brackets (:mod:`loam.operators.declarations`) of ``java``, ``go`` or ``csharp``.
 
-        def on_line(line: Column, i: Column) -> Column:
-            at, signature = (i + 1).cast("int"), F.left(F.trim(line), F.lit(120))
-            return F.array(*[_symbol(kind, F.regexp_extract(line, pattern, 1), at, at, signature) for kind, pattern in DECLARATIONS[language]])
-
-        found = F.filter(F.flatten(F.transform(lines, on_line)), lambda s: s["name"] != "")
-        staged = own.select("path", "text", lines.alias("lines"), found.alias("found"))
-
-        def spanned(s: Column) -> Column:
-            later = F.filter(F.col("found"), lambda o: o["start_line"] > s["start_line"])
-            end = F.greatest(s["start_line"], F.coalesce(F.array_min(F.transform(later, lambda o: o["start_line"])) - 1, F.size("lines")))
-            body = T.line_slice(F.col("lines"), s["start_line"], end)
-            after = F.regexp_replace(body, rf"^[^\n]*?\b(?!func\b){NAME}\s*\(", "")
-            called = F.filter(F.regexp_extract_all(after, F.lit(rf"(?<![@\w])({NAME})\s*\("), F.lit(1)), lambda n: ~n.isin("new", "await", "this", "super", "if", "for", "while", "switch", "catch", "return", "func"))
-            calls = F.when(s["kind"] == "function", called).otherwise(F.array().cast("array<string>"))
-            return F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["start_line"].alias("start_line"), end.alias("end_line"), s["signature"].alias("signature"), calls.alias("calls"))
+    Types and functions at any depth, with their ends, the names that functions call, and the file's imports. Lines
+    of annotations or attributes above a declaration are not its own. Broken text is read as far as brackets pair.
+    """
 
-        imports = F.array_distinct(F.regexp_extract_all("text", F.lit(IMPORTS[language]), F.lit(1)))
-        return _emit(staged, F.transform("found", spanned), imports)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r for path, text in zip(batch["path"], batch["text"]) for r in declared(path, text, language)]
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
-    return parse
+    return lambda files: files.where(F.col("lang") == language).select("path", "text").mapInPandas(run, schemas.SYMBOLS)
 
 
 #: Parsers by name; each takes all files and reads those of its languages.

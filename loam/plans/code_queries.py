@@ -44,6 +44,28 @@ def parse_java(spark, sf_dir):
     return parse.PARSERS["java"](synth.java(spark, sf_dir)).select("id", "kind", F.array_join("calls", ",").alias("calls"))
 
 
+def _declared(files, lang):
+    lists = [F.array_join(c, ",").alias(c) for c in ("calls", "imports")]
+    return parse.PARSERS[lang](files).select("id", "kind", "start_line", "end_line", "signature", *lists)
+
+
+@query("""with p as (select 'go/n' || s_nationkey || '/supp_' || s_suppkey || '.go' as path, s_suppkey as s, 'fmt,corp/base' as imports from supplier)
+select path || '::Supp' || s || ':9' as id, 'class' as kind, 9 as start_line, 11 as end_line, 'Supp' || s || '[T any] struct {' as signature, '' as calls, imports from p union all
+select path || '::Load' || s || ':13', 'function', 13, 16, 'func (s *Supp' || s || '[T]) Load' || s || '(x int) interface{} {', 'Println,y,Step', imports from p""")
+def parse_go(spark, sf_dir):
+    return _declared(synth.go(spark, sf_dir), "go")
+
+
+@query("""with p as (select 'cs/Part' || p_partkey || '.cs::' as path, p_partkey as p, p_size as n, 'System,System.Math' as imports from part)
+select path || 'Part' || p || ':5' as id, 'class' as kind, 5 as start_line, 14 as end_line, 'public sealed class Part' || p || '<T> : Base where T : class, new() {' as signature, '' as calls, imports from p union all
+select path || 'Inner:7', 'class', 7, 7, 'class Inner { public int Size() => Calc(' || n || '); }', '', imports from p union all
+select path || 'Size:7', 'function', 7, 7, 'public int Size() => Calc(' || n || ');', 'Calc', imports from p union all
+select path || 'Part' || p || ':8', 'function', 8, 8, 'public Part' || p || '(int x) : base(x) { Init(); }', 'Init', imports from p union all
+select path || 'Sum:9', 'function', 9, 13, 'public List<(int a, T b)> Sum<U>(List<U> xs) where U : class {', 'ToList,Where,Keep' || p || ',Open,T', imports from p""")
+def parse_csharp(spark, sf_dir):
+    return _declared(synth.csharp(spark, sf_dir), "csharp")
+
+
 @query("""select 'web/app/cust_' || c_custkey || '.ts' as src, unnest(['web/app/cust_' || (c_custkey % 10 + 1) || '.ts', 'web/shared/base.ts']) as dep, true as is_internal from customer""")
 def import_resolve_script(spark, sf_dir):
     files = synth.script(spark, sf_dir)

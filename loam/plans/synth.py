@@ -76,6 +76,29 @@ def java(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_files(rows, "java")
 
 
+def go(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Go file for each supplier: a generic type, and a method with brackets in strings and a function called where it stands."""
+    text = F.format_string(
+        'package n%d\n\nimport (\n\t"fmt"\n\tb "corp/base"\n)\n\n/* func no() { */\ntype Supp%d[T any] struct {\n\tnote string\n}\n\n'
+        'func (s *Supp%d[T]) Load%d(x int) interface{} {\n\tfmt.Println("} func no() {", `{`)\n\treturn func(y int) int { return b.Step(y) }(x)\n}\n',
+        "s_nationkey", "s_suppkey", "s_suppkey", "s_suppkey",
+    )
+    rows = table(spark, sf_dir, "supplier").select(F.format_string("go/n%d/supp_%d.go", "s_nationkey", "s_suppkey").alias("path"), text.alias("text"), F.col("s_suppkey").cast("int").alias("pos"))
+    return _as_files(rows, "go")
+
+
+def csharp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A C# file for each part: a generic class with a class in it, brackets in strings, a lambda, a generic call."""
+    text = F.format_string(
+        'using System;\nusing static System.Math;\nnamespace Parts {\n  [Serializable]\n  public sealed class Part%d<T> : Base where T : class, new() {\n    string s = $"{F("}")} class No {{";\n'
+        '    class Inner { public int Size() => Calc(%d); }\n    public Part%d(int x) : base(x) { Init(); }\n    public List<(int a, T b)> Sum<U>(List<U> xs) where U : class {\n'
+        '      // }\n      xs.Where(x => { return Keep%d(x); }).ToList();\n      return new Box<T>(Get<T>(@"""}")).Open();\n    }\n  }\n}\n',
+        "p_partkey", "p_size", "p_partkey", "p_partkey",
+    )
+    rows = table(spark, sf_dir, "part").select(F.format_string("cs/Part%d.cs", "p_partkey").alias("path"), text.alias("text"), F.col("p_partkey").cast("int").alias("pos"))
+    return _as_files(rows, "csharp")
+
+
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A TypeScript file for each customer: an import of a sibling by ``./``, one by ``../``, a function and a class."""
     text = F.format_string(
