@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -416,3 +419,21 @@ def event_windows(spark, sf_dir):
     from loam.streaming.updates import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""with e as (select 'user_' || user_id as path, event_type as hash, epoch_us(ts) as us, 64800000000 as gone from events),
+wm as (select max(us) // 1000 - 600000 as wm from e),
+k as (select *, lag(us) over w as last, lag(hash) over w as was, lead(us) over w as next from e window w as (partition by path order by us, hash)),
+c as (select path, case when last is null or us > last + gone then 'added' else 'changed' end as change, hash, us from k where last is null or us > last + gone or was <> hash
+union all select path, 'removed', null, us + gone from k, wm where next > us + gone or next is null and (us + gone) // 1000 + 1 <= wm)
+select path, change, hash, us as at_us from c""")
+def follow_events(spark, sf_dir):
+    from loam.streaming.updates import CHANGES, follow_files
+
+    events = table(spark, sf_dir, "events")
+    # A stream of files wants a folder or a pattern, and the table may be one file: a pattern that one name meets.
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")
+    rows = stream.select(F.format_string("user_%d", "user_id").alias("path"), F.col("event_type").alias("hash"), F.col("ts").alias("seen"))
+    root = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    follow_files(rows, root, f"{root}/checkpoint", lambda diff, n: None, timedelta(hours=18), once=True).awaitTermination()
+    return sources.read_or_empty(spark, f"{root}/changes", CHANGES).select("path", "change", "hash", F.unix_micros("at").alias("at_us"))

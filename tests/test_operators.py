@@ -346,6 +346,7 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert set(seen) >= {(0, "a", "added"), (0, "b", "added"), (1, "a", "changed"), (1, "d", "added")} and not any(c == "removed" for _, _, c in seen)
+    assert {(r.path, r.hash) for r in updates.manifest(spark, str(tmp_path / "m")).collect()} == {("a", "2"), ("b", "1"), ("d", "1")}
 
 
 def _plan(df):
