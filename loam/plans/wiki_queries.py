@@ -238,7 +238,12 @@ def dry_run_levels(spark, sf_dir):
     return summarize.run_plan(summarize.file_prompts(files, symbols, found), summarize.component_prompts(parts, told), summarize.system_prompt(parts), 1_000_000)
 
 
-@query()
+@query(f"""with {CODE}, shown as (select s, path, 'file_' || regexp_replace(path, '[:/.-]', '_', 'g') as node from supp order by s limit 30),
+rows as (select 0 as part, lpad(s::varchar, 10, '0') as key, '    ' || node || '[' || path || ']' as line from shown
+union all select 1, 'file:' || a.path || ' file:' || b.path, '    ' || a.node || ' --> ' || b.node from deps d join shown a on d.path = a.path join shown b on d.dep = b.path
+union all select 2, '', '    external_os[os]:::external'
+union all select 4, '', '    more4[+' || (count(*) - 30) || ' more]' from supp having count(*) > 30)
+select 'flowchart TD' || chr(10) || string_agg(line, chr(10) order by part, key) || chr(10) || '    classDef external fill:#f9f' as diagram from rows""")
 def mermaid_component(spark, sf_dir):
     files, symbols, _ = _code(spark, sf_dir)
     edges = settle(graph.build_edges(files, symbols, repomap.resolve_imports(files, symbols)))
