@@ -16,7 +16,7 @@ from loam.llm.common import discard, stage
 RULES = [
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
+    ("allow", "net/de/"),
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 ]
