@@ -55,3 +55,12 @@ def test_strict_builds_drop_what_is_not_sure(spark, code):
     assert {r.responsibility for r in strict.components.collect()} != {"Told."} and set(summaries(strict).values()) == {"Told."}  # kept for the cache
     loose = build.generate(*code, told("low"), only_pages=ONLY[:1])
     assert not loose.gated and {r.summary for r in loose.pages.collect()} == {"Told."}
+
+
+def test_every_component_has_a_page(spark):
+    """Fourteen components of one file each, two more than a page list was once cut to."""
+    rows = [(f"part{i:02d}/a.py", "python", 20, str(i), f"def f{i}():\n    pass\n", i) for i in range(14)]
+    files = spark.createDataFrame(rows, schemas.FILES)
+    wanted = [f"components/part{i:02d}.md" for i in range(14)]
+    built = build.generate(files, parse.parse_python(files), told("high"), only_pages=wanted)
+    assert {r.rel_path: r.summary for r in built.pages.collect()} == dict.fromkeys(wanted, "Told.")
