@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import acos, floor, pi, sqrt
+from math import acos, ceil, floor, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from loam.llm.common import small_batches, stage
 from loam.llm.components import connected_components, stars
@@ -22,10 +22,10 @@ SHINGLE = 3
 PIECE = 1 << 16
 
 
-def _majorities(text: str | None, shingle: int, copies: int) -> tuple[np.ndarray, int]:
+def _majorities(text: str | None, shingle: int, copies: int, seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, int]:
     """``64 * copies`` bits, each set if it is in over half the shingles' hashes, and the number of shingles.
 
-    The first 64 are those of the hashes themselves; each further copy mixes them anew.
+    The first 64 are those of the hashes themselves; each further copy mixes them anew. The hashes join ``seen``.
     """
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
@@ -36,6 +36,8 @@ def _majorities(text: str | None, shingle: int, copies: int) -> tuple[np.ndarray
         part = words[at : at + PIECE // copies + shingle - 1]
         runs = zip(*(part[i:] for i in range(shingle))) if len(words) >= shingle else [words]
         hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, runs)], "<u8")
+        if seen is not None:
+            seen.append(hashes)
         bits = np.unpackbits(_mixed(hashes, copies).view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
         for low in range(0, len(bits), 255):  # what a byte can count
             ones += bits[low : low + 255].sum(0, dtype=np.uint8)
@@ -169,10 +171,56 @@ def keep_first(docs: DataFrame, distance: int = 3) -> DataFrame:
 WIDE_SHINGLE, COPIES, WIDTH = 5, 6, 16
 
 
-@F.pandas_udf(StructType([StructField("fp", BinaryType()), StructField("n", IntegerType())]))
-def _wide_fingerprints(texts: pd.Series) -> pd.DataFrame:
-    made = [_majorities(t, WIDE_SHINGLE, COPIES) for t in texts]
-    return pd.DataFrame({"fp": [np.packbits(bits, bitorder="little").tobytes() for bits, _ in made], "n": [n for _, n in made]})
+#: Documents whose shingles are counted, of about this many, to tell common shingles: those in so many of them.
+SAMPLE, COMMON = 4000, 3
+
+
+def _unique(text: str | None) -> np.ndarray:
+    """The hashes of a text's wide shingles, once each, ascending."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    runs = zip(*(words[i:] for i in range(WIDE_SHINGLE))) if len(words) >= WIDE_SHINGLE else [words] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, runs)], np.uint64))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _shingle_sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([_unique(t).view(np.int64) for t in texts])
+
+
+def _needed(similarity: float, size: int) -> int:
+    """Shingles that a set of this size shares at least with any set so similar."""
+    return max(1, ceil(similarity * size - 1e-9))
+
+
+def _wide_fingerprints(similarity: float, common: np.ndarray) -> Callable[[str], Column]:
+    """A text's wide fingerprint ``fp``, its number of shingles ``n``, the digest and size of their set, and its ``prefix``.
+
+    All sets are laid out in one order, ``common`` shingles last; so many first ones are a set's prefix that two sets as
+    similar as asked share at least one of them.
+    """
+
+    @F.pandas_udf(StructType([StructField("fp", BinaryType()), StructField("n", IntegerType()), StructField("digest", BinaryType()), StructField("size", IntegerType()), StructField("prefix", ArrayType(LongType()))]))
+    def made(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            seen: list[np.ndarray] = []
+            bits, n = _majorities(text, WIDE_SHINGLE, COPIES, seen)
+            one = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
+            last = np.isin(one, common, assume_unique=True)
+            order = np.concatenate([one[~last], one[last]])
+            prefix = order[: len(one) - _needed(similarity, len(one)) + 1] if len(one) else order
+            rows.append((np.packbits(bits, bitorder="little").tobytes(), n, xxhash.xxh3_128_digest(one.tobytes()), len(one), prefix.view(np.int64)))
+        return pd.DataFrame(rows, columns=["fp", "n", "digest", "size", "prefix"])
+
+    return made
+
+
+def _common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles of several of some thousand documents, ascending. They only order the sets, so no pair hangs on them."""
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.explode(_shingle_sets("text")).alias("s"))
+    found = some.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("s").toPandas()["s"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
 def bits_within(similarity: float) -> int:
@@ -212,26 +260,83 @@ def similar_edges(fps: DataFrame, distance: int, chunk: int = 1024) -> DataFrame
     return _compared(keyed, lambda packed: _wide_forest(packed, distance), chunk, False)
 
 
+def _shared_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of sets (``rid, root, size, prefix``) of different roots that may be as similar: all that are, and few others.
+
+    Such sets share a shingle of their prefixes, and sizes differ by no more than the similarity; what a pair shares in
+    its prefixes and all that lies behind them must be enough. Sets under one root are not told.
+    """
+    keyed = sets.select("rid", "root", "size", F.explode("prefix").alias("key"))
+    groups = keyed.groupBy("key").agg(F.collect_list(F.struct("rid", "root", "size")).alias("m")).where(F.size("m") > 1)
+    groups = groups.select("m.rid", "m.root", "m.size").where(F.array_max("root") > F.array_min("root"))
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for rid, root, size in zip(batch["rid"], batch["root"], batch["size"]):
+                order = np.argsort(rid)
+                rid, root, size = rid[order], root[order], size[order]
+                for at in range(0, len(rid), 256):
+                    part = slice(at, at + 256)
+                    small, large = np.minimum(size[part, None], size[None]), np.maximum(size[part, None], size[None])
+                    x, y = np.nonzero((root[part, None] != root[None]) & (small >= similarity * large - 1e-9) & (rid[part, None] < rid[None]))
+                    if len(x):
+                        found.append(np.stack([rid[part][x], rid[y], size[part][x], size[y]], 1))
+                if sum(map(len, found)) > 100_000:
+                    yield pd.DataFrame(np.concatenate(found), columns=["a", "b", "na", "nb"])
+                    found = []
+            if found:
+                yield pd.DataFrame(np.concatenate(found), columns=["a", "b", "na", "nb"])
+
+    each = groups.mapInPandas(pairs, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    enough = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
+    behind = F.ceil(F.greatest("na", "nb") * similarity - 1e-9) - 1
+    return each.where(F.col("shared") + behind >= enough).select("a", "b")
+
+
+def exact_edges(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``src, dst``: pairs of roots between rows as similar or more by their sets of shingles, all that ``roots`` leaves apart.
+
+    ``rows`` has ``row.text, fp, digest, size, prefix, rid``, ``roots`` each fingerprint's ``fp, root``. One row stands for
+    all of one set; sets of one fingerprint are compared by themselves.
+    """
+    of = rows.select("digest", "fp", "rid", "size", "prefix").where("size > 0").join(roots.select("fp", "root"), "fp")
+    sets = stage(of.groupBy("digest").agg(F.min(F.struct("rid", "root", "size", "prefix")).alias("s"), F.max("root").alias("high"), F.min("root").alias("low"), F.collect_set("root").alias("all")), "sets")
+    equal = sets.where("high > low").select(F.explode("all").alias("src"), F.col("low").alias("dst")).where("src <> dst")
+    sets = sets.select("s.*")
+    pairs = stage(_shared_prefixes(sets, similarity), "pairs")
+    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    texts = rows.select("rid", F.col("row.text").alias("text")).join(ids, "rid", "left_semi")
+    whole = stage(texts.select("rid", _shingle_sets("text").alias("set")).join(sets.select("rid", "root"), "rid"), "whole")
+    a, b = (whole.select(F.col("rid").alias(c), F.col("set").alias(f"s{c}"), F.col("root").alias(r)) for c, r in (("a", "src"), ("b", "dst")))
+    both = F.size(F.array_intersect("sa", "sb"))
+    close = both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9
+    return pairs.join(a, "a").join(b, "b").where(close).select("src", "dst").unionAll(equal)
+
+
 def _similar(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Rows with their fingerprints (``row, fp, rid``), and ``fp, first, root`` of each distinct fingerprint."""
     small_batches(docs.sparkSession)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    made = docs.select(whole, _wide_fingerprints("text").alias("w"), F.monotonically_increasing_id().alias("rid"))
-    rows = stage(made.select("row", "w.fp", "w.n", "rid"), "rows")
+    wide = _wide_fingerprints(similarity, _common_shingles(docs))
+    rows = stage(docs.select(whole, wide("text").alias("w"), F.monotonically_increasing_id().alias("rid")).select("row", "w.*", "rid"), "rows")
     order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", "rid")
     by_fp = rows.groupBy("fp").agg(F.min(order).alias("first"), F.min("n").alias("n"))
     by_fp = stage(by_fp.withColumn("id", F.monotonically_increasing_id()), "fingerprints")
     linked = connected_components(similar_edges(by_fp.select("id", "fp", "n"), bits_within(similarity)))
-    roots = by_fp.join(linked, by_fp["id"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "id").alias("root"))
-    return rows, roots
+    roots = stage(by_fp.join(linked, by_fp["id"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "id").alias("root")), "roots")
+    more = connected_components(exact_edges(rows, roots, similarity)).withColumnRenamed("root", "further")
+    roots = roots.join(more, F.col("root") == F.col("node"), "left").select("fp", "first", F.coalesce("further", "root").alias("root"))
+    return rows.select("row", "fp", "rid"), roots
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: near-duplicates by five-word shingles of about ``similarity`` or more.
 
     Fingerprints of 384 bits lie in 24 blocks of 16; those that share a block and differ in few enough bits for the
-    similarity (:func:`bits_within`) are linked. A pair may share no block, the likelier the less alike it is; the
-    README states the recall. ``component_id`` is the smallest ``doc_id`` reachable.
+    similarity (:func:`bits_within`) are linked. Pairs that this leaves out are found by their shingles themselves
+    (:func:`exact_edges`), so all pairs whose sets of shingles have that Jaccard similarity are linked, and some that
+    are a little less alike. ``component_id`` is the smallest ``doc_id`` reachable.
 
     Edge cases: texts of fewer than five words have one shingle, the whole; null and blank texts are all alike; a
     null ``doc_id`` keeps its row and is never the smallest unless its whole group has none (then null); repeated

@@ -131,6 +131,26 @@ def test_connected_components_chain_and_star(spark):
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
 
 
+def test_similar_groups_hold_all_pairs_of_the_similarity(spark):
+    """Copies of several lengths with words changed, cut off and added, down to a Jaccard similarity of 0.8 exactly."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = [" ".join(f"a{i}" for i in range(13)), " ".join(f"a{i}" for i in range(12)) + " b"]  # 8 shingles of 10
+    texts += [" ".join(f"c{i}" for i in range(12)), " ".join(f"c{i}" for i in range(14))]  # 8 of 10, sizes 8 and 10
+    common = [word() for _ in range(12)]
+    for k in range(60):
+        base = [word() for _ in range(rng.choice([30, 90, 300]))] + common
+        for _ in range(2):
+            copy = base[: len(base) - rng.randrange(len(base) // 12)]
+            for _ in range(len(base) // rng.choice([60, 90, 120])):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])]
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert len(near) > 20 and (3, 2) in near and all(group[i] == group[j] for i, j in near)
+
+
 @pytest.mark.parametrize("operator", [simhash.simhash_groups, simhash.keep_first, simhash.similar_groups, simhash.keep_first_similar, mixing.mix_documents, mixing.take_whole, packing.pack_documents, rollups.rollup_documents])
 def test_empty_tables(spark, operator):
     assert operator(table(spark, [(1, "a", "b")]).limit(0)).count() == 0
