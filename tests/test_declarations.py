@@ -156,3 +156,22 @@ def test_long_files_take_time_by_their_length():
     assert (few, many) == (1001, 8001) and long < 30 * short + 1
     for prose in ("class a b " * 60_000, "{ class a ( " * 20_000, "a . b ( " * 5_000):
         assert seconds(prose)[1] < 20
+
+
+def test_parsers_hold_few_files_at_once(spark):
+    """One large batch comes back in pieces, whole and in order."""
+    import pandas as pd
+
+    from loam.operators import parse
+
+    class Files:
+        where = select = lambda self, *_: self
+
+        def mapInPandas(self, run, ddl):
+            n = 3 * parse.FILES_HELD + 7
+            return n, list(run(iter([pd.DataFrame({"path": [f"{i}.x" for i in range(n)], "text": ["x"] * n})])))
+
+    n, found = parse._parsed(Files(), "python", lambda path, text: [(path, *[""] * 10)])
+    assert max(map(len, found)) == parse.FILES_HELD and [p for f in found for p in f["id"]] == [f"{i}.x" for i in range(n)]
+    n, found = parse._parsed(Files(), "python", lambda path, text: [(path, *[""] * 10)] * 3000)
+    assert max(map(len, found)) < parse.ROWS_HELD + 3000 and sum(map(len, found)) == 3000 * n
