@@ -152,3 +152,13 @@ def test_blocks_that_cannot_win_are_not_read(spark, tmp_path, small_blocks, monk
     got = segments.top_hits(index, spark.createDataFrame([(0, "queue")], "query_id int, text string"), 1).collect()
     assert {(r.query_id, r.cite, r.score) for r in got} == plain(data, [(0, "queue")], 1)
     assert kept[0] < index.blocks.where("term = 'queue'").count() / 4
+
+
+def test_substring_search_builds_no_index(spark, monkeypatch):
+    from loam.plans import text_queries
+
+    def asked(*_):
+        raise AssertionError("an index was asked for")
+
+    monkeypatch.setattr(text_queries, "stored_index", asked)
+    assert text_queries.search_topk(spark, "/root/testdata/sf0.001").count() == 10
