@@ -105,3 +105,18 @@ def test_rounds_leave_no_tables(spark):
     graph.reach(e, spark.createDataFrame([("n00000",)], "id string")).collect()
     left = {p for p in set(shared.glob("stage-*")) - before if any(p.rglob("*.parquet"))}
     assert len(left) <= 2  # what the lazy result reads
+
+
+def test_rounds_send_nothing_through_the_driver(spark, monkeypatch):
+    """No join of a round is a broadcast, which would pass the driver once a round."""
+    plans, stage = [], graph.stage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(graph, "stage", seen)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(4)], "src string, dst string")
+    got = graph.reach(edges, edges.limit(1).selectExpr("'n0' as id"))
+    assert {r.node for r in got.collect()} == {"n1", "n2", "n3", "n4"}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
