@@ -8,6 +8,7 @@ from math import acos, ceil, floor, pi, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +113,11 @@ def _compared(keyed: DataFrame, forest: Callable[[list], list[tuple[int, int]]],
         cold = keyed.join(shared.select("key"), "key", "left_anti") if some else keyed
         small = cold.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
         groups = groups.unionAll(small) if some else small
+    return _edges(groups, forest)
+
+
+def _edges(groups: DataFrame, forest: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
+    """The distinct edges ``(src, dst)`` that ``forest`` finds in each list ``fps``."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,14 +198,29 @@ def _needed(similarity: float, size: int) -> int:
     return max(1, ceil(similarity * size - 1e-9))
 
 
+#: Bits of a set's sketch at most. Sets of more than about twice as many shingles are hardly told apart by it.
+SKETCH = 4096
+
+
+def _sketch(one: np.ndarray) -> bytes:
+    """A bit for each residue of the shingles' hashes, set if an odd number of them has it; about two bits a shingle or fewer.
+
+    Two sketches of one width differ in no more bits than the sets have shingles apart, so they rule pairs out for
+    certain. The halves of a sketch, one upon the other, are that of half the width.
+    """
+    width = min(SKETCH, max(64, 1 << (len(one) - 1).bit_length()))
+    odd = np.bincount((one & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def _wide_fingerprints(similarity: float, common: np.ndarray) -> Callable[[str], Column]:
-    """A text's wide fingerprint ``fp``, its number of shingles ``n``, the digest and size of their set, and its ``prefix``.
+    """A text's wide fingerprint ``fp``, its number of shingles ``n``, the digest, size, ``prefix`` and ``sketch`` of their set.
 
     All sets are laid out in one order, ``common`` shingles last; so many first ones are a set's prefix that two sets as
     similar as asked share at least one of them.
     """
 
-    @F.pandas_udf(StructType([StructField("fp", BinaryType()), StructField("n", IntegerType()), StructField("digest", BinaryType()), StructField("size", IntegerType()), StructField("prefix", ArrayType(LongType()))]))
+    @F.pandas_udf(StructType([StructField("fp", BinaryType()), StructField("n", IntegerType()), StructField("digest", BinaryType()), StructField("size", IntegerType()), StructField("prefix", ArrayType(LongType())), StructField("sketch", BinaryType())]))
     def made(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
@@ -209,8 +230,8 @@ def _wide_fingerprints(similarity: float, common: np.ndarray) -> Callable[[str],
             last = np.isin(one, common, assume_unique=True)
             order = np.concatenate([one[~last], one[last]])
             prefix = order[: len(one) - _needed(similarity, len(one)) + 1] if len(one) else order
-            rows.append((np.packbits(bits, bitorder="little").tobytes(), n, xxhash.xxh3_128_digest(one.tobytes()), len(one), prefix.view(np.int64)))
-        return pd.DataFrame(rows, columns=["fp", "n", "digest", "size", "prefix"])
+            rows.append((np.packbits(bits, bitorder="little").tobytes(), n, xxhash.xxh3_128_digest(one.tobytes()), len(one), prefix.view(np.int64), _sketch(one)))
+        return pd.DataFrame(rows, columns=["fp", "n", "digest", "size", "prefix", "sketch"])
 
     return made
 
@@ -260,51 +281,97 @@ def similar_edges(fps: DataFrame, distance: int, chunk: int = 1024) -> DataFrame
     return _compared(keyed, lambda packed: _wide_forest(packed, distance), chunk, False)
 
 
-def _shared_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of sets (``rid, root, size, prefix``) of different roots that may be as similar: all that are, and few others.
+def _partners(keyed: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``keyed`` (``key, rid, at``) that another of their key may be as similar to.
 
-    Such sets share a shingle of their prefixes, and sizes differ by no more than the similarity; what a pair shares in
-    its prefixes and all that lies behind them must be enough. Sets under one root are not told.
+    ``at`` is twice the set's size, and one more where the key lies behind the first ``1 - 2s / (1 + s)`` of the set. The
+    first shingle that two such sets share lies before that in the smaller one, so a row stays if it is before that and
+    a set as large or larger is in reach, or if such a smaller one is. Equal keys meet by sorting, sizes ascending: a task
+    holds a batch at a time.
     """
-    keyed = sets.select("rid", "root", "size", F.explode("prefix").alias("key"))
-    groups = keyed.groupBy("key").agg(F.collect_list(F.struct("rid", "root", "size")).alias("m")).where(F.size("m") > 1)
-    groups = groups.select("m.rid", "m.root", "m.size").where(F.array_max("root") > F.array_min("root"))
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told, early = np.empty((3, 0), np.int64), False, 0  # the row before this batch, if it is out already, and the largest early size of its key
         for batch in batches:
-            found = []
-            for rid, root, size in zip(batch["rid"], batch["root"], batch["size"]):
-                order = np.argsort(rid)
-                rid, root, size = rid[order], root[order], size[order]
-                for at in range(0, len(rid), 256):
-                    part = slice(at, at + 256)
-                    small, large = np.minimum(size[part, None], size[None]), np.maximum(size[part, None], size[None])
-                    x, y = np.nonzero((root[part, None] != root[None]) & (small >= similarity * large - 1e-9) & (rid[part, None] < rid[None]))
-                    if len(x):
-                        found.append(np.stack([rid[part][x], rid[y], size[part][x], size[y]], 1))
-                if sum(map(len, found)) > 100_000:
-                    yield pd.DataFrame(np.concatenate(found), columns=["a", "b", "na", "nb"])
-                    found = []
-            if found:
-                yield pd.DataFrame(np.concatenate(found), columns=["a", "b", "na", "nb"])
-
-    each = groups.mapInPandas(pairs, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    enough = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
-    behind = F.ceil(F.greatest("na", "nb") * similarity - 1e-9) - 1
-    return each.where(F.col("shared") + behind >= enough).select("a", "b")
+            if not batch.num_rows:
+                continue
+            key, rid, at = rows = np.concatenate([last, [batch.column(c).to_numpy() for c in ("key", "rid", "at")]], 1)
+            size, first = at >> 1, (at & 1) == 0
+            same = np.r_[False, key[1:] == key[:-1]]
+            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+            before = np.r_[-1, np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))[:-1]]
+            least = np.where(before >= start, size[before], np.where(start == 0, early, 0))
+            after = np.r_[same[1:] & (size[:-1] >= similarity * size[1:] - 1e-9), False] & first
+            out = after | (least >= similarity * size - 1e-9)
+            if last.shape[1]:
+                out[0] = after[0] and not told
+            early = int(size[-1]) if first[-1] else int(least[-1])
+            last, told = rows[:, -1:], bool(out[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, rid)], names=["key", "rid"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "at").mapInArrow(near, "key long, rid long")
+
+
+def _close_pairs(packed: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of numbers of different roots whose sizes and sketches leave it open that they are as similar.
+
+    ``packed`` sets are their number, root and size, eight bytes each, and their sketch.
+    """
+    rid, root, size = np.frombuffer(b"".join(p[:24] for p in packed), ">i8").reshape(-1, 3).astype(np.int64).T
+    if (root == root[0]).all():
+        return []
+    width, pairs = np.array([len(p) for p in packed]) - 24, []
+    bits = lambda at, w: np.frombuffer(b"".join(packed[i][24:] for i in at), np.uint64).reshape(len(at), w // 8)
+    for w in np.unique(width):
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)  # sizes so similar are no farther apart
+        left, folded = bits(own, w), bits(wider, 2 * w)
+        right = np.concatenate([left, folded[:, : w // 8] ^ folded[:, w // 8 :]])
+        other = np.concatenate([own, wider])
+        step = max(1, (1 << 20) // right.size)
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            a, b = size[part, None], size[None, other]
+            apart = np.bitwise_count(left[at : at + step, None] ^ right[None]).sum(2, dtype=np.int64)
+            near = apart <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            near &= (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (root[part, None] != root[None, other])
+            near[:, : len(own)] &= rid[part, None] < rid[None, own]
+            x, y = np.nonzero(near)
+            pairs += zip(rid[part][x].tolist(), rid[other][y].tolist())
+    return pairs
+
+
+def _shared_prefixes(rows: DataFrame, sets: DataFrame, similarity: float, chunk: int = 1024) -> DataFrame:
+    """``src, dst`` of sets (``rid, root, size, sketch``) of different roots that may be as similar: all that are, and few others.
+
+    Such sets share a shingle of their prefixes (``rid, prefix`` of ``rows``). Only shingles that several sets of different
+    roots share lead to sets; what meets there is compared by sizes and sketches, and no other pair comes out of a task.
+    """
+    early = F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-9)
+    keys = rows.select("rid", "prefix").join(sets.select("rid", "size"), "rid").select("rid", "size", F.posexplode("prefix").alias("place", "key"))
+    keyed = keys.select("key", "rid", (F.col("size").cast("long") * 2 + (F.col("place") > early).cast("long")).alias("at"))
+    shared = stage(_partners(keyed, similarity).join(sets.select("rid", "root"), "rid"), "shared")
+    mixed = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / chunk).alias("parts")).where("low < high")
+    members = shared.join(mixed.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    dealt = members.select("key", "rid", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    packed = sets.select("rid", F.concat(number("rid"), number("root"), number(F.col("size").cast("long")), "sketch").alias("fp"))
+    unit = [F.col("key"), F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")]
+    met = dealt.join(packed, "rid").select(*unit, "fp").repartition("key", "a", "b")
+    groups = met.groupBy("key", "a", "b").agg(F.collect_list("fp").alias("fps")).select("fps")
+    return _edges(groups, lambda fps: _close_pairs(fps, similarity))
 
 
 def exact_edges(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """``src, dst``: pairs of roots between rows as similar or more by their sets of shingles, all that ``roots`` leaves apart.
 
-    ``rows`` has ``row.text, fp, digest, size, prefix, rid``, ``roots`` each fingerprint's ``fp, root``. One row stands for
-    all of one set; sets of one fingerprint are compared by themselves.
+    ``rows`` has ``row.text, fp, digest, size, prefix, sketch, rid``, ``roots`` each fingerprint's ``fp, root``. One row
+    stands for all of one set; sets of one fingerprint are compared by themselves.
     """
-    of = rows.select("digest", "fp", "rid", "size", "prefix").where("size > 0").join(roots.select("fp", "root"), "fp")
-    sets = stage(of.groupBy("digest").agg(F.min(F.struct("rid", "root", "size", "prefix")).alias("s"), F.max("root").alias("high"), F.min("root").alias("low"), F.collect_set("root").alias("all")), "sets")
+    of = rows.select("digest", "fp", "rid", "size", "sketch").where("size > 0").join(roots.select("fp", "root"), "fp")
+    sets = stage(of.groupBy("digest").agg(F.min(F.struct("rid", "root", "size", "sketch")).alias("s"), F.max("root").alias("high"), F.min("root").alias("low"), F.collect_set("root").alias("all")), "sets")
     equal = sets.where("high > low").select(F.explode("all").alias("src"), F.col("low").alias("dst")).where("src <> dst")
     sets = sets.select("s.*")
-    pairs = stage(_shared_prefixes(sets, similarity), "pairs")
+    pairs = stage(_shared_prefixes(rows, sets, similarity).toDF("a", "b"), "pairs")
     ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     texts = rows.select("rid", F.col("row.text").alias("text")).join(ids, "rid", "left_semi")
     whole = stage(texts.select("rid", _shingle_sets("text").alias("set")).join(sets.select("rid", "root"), "rid"), "whole")
@@ -356,7 +423,8 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     rows, roots = _similar(docs, similarity)
     kept = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    dropped = stage(rows.select("rid").join(kept, "rid", "left_anti"), "dropped")  # few and small, so that texts seldom move
+    return rows.join(dropped, "rid", "left_anti").select("row.*")
 
 
 def _roots(by_fp: DataFrame, distance: int) -> DataFrame:

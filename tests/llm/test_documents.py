@@ -151,6 +151,49 @@ def test_similar_groups_hold_all_pairs_of_the_similarity(spark):
     assert len(near) > 20 and (3, 2) in near and all(group[i] == group[j] for i, j in near)
 
 
+def test_a_shared_passage_makes_no_pairs(spark):
+    """All of 150 texts hold one passage, in their prefixes too: pairs as similar as asked come out, and hardly others."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(9000)}"
+    passage, texts = [f"p{i}" for i in range(12)], []
+    for k in range(150):
+        texts.append(" ".join(passage + [word() for _ in range(rng.choice([20, 40, 70, 200, 500]))]))
+        if k % 5 == 0:
+            near = texts[-1].split()
+            near[rng.randrange(len(near))] = word()
+            texts.append(" ".join(near[: len(near) - rng.randrange(2 + len(near) // 14)]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = {(j, i) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])}
+    wide = simhash._wide_fingerprints(0.8, np.empty(0, np.uint64))
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(texts)]).withColumnRenamed("doc_id", "rid")
+    rows = docs.select("rid", wide("text").alias("w")).select("rid", "w.*").localCheckpoint()
+    assert rows.select(F.explode("prefix").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0] > 30
+    own = rows.select("rid", F.col("rid").alias("root"), "size", "sketch")
+    for chunk in (1024, 7):
+        got = {(min(r), max(r)) for r in simhash._shared_prefixes(rows, own, 0.8, chunk).collect()}
+        assert len(near) > 15 and near <= got and len(got) < 2 * len(near)
+    assert not simhash._shared_prefixes(rows, own.withColumn("root", F.lit(0).cast("long")), 0.8).count()
+
+
+def test_partners_over_batches(spark):
+    """Rows whose key and size leave them a partner, against all pairs, wherever batches end."""
+    rng = random.Random(14)
+    rows = [(rng.randrange(40), i, 2 * rng.choice([10, 11, rng.randrange(5, 40)]) + rng.randrange(2)) for i in range(300)]
+    want = set()
+    for key, i, a in rows:
+        small = lambda b: (min(a, b), max(a, b))
+        if any(k == key and i != j and not small(b)[0] & 1 and 5 * (small(b)[0] >> 1) >= 4 * (small(b)[1] >> 1) for k, j, b in rows):
+            want.add(i)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 2, 3, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = [r.rid for r in simhash._partners(spark.createDataFrame(rows, "key long, rid long, at long"), 0.8).collect()]
+            assert sorted(got) == sorted(want) and 50 < len(want) < 300
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 @pytest.mark.parametrize("operator", [simhash.simhash_groups, simhash.keep_first, simhash.similar_groups, simhash.keep_first_similar, mixing.mix_documents, mixing.take_whole, packing.pack_documents, rollups.rollup_documents])
 def test_empty_tables(spark, operator):
     assert operator(table(spark, [(1, "a", "b")]).limit(0)).count() == 0
