@@ -3,10 +3,13 @@
 import random
 import time
 
+import pytest
+from pyspark.sql import functions as F
 from test_operators import files
 
 from loam.operators import parse
 from loam.operators.declarations import Source, declared
+from loam.plans import synth
 
 JAVA = '''package p;
 import java.util.*;
@@ -175,3 +178,12 @@ def test_parsers_hold_few_files_at_once(spark):
     assert max(map(len, found)) == parse.FILES_HELD and [p for f in found for p in f["id"]] == [f"{i}.x" for i in range(n)]
     n, found = parse._parsed(Files(), "python", lambda path, text: [(path, *[""] * 10)] * 3000)
     assert max(map(len, found)) < parse.ROWS_HELD + 3000 and sum(map(len, found)) == 3000 * n
+
+
+@pytest.mark.parametrize("name", ["java", "csharp", "go", "script"])
+def test_files_of_one_row_group_are_parsed_by_all_cores(spark, name):
+    """The tables are one file of one row group, which one task alone would read and parse."""
+    files = getattr(synth, name)(spark, "/root/testdata/sf0.1").select("path", F.spark_partition_id().alias("p"))
+    used = files.groupBy("p").count()
+    cores = spark.sparkContext.defaultParallelism
+    assert used.count() >= min(cores, 2) and used.agg(F.max("count")).first()[0] < 0.7 * files.count()
