@@ -43,6 +43,7 @@ class _Ids(dict):
         if ids is None:
             ids = self._encode(word)
         if len(self) >= CACHE_WORDS:
+            self.before = {}  # never three times of words at once
             self.before = dict(self)
             self.clear()
         self[word] = ids
