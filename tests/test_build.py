@@ -64,3 +64,14 @@ def test_every_component_has_a_page(spark):
     wanted = [f"components/part{i:02d}.md" for i in range(14)]
     built = build.generate(files, parse.parse_python(files), told("high"), only_pages=wanted)
     assert {r.rel_path: r.summary for r in built.pages.collect()} == dict.fromkeys(wanted, "Told.")
+
+
+def test_code_files_are_dealt_over_cores_and_parsed_once(spark):
+    """A table of one row group gives files to more than one task, and queries read what has been parsed, not the parser."""
+    from loam.plans import registry, synth
+
+    sf = "/root/testdata/sf0.01"  # 2,000 parts
+    assert synth.code(spark, sf).rdd.getNumPartitions() > 1
+    for name in ("component_links", "capability_files", "dry_run_levels"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().toString()
+        assert "MapInPandas" not in plan and "supplier.parquet" not in plan, name
