@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.functions.lineage import firsts, settle
 from loam.operators.repomap import framework_hints
 
 Pack = Callable[[DataFrame, DataFrame], DataFrame]
@@ -148,6 +149,17 @@ def collect(found: DataFrame) -> DataFrame:
     return lines.groupBy("type", "name").agg(F.transform(evidence, lambda e: e["cite"]).alias("evidence"))
 
 
+def collect_first(found: DataFrame, most: int) -> DataFrame:
+    """``type, name, n, evidence``: like :func:`collect`, but ``n`` counts a signal's citations and ``evidence`` has the first ``most``.
+
+    Citations are counted and cut as rows, so a signal of any number of them is never one value.
+    """
+    rows = settle(evidence_rows(found))
+    counts = rows.groupBy("type", "name").agg(F.count("*").alias("n"))
+    kept = firsts(rows, ["type", "name"], ["at", "cite"], most).groupBy("type", "name").agg(F.array_sort(F.collect_list(F.struct("at", "cite"))).alias("e"))
+    return counts.join(kept, ["type", "name"]).select("type", "name", "n", F.transform("e", lambda e: e["cite"]).alias("evidence"))
+
+
 def spring_hits(files: DataFrame) -> DataFrame:
     """Routes, entities, scheduled methods and Kafka listeners of Spring files."""
     own = files.where((F.col("lang") == "java") & F.rlike("text", F.lit("(?i:spring)|@RestController|@RequestMapping")))
@@ -224,15 +236,16 @@ PRIORITIES = [
 HEAVY = ["manual_review_queue", "rule_engine_density", "batch_reconciliation"]
 
 
-def opportunity_register(signals: DataFrame, n_edges: int, most: int = 8, least: int = 3) -> DataFrame:
+def opportunity_register(signals: DataFrame, n_edges: int, most: int = 8, least: int = 3, count: Column | None = None) -> DataFrame:
     """``rank, name, score, evidence``: hints by score, priority order among equals, filled up to ``least``.
 
     A score is twice the citations, times 1.25 for the heavy ones, plus up to 1.5 for a connected graph. Missing
-    priorities fill up at 0.5, each citing one of the other signals' evidence, if there is any.
+    priorities fill up at 0.5, each citing one of the other signals' evidence, if there is any. ``count`` is the number
+    of a signal's citations where ``evidence`` holds only its first ones (:func:`collect_first`).
     """
     order = F.create_map(*[F.lit(x) for i, k in enumerate(PRIORITIES) for x in (k, i)])
     weight = F.when(F.col("name").isin(HEAVY), 1.25).otherwise(1.0)
-    score = F.round(F.size("evidence") * 2.0 * weight + min(1.5, n_edges / 250.0), 2)
+    score = F.round((F.size("evidence") if count is None else count) * 2.0 * weight + min(1.5, n_edges / 250.0), 2)
     hints = signals.where((F.col("type") == "ai_opportunity_hint") & F.col("name").isin(PRIORITIES))
     ranked = hints.select("name", score.alias("score"), "evidence", order[F.col("name")].alias("place"))
     every = signals.select("type", "name", F.posexplode("evidence").alias("k", "cite")).where("cite <> ''")

@@ -260,8 +260,9 @@ def lens_opportunity(spark, sf_dir):
 @query(f"""{_OPP}, s as (select name, round(count(*) * 2.5 + 1.5, 2)::double as score from kept group by name)
 select row_number() over (order by score desc, name desc) as rank, name, score from s union all select 3, 'rule_engine_density', 0.5::double""")
 def opportunity_score(spark, sf_dir):
-    found = signals.collect(signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.OPPORTUNITY_RULES)))
-    return signals.opportunity_register(found, 1000).select(F.col("rank").cast("long").alias("rank"), "name", "score")
+    hits = signals.capped(signals.hits(synth.notes(spark, sf_dir), signals.OPPORTUNITY_RULES))
+    found = settle(signals.collect_first(hits, len(signals.PRIORITIES)))
+    return signals.opportunity_register(found, 1000, count=F.col("n")).select(F.col("rank").cast("long").alias("rank"), "name", "score")
 
 
 @query(f"select type, count(*)::double as score from ({_COMPLIANCE}) group by type")

@@ -386,3 +386,16 @@ def test_positions_by_ranges(spark):
 
 def test_conversation_tokens_gather_no_texts(spark):
     assert "collect_list" not in _plan(registry.queries()["conversation_tokens"](spark, "/root/testdata/sf0.001"))
+
+
+def test_first_evidence_is_cut_as_rows(spark):
+    """Counts and first citations are those of whole signals, and so is the register that reads them."""
+    from loam.operators import signals
+
+    rows = [("ai_opportunity_hint", n, f"f{i}", i, k, k, None) for n, m in (("manual_review_queue", 9), ("batch_reconciliation", 2)) for i in range(m) for k in (1, 2, 2)]
+    hits = spark.createDataFrame(rows, "type string, name string, path string, pos int, line int, ord int, cap int")
+    whole, cut = signals.collect(hits), signals.collect_first(hits, 7)
+    want = {r["name"]: (len(r["evidence"]), r["evidence"][:7]) for r in whole.collect()}
+    assert {r["name"]: (r["n"], r["evidence"]) for r in cut.collect()} == want
+    short = lambda df: [(r["rank"], r["name"], r["score"], r["evidence"][:7]) for r in df.orderBy("rank").collect()]
+    assert short(signals.opportunity_register(cut, 100, count=cut["n"])) == short(signals.opportunity_register(whole, 100))
