@@ -32,6 +32,8 @@ BLOCK = 128
 MEANS = [0.8, 0.9, 1.0, 1.05, 1.15, 1.3, 1.6, 2.0, 4.0]
 #: Blocks are written in groups of rows of about this size: a search skips those that its terms do not lie in.
 ROW_GROUP = 4 << 20
+#: Postings are sorted in ranges of at most about this many, so that a task's memory does not grow with the index.
+RANGE = 2_000_000
 #: Scores this close count as equal while blocks are left out; final scores are compared by six digits or more.
 SLACK = 2e-6
 #: Features of all questions together up to this number are sent to every task; more are joined.
@@ -113,9 +115,19 @@ def _field_sums(docs: DataFrame) -> DataFrame:
     return by_field.agg(F.count("*").alias("docs"), F.sum(F.size("w.terms")).alias("len"))
 
 
+def _counted(terms: Column) -> Column:
+    """Each distinct term of an array with its count, from the sorted array: what it holds at once is one document's."""
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  # so that a value is computed once, not for each element
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    run = lambda s, at: lambda a, k: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - a).cast("long").alias("tf"))
+    return F.when(F.size(terms) > 0, bind(F.sort_array(terms), lambda s: bind(starts(s), lambda at: F.transform(at, run(s, at)))))
+
+
 def _postings(docs: DataFrame) -> DataFrame:
-    words = docs.select("doc", F.explode("words").alias("w")).select("doc", "w.field", F.size("w.terms").cast("long").alias("len"), F.explode("w.terms").alias("term"))
-    return words.groupBy("term", "field", "doc").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    """A row for each term of a document's field; a document's words lie in one row, so nothing is shuffled to count them."""
+    words = docs.select("doc", F.explode("words").alias("w")).select("doc", "w.field", F.size("w.terms").cast("long").alias("len"), "w.terms")
+    each = words.select("doc", "field", "len", F.explode(_counted(F.col("terms"))).alias("t"))
+    return each.select("t.term", "field", "doc", "t.tf", "len")
 
 
 def _cutter(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -163,9 +175,10 @@ def _write_segment(spark: SparkSession, root: str, number: int, snippets: DataFr
     _field_sums(docs).coalesce(1).write.parquet(f"{path}/sums")
     sums = spark.read.schema(_SUMS).parquet(f"{path}/sums")
     mean = F.broadcast(sums.select("field", (F.col("len") / F.col("docs")).alias("mean")))  # a row a field
-    rows = settle(_postings(docs)).join(mean, "field").withColumn("weight", _weight(F.col("tf"), F.col("len"), F.col("mean")))
+    rows = _postings(docs).join(mean, "field").withColumn("weight", _weight(F.col("tf"), F.col("len"), F.col("mean")))
     order = ["term", "field", F.desc("weight"), "doc"]
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("term", "field", "doc", "tf", "len", "mean")
+    n, cores = sums.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0], spark.sparkContext.defaultParallelism
+    ranges = rows.repartitionByRange(max(1, min(cores, n // 20_000), n // RANGE), *order).sortWithinPartitions(*order).select("term", "field", "doc", "tf", "len", "mean")
     ddl = _BLOCKS.partition(", segment")[0]
     ranges.mapInArrow(_cutter(BLOCK), ddl).select("*", F.lit(number).alias("segment"), F.monotonically_increasing_id().alias("block")).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
 

@@ -162,3 +162,21 @@ def test_substring_search_builds_no_index(spark, monkeypatch):
 
     monkeypatch.setattr(text_queries, "stored_index", asked)
     assert text_queries.search_topk(spark, "/root/testdata/sf0.001").count() == 10
+
+
+def test_postings_are_counted_in_their_documents_row(spark):
+    """Counts by plain Python, repeats, single words and empty fields included; nothing is shuffled or hashed for them."""
+    held = [["b", "a", "b", "b"], [], ["x"], ["c", "c"], ["z", "y", "z"]]
+    docs = spark.createDataFrame([(i, [("body", w), ("symbol", [])]) for i, w in enumerate(held)], "doc long, words array<struct<field:string,terms:array<string>>>")
+    found = segments._postings(docs)
+    plan = found._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted((w, "body", i, n, len(t)) for i, t in enumerate(held) for w, n in Counter(t).items())
+
+
+def test_postings_are_sorted_in_ranges_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "RANGE", 1_000, raising=False)
+    rows = [(f"d:{i}", i, " ".join(f"w{(i * k) % 97}" for k in range(40)), "p", "en", "", "chunk", 0.0) for i in range(200)]
+    snippets = spark.createDataFrame(rows, "cite string, pos long, text string, path string, lang string, symbol string, kind string, score double")
+    index = segments.upsert(spark, f"file://{tmp_path}/i", snippets)
+    assert len(index.blocks.inputFiles()) >= 8  # 8,000 words
