@@ -12,7 +12,9 @@ from tokenizers import Tokenizer
 from loam.llm.common import worker_cache
 
 #: A worker's cache holds at most twice this many words: those met lately, and those of the time before.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: Longer words, in bytes, are encoded each time, so that the words kept bound the cache's memory too.
+LONGEST = 64
 
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The letter that a byte-level vocabulary writes for each byte: printable ones stand for themselves, the rest follow U+0100.
@@ -42,6 +44,8 @@ class _Ids(dict):
         ids = self.before.get(word)
         if ids is None:
             ids = self._encode(word)
+        if len(word) > LONGEST:
+            return ids
         if len(self) >= CACHE_WORDS:
             self.before = {}  # never three times of words at once
             self.before = dict(self)

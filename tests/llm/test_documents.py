@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loam.llm import mixing, packing, quality, rollups, simhash, toxicity
+from loam.llm import mixing, packing, quality, rollups, simhash, tokens, toxicity
 from loam.llm.common import Store, stage
 from loam.llm.components import connected_components
 from loam.llm.tokens import default_path, word_tokenizer
@@ -299,6 +299,15 @@ def test_take_whole_keeps_rows(spark, rows):
     assert Counter(got.collect()) == Counter(mixing.take_whole(docs.orderBy(F.desc("text")).coalesce(2)).collect())
 
 
+def test_word_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 100)
+    known, whole = tokens.WordTokenizer(default_path()), Tokenizer.from_file(default_path())
+    texts = [" ".join(f"w{i * k}" for i in range(70)) + " " + "Zeta9-" * 5_000 for k in range(1, 9)]
+    assert [known.ids(t).tolist() for t in texts] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    held = [w for cache in (known.known, known.known.before) for w in cache]
+    assert len(held) <= 200 and max(map(len, held)) <= 64
+
+
 def test_word_tokenizer_is_exact():
     texts = ["Don't stop, l'été! ÀÉ Straße  x.y,z 123.45", "a\u0301 b\u00a0c\u2003d\x1ce", "<|startoftext|>hi<|endoftext|> <|x", "İstanbul ŉ ſ Ǆ ΣΑΣ", "日本語 テキスト", "", "'s 't"]
     texts += [" ".join(chr(c) + "a" + chr(c) for c in range(33, 0x260))]
