@@ -38,6 +38,10 @@ RANGE = 2_000_000
 SLACK = 2e-6
 #: Features of all questions together up to this number are sent to every task; more are joined.
 SMALL = 200_000
+#: Postings of a cell of documents and queries, about; a task holds one cell at a time.
+CELL = 500_000
+#: The feature that marks a document as gone.
+GONE = -1
 _BODY = ["cite", "pos", "text", "path", "lang", "symbol", "kind", "score"]
 _DOCS = schemas.SNIPPETS + ", words array<struct<field:string,terms:array<string>>>, doc bigint, segment int"
 _BLOCKS = "term string, field string, n bigint, own double, tops array<double>, entries array<struct<doc:bigint,tf:bigint,len:bigint>>, segment int, block bigint"
@@ -291,10 +295,11 @@ def top_hits(index: Index, query: DataFrame, k: int | None = 10, every: bool = F
        documents reach in those alone is at most their score, so the ``k``-th of these sums is a score to beat.
     2. Features whose bounds together cannot beat it need not be searched: every winner also has one of the others.
        Of those, blocks are read that could beat it if all other features were at their bound.
-    3. Documents so found that can still beat it, or the ``k``-th of what they have by then, get the rest of their score
-       from the features left over.
+    3. Postings of those blocks are dealt over tasks by document, and each task adds up every query's scores there. A
+       winner's postings are all in such blocks, so its sum is whole; other documents' sums fall short at most.
 
-    With ``every``, the winners are among the documents of the query's rarest term, and step 1 falls away.
+    With ``every``, the winners are among the documents of the query's rarest term, and steps 1 and 3 fall away: what
+    those documents have by then is completed from the other features.
 
     Edge cases: a query without terms, or whose terms no snippet holds, has no hits; an empty index gives no rows.
     """
@@ -346,12 +351,12 @@ def top_hits(index: Index, query: DataFrame, k: int | None = 10, every: bool = F
     needed = bounds.join(_sent(split.select("term", "field", "others", "least"), size), ["term", "field"]).where("bound + others >= least")
     needed = settle(needed.select("segment", "block").distinct())
     needed = _sent(needed, needed.count())
+    if k and not every:
+        rows = heads.join(needed, ["segment", "block"], "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        named = _cells(index, blocks.join(needed, ["segment", "block"], "left_semi"), split, size, rows, k)
+        return _ranked(index, named.withColumn("score", F.round("score", digits)), k)
     limits = _sent(split.select("query_id", "least", "rest").distinct(), size)
     found = live(hits(split.where("first"), needed).groupBy(*doc).agg(F.sum("score").alias("score")))
-    if k and not every:  # what the documents have by now is a better score to beat
-        found = settle(found)
-        better = found.withColumn("place", place).where(F.col("place") == k).select("query_id", (F.col("score") - SLACK).alias("better"))
-        limits = _sent(limits.join(better, "query_id", "left").select("query_id", F.greatest("least", "better").alias("least"), "rest"), size)
     found = settle(found.join(limits, "query_id").where("score + rest >= least").select(*doc, "score"))
     some = _sent(found.select(*doc), found.count())
     more = hits(split.where("not first"), needed).join(some, doc, "left_semi")
@@ -362,12 +367,84 @@ def top_hits(index: Index, query: DataFrame, k: int | None = 10, every: bool = F
         full = full.join(asked.groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id").where("held = wanted").select(*doc, "score")
     else:
         full = found.unionAll(more.select(*doc, "score")).groupBy(*doc).agg(F.round(F.sum("score"), digits).alias("score"))
+    return _ranked(index, full, k)
+
+
+def _ranked(index: Index, full: DataFrame, k: int | None) -> DataFrame:
+    """``query_id, cite, score`` of the ``k`` best of each query by score and cite, or of all."""
     if k:
         full = settle(full)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
         line = full.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.min("score").alias("kth"))
-        full = full.join(line, "query_id").where("score >= kth")
+        full = settle(full.join(line, "query_id").where("score >= kth"))
+        full = _sent(full, full.count())
     named = index.docs.select("segment", "doc", "cite").join(full, ["segment", "doc"]).select("query_id", "cite", "score")
     if not k:
         return named
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cite")
     return named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
+def _cells(index: Index, blocks: DataFrame, features: DataFrame, size: int, rows: int, k: int) -> DataFrame:
+    """``query_id, segment, doc, score``: the best of each share of the documents for each query, all that tie with its last.
+
+    Every winner is among them. A cell is a share of the documents, of about :data:`CELL` postings, and a share of the
+    queries, of about :data:`SMALL` features. A posting goes to the cell of its document once for all of a share's queries
+    and is added to each query's sums there, so no row is made for each query and document.
+    """
+    spark, gone = blocks.sparkSession, index.gone.count() if index.changes else 0
+    asked = max(1, -(-size // max(1, SMALL)))
+    shares = max(1, (rows + gone) // CELL, min(spark.sparkContext.defaultParallelism, rows // 20_000))
+    names = settle(features.groupBy("term", "field").agg(F.first("idf").alias("idf"), F.first("mean").alias("mean")).withColumn("feature", F.monotonically_increasing_id()))
+    queries = features.select("query_id", "term", "field").join(_sent(names, size), ["term", "field"]).select("query_id", "feature", F.pmod(F.xxhash64("query_id"), F.lit(asked).cast("long")).alias("asked"))
+    share = F.pmod(F.xxhash64("segment", "doc"), F.lit(shares).cast("long")).alias("share")
+    each = blocks.join(_sent(names, size), ["term", "field"]).select("segment", "feature", "idf", "mean", F.explode("entries").alias("e"))
+    each = each.select("segment", "e.doc", "feature", (F.col("idf") * _weight(F.col("e.tf"), F.col("e.len"), F.col("mean"))).alias("score"))
+    if index.changes:
+        each = each.unionAll(index.gone.select("segment", "doc", F.lit(GONE).cast("long").alias("feature"), F.lit(0.0).alias("score")))
+    if asked > 1:
+        at = queries.select("feature", "asked").distinct().unionAll(spark.range(asked).select(F.lit(GONE).cast("long").alias("feature"), F.col("id").alias("asked")))
+        each = each.join(at, "feature")
+    else:
+        each = each.withColumn("asked", F.lit(0).cast("long"))
+    left = each.select(share, "asked", "segment", "doc", "feature", "score").groupBy("share", "asked")
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("of_share"), F.col("asked").alias("of_asked"), "query_id", "feature").groupBy("of_share", "of_asked")
+    kind = features.schema["query_id"].dataType.simpleString()
+    return left.cogroup(right).applyInArrow(_adder(k), f"query_id {kind}, segment int, doc long, score double")
+
+
+def _adder(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Sums of each query's features over the documents of a cell; those that reach its ``k``-th stay."""
+
+    def add(postings: pa.Table, queries: pa.Table) -> pa.Table:
+        feature, score = postings.column("feature").to_numpy(), postings.column("score").to_numpy()
+        segment, doc = postings.column("segment").to_numpy(), postings.column("doc").to_numpy()
+        order = np.lexsort((doc, segment))
+        new = np.r_[np.ones(min(1, len(order)), bool), (doc[order][1:] != doc[order][:-1]) | (segment[order][1:] != segment[order][:-1])]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = order[new]  # a posting of each document
+        live = np.ones(len(first), bool)
+        live[place[feature == GONE]] = False
+        by = np.argsort(feature, kind="stable")
+        feature, place, score = feature[by], place[by], score[by]
+        asked = queries.column("query_id").combine_chunks().dictionary_encode()
+        number, wanted = asked.indices.to_numpy(), queries.column("feature").to_numpy()
+        turn = np.lexsort((wanted, number))
+        start, stop = np.searchsorted(feature, wanted[turn]), np.searchsorted(feature, wanted[turn], "right")
+        ends = np.searchsorted(number[turn], np.arange(len(asked.dictionary) + 1))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for q in range(len(asked.dictionary)):
+            lists = [slice(a, b) for a, b in zip(start[ends[q] : ends[q + 1]], stop[ends[q] : ends[q + 1]]) if a < b]
+            if not lists:
+                continue
+            sums = np.bincount(np.concatenate([place[x] for x in lists]), np.concatenate([score[x] for x in lists]), len(first))
+            met = np.flatnonzero((sums > 0) & live)
+            if len(met) > k:
+                met = met[sums[met] >= np.partition(sums[met], -k)[-k] - SLACK]
+            found.append((np.full(len(met), q), met, sums[met]))
+        which, at, sums = map(np.concatenate, zip(*found))
+        columns = [asked.dictionary.take(pa.array(which)), pa.array(segment[first][at], pa.int32()), pa.array(doc[first][at], pa.int64()), pa.array(sums)]
+        return pa.Table.from_arrays(columns, names=["query_id", "segment", "doc", "score"])
+
+    return add

@@ -154,6 +154,27 @@ def test_blocks_that_cannot_win_are_not_read(spark, tmp_path, small_blocks, monk
     assert kept[0] < index.blocks.where("term = 'queue'").count() / 4
 
 
+@pytest.mark.parametrize("small", [segments.SMALL, 0])
+def test_no_row_is_made_for_each_query_and_document(spark, tmp_path, small_blocks, monkeypatch, small):
+    monkeypatch.setattr(segments, "SMALL", small)
+    monkeypatch.setattr(segments, "CELL", 1_000, raising=False)
+    data, root = rows(random.Random(8), range(400)), f"file://{tmp_path}/i"
+    segments.upsert(spark, root, frame(spark, data))
+    gone = sorted(r[1] for r in data)[::3]
+    index = segments.remove(spark, root, spark.createDataFrame([(c,) for c in gone], "cite string"))
+    kept, real = [], segments.settle
+
+    def watch(df):
+        out = real(df)
+        if {"query_id", "doc", "score"} <= set(out.columns):
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(segments, "settle", watch)
+    assert found(spark, index, 2) == plain([r for r in data if r[1] not in set(gone)], QUERIES, 2)
+    assert max(kept) < 300  # a few of each query from each share; documents and queries make more than 1,000
+
+
 def test_substring_search_builds_no_index(spark, monkeypatch):
     from loam.plans import text_queries
 
