@@ -36,6 +36,36 @@ def test_a_file_with_very_many_symbols_and_citations(spark):
     assert time.time() - began < 60
 
 
+def test_overlaps_compute_both_sides_once_and_broadcast_nothing(spark):
+    """One long span must not lay all short ones into each level below its own, nor may what is laid pass the driver."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    symbols = spark.range(1_000).selectExpr("'f.py' as path", "id", "cast(id * 2 as int) as start_line", "cast(id * 2 + 1 as int) as end_line")
+    symbols = symbols.mapInPandas(counted, symbols.schema)
+    cited = spark.createDataFrame([("f.py", 0, 2, 999_999), ("f.py", 1, 2, 6)], "path string, page int, start int, end int")
+    got = spans.overlapping(cited, symbols, "path", ("start", "end"), ("start_line", "end_line"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 999 + 3 and made.value == 1_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = spans.overlapping(cited, symbols, "path", ("start", "end"), ("start_line", "end_line"))._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 1_000 <= max(_rows_made(plan, "Generate")) <= 6_000  # a bin or two in each of two levels; in 20 levels they make over 20,000
+
+
+def _rows_made(plan, name):
+    """How many rows each operator of this name has put out."""
+    own = [plan.metrics().get("numOutputRows").get().value()] if plan.nodeName() == name else []
+    return own + [n for i in range(plan.children().size()) for n in _rows_made(plan.children().apply(i), name)]
+
+
 @pytest.mark.parametrize("lot", [mentions.LOT, 12])
 def test_names_in_texts(spark, lot):
     names = ["order", "or", "border line", "é", "a.b", "", None, "zzz", "日本", "order"]
