@@ -19,6 +19,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,10 @@ BLOCK = 128
 MEANS = [0.8, 0.9, 1.0, 1.05, 1.15, 1.3, 1.6, 2.0, 4.0]
 #: Blocks are written in groups of rows of about this size: a search skips those that its terms do not lie in.
 ROW_GROUP = 4 << 20
-#: Postings are sorted in ranges of at most about this many, so that a task's memory does not grow with the index.
+#: A task makes blocks of documents with about this many words, so that its memory does not grow with the index.
 RANGE = 2_000_000
+#: Blocks that a task hands over at once.
+LOT = 10_000
 #: Scores this close count as equal while blocks are left out; final scores are compared by six digits or more.
 SLACK = 2e-6
 #: Features of all questions together up to this number are sent to every task; more are joined.
@@ -134,31 +137,56 @@ def _postings(docs: DataFrame) -> DataFrame:
     return each.select("t.term", "field", "doc", "t.tf", "len")
 
 
-def _cutter(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows in order of term, field and impact as blocks; a block ends with its term, after ``size`` rows, or with a batch."""
+def _cutter(size: int, means: dict[str, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's documents (``doc, words``) as its blocks, best first; a block ends with its term or after ``size`` documents."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(lambda: ([], [], []))  # for each field: documents, their lengths, terms
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [batch.column(c).dictionary_encode().indices.to_numpy() for c in ("term", "field")]
-            at = np.arange(batch.num_rows)
-            new = np.r_[True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])]
-            start = np.maximum.accumulate(np.where(new, at, 0))
-            first = np.flatnonzero((at - start) % size == 0)
-            tf, length = batch.column("tf").to_numpy(), batch.column("len").to_numpy()
-            entries = pa.StructArray.from_arrays([batch.column(c) for c in ("doc", "tf", "len")], ["doc", "tf", "len"])
-            offsets = pa.array(np.r_[first, batch.num_rows], pa.int32())
-            mean = batch.column("mean").to_numpy()
-            tops = np.stack([np.maximum.reduceat(_weight(tf, length, mean * m), first) for m in MEANS], 1)
-            columns = [batch.column(c).take(pa.array(first)) for c in ("term", "field")]
-            columns += [pa.array(np.diff(np.r_[first, batch.num_rows]), pa.int64()), pa.array(mean[first])]
-            columns += [pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * len(MEANS), pa.int32()), pa.array(tops.ravel())), pa.ListArray.from_arrays(offsets, entries)]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "n", "own", "tops", "entries"])
+            words = batch.column("words")
+            doc = batch.column("doc").to_numpy().repeat(words.value_lengths().fill_null(0).to_numpy())
+            fields, lists = words.flatten().flatten()  # a struct's children
+            length = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            for name in fields.unique().to_pylist():
+                here = pc.equal(fields, name).to_numpy(zero_copy_only=False)
+                docs, lengths, parts = held[name]
+                docs.append(doc[here])
+                lengths.append(length[here])
+                parts.append(lists.filter(pa.array(here)).flatten().dictionary_encode())
+        for name, (docs, lengths, parts) in sorted(held.items()):
+            terms = pa.chunked_array(parts).unify_dictionaries().combine_chunks()
+            if len(terms):
+                yield from _blocks(name, terms, np.concatenate(docs), np.concatenate(lengths), means[name], size)
 
     return cut
 
 
+def _blocks(field: str, terms: pa.DictionaryArray, doc: np.ndarray, length: np.ndarray, mean: float, size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks in order of terms, of a field's documents with their lengths and, one after another, their terms."""
+    known = terms.dictionary
+    rank = np.empty(len(known), np.int64)
+    rank[pc.array_sort_indices(known).to_numpy()] = np.arange(len(known))
+    key = rank[terms.indices.to_numpy()] * len(doc) + np.arange(len(doc)).repeat(length)
+    key.sort()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    tf, (term, at) = np.diff(np.r_[first, len(key)]), np.divmod(key[first], len(doc))
+    best = np.lexsort((doc[at], -_weight(tf, length[at], mean), term))
+    term, at, tf = term[best], at[best], tf[best]
+    doc, length, place = doc[at], length[at], np.arange(len(term))
+    start = np.maximum.accumulate(np.where(np.r_[True, term[1:] != term[:-1]], place, 0))
+    first = np.flatnonzero((place - start) % size == 0)
+    ends = np.r_[first, len(term)]
+    names = known.take(pc.array_sort_indices(known))
+    tops = np.stack([np.maximum.reduceat(_weight(tf, length, mean * m), first) for m in MEANS], 1)
+    for low in range(0, len(first), LOT):
+        of, cut = slice(low, low + LOT), ends[low : low + LOT + 1]
+        n, rows = len(cut) - 1, slice(cut[0], cut[-1])
+        entries = pa.StructArray.from_arrays([pa.array(x[rows], pa.int64()) for x in (doc, tf, length)], ["doc", "tf", "len"])
+        columns = [names.take(pa.array(term[first[of]])), pa.array([field] * n, pa.string()), pa.array(np.diff(cut), pa.int64()), pa.array(np.full(n, mean))]
+        columns += [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(MEANS), pa.int32()), pa.array(tops[of].ravel())), pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), entries)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "n", "own", "tops", "entries"])
+
+
 def _weight(tf, length, mean):
     """What a term's count adds to a score before its rarity, of columns or arrays: grows with the count and the average length."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
@@ -171,20 +199,22 @@ def _top(mean: Column) -> Column:
 
 
 def _write_segment(spark: SparkSession, root: str, number: int, snippets: DataFrame) -> None:
-    """``docs`` (with their words, split once), ``sums`` and ``blocks`` of snippets with unique cites."""
+    """``docs`` (with their words, split once or given), ``sums`` and ``blocks`` of snippets with unique cites.
+
+    Documents are dealt by number over tasks, and each makes blocks of its own share, so that no posting is shuffled.
+    """
     path = f"{root}/segments/{number}"
-    docs = snippets.select(*_BODY, _words().alias("words"), F.monotonically_increasing_id().alias("doc"), F.lit(number).alias("segment"))
+    words = F.col("words") if "words" in snippets.columns else _words()
+    docs = snippets.select(*_BODY, words.alias("words"), F.monotonically_increasing_id().alias("doc"), F.lit(number).alias("segment"))
     docs.select(*[c.split()[0] for c in schemas.SNIPPETS.split(", ")], "words", "doc", "segment").write.parquet(f"{path}/docs")
     docs = spark.read.schema(_DOCS).parquet(f"{path}/docs")
     _field_sums(docs).coalesce(1).write.parquet(f"{path}/sums")
     sums = spark.read.schema(_SUMS).parquet(f"{path}/sums")
-    mean = F.broadcast(sums.select("field", (F.col("len") / F.col("docs")).alias("mean")))  # a row a field
-    rows = _postings(docs).join(mean, "field").withColumn("weight", _weight(F.col("tf"), F.col("len"), F.col("mean")))
-    order = ["term", "field", F.desc("weight"), "doc"]
+    means = {r["field"]: r["len"] / r["docs"] for r in sums.collect()}  # a row a field
     n, cores = sums.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0], spark.sparkContext.defaultParallelism
-    ranges = rows.repartitionByRange(max(1, min(cores, n // 20_000), n // RANGE), *order).sortWithinPartitions(*order).select("term", "field", "doc", "tf", "len", "mean")
+    ranges = docs.select("doc", "words").repartition(max(1, min(cores, n // 20_000), n // RANGE), "doc")
     ddl = _BLOCKS.partition(", segment")[0]
-    ranges.mapInArrow(_cutter(BLOCK), ddl).select("*", F.lit(number).alias("segment"), F.monotonically_increasing_id().alias("block")).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
+    ranges.mapInArrow(_cutter(BLOCK, means), ddl).select("*", F.lit(number).alias("segment"), F.monotonically_increasing_id().alias("block")).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
 
 
 def _latest(snippets: DataFrame) -> DataFrame:
@@ -256,7 +286,7 @@ def merge_tiers(spark: SparkSession, root: str, fan: int = 4) -> Index:
     live = index.docs.where(F.col("segment").isin(joined)).join(index.gone, ["segment", "doc"], "left_anti")
     if joined and not live.isEmpty():
         number = _next(spark, root)
-        _write_segment(spark, root, number, live.select(*_BODY))
+        _write_segment(spark, root, number, live.select(*_BODY, "words"))
         segments.append(number)
     changes = index.changes if segments else []
     if len(changes) > fan:

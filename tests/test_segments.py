@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from loam import schemas
 from loam.operators import search, segments
@@ -201,3 +202,19 @@ def test_postings_are_sorted_in_ranges_of_a_bounded_size(spark, tmp_path, monkey
     snippets = spark.createDataFrame(rows, "cite string, pos long, text string, path string, lang string, symbol string, kind string, score double")
     index = segments.upsert(spark, f"file://{tmp_path}/i", snippets)
     assert len(index.blocks.inputFiles()) >= 8  # 8,000 words
+
+
+def test_blocks_hold_all_postings_and_none_is_shuffled(spark, tmp_path, small_blocks, monkeypatch):
+    """What is dealt to write blocks is documents, each once; blocks agree with the postings counted by Spark."""
+    monkeypatch.setattr(segments, "RANGE", 500)
+    monkeypatch.setattr(segments, "LOT", 7, raising=False)
+    dealt, real = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, *args, **kw: dealt.append(df) or real(df, *args, **kw))
+    data = rows(random.Random(9), range(150))
+    index = segments.upsert(spark, f"file://{tmp_path}/i", frame(spark, data))
+    assert len(dealt) == 1 and dealt[0].count() == 150
+    held = index.blocks.select("block", "term", "field", "n", F.explode("entries").alias("e")).select("block", "term", "field", "n", "e.doc", "e.tf", "e.len")
+    want = segments._postings(index.docs).collect()
+    assert sorted(map(tuple, held.select("term", "field", "doc", "tf", "len").collect())) == sorted(map(tuple, want)) and len(want) > 500
+    sizes = held.groupBy("block", "n").agg(F.count("*").alias("m"), F.count_distinct("term", "field").alias("terms")).collect()
+    assert all(r.n == r.m <= 4 and r.terms == 1 for r in sizes) and len(sizes) == index.blocks.count()
